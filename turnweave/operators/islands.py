@@ -46,3 +46,67 @@ def merge_runs(df: DataFrame, keys: list[str], order: list[str], value: str, buc
         .select(*keys, value, *aggs)
     )
     return inner.unionByName(edge)
+
+
+def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """(keys, value, start, length): maximal runs of equal neighbours; ``start`` is the first value of ``order[0]``."""
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    return merge_runs(one, keys, order, value, bucket if bucket is not None else F.lit(0), {"start": ("min", order[0]), "length": ("sum", "_one")})
+
+
+def merge_turns(turns: DataFrame, keys: list[str], turn: str = "turn", speaker: str = "speaker", text: str = "text") -> DataFrame:
+    """(keys, speaker, turn, text): consecutive turns of one speaker joined by a blank; ``turn`` is the first's number.
+
+    A null text adds nothing to its turn.
+    """
+    return merge_runs(turns, keys, [turn], speaker, F.floor(F.col(turn) / 4096), {"_t": ("min", turn), "_x": ("text", text)}).select(*keys, speaker, F.col("_t").alias(turn), F.col("_x").alias(text))
+
+
+def merge_utterances(utts: DataFrame, keys: list[str], order: str, speaker: str = "speaker", start: str = "start", end: str = "end", text: str = "text") -> DataFrame:
+    """As :func:`merge_turns` with times: the first start and the **last** row's end, which need not be the greatest."""
+    at = lambda c, n: F.struct(F.col(order).alias("o"), F.col(c).alias("x")).alias(n)
+    both = utts.select("*", at(start, "_begin"), at(end, "_stop"))
+    m = merge_runs(both, keys, [order], speaker, F.floor(F.col(order) / 4096), {"_o": ("min", order), "_s": ("min", "_begin"), "_e": ("max", "_stop"), "_x": ("text", text)})
+    return m.select(*keys, speaker, F.col("_o").alias(order), F.col("_s.x").alias(start), F.col("_e.x").alias(end), F.col("_x").alias(text))
+
+
+def word_gap_segments(words: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end", min_gap: float = 0.05) -> DataFrame:
+    """(keys, start, end): words of an utterance (``keys``) joined while the next starts less than ``min_gap`` after
+    the end of the **previous** word; the end is the last word's."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    apart = F.coalesce(F.col(start) - F.lag(end).over(w) >= min_gap, F.lit(True))
+    seg = words.withColumn("_new", apart.cast("int")).withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return seg.groupBy(*keys, "_seg").agg(F.min_by(start, order).alias(start), F.max_by(end, order).alias(end)).drop("_seg")
+
+
+def ipu_units(frames: DataFrame, keys: list[str], channel: str, start: str, end: str, total: str, pause: int) -> DataFrame:
+    """(keys, channel, total, start, end) in frames: activity with every silence shorter than ``pause`` bridged.
+
+    ``frames`` has half-open intervals [start, end) in frames and the number of frames of the whole signal. Silence at
+    both ends counts too; a channel without activity is one unit if the whole signal is shorter than ``pause``. Rows
+    with start >= end stand for a channel without activity there.
+    """
+    k = [*keys, channel]
+    w = Window.partitionBy(*k).orderBy(start, end)
+    full = frames.where(F.col(start) < F.col(end))
+    reach = full.withColumn("_upto", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    gap = F.col(start) - F.col("_upto")
+    seg = reach.withColumn("_new", F.coalesce(((gap > 0) & (gap >= pause)).cast("int"), F.lit(1))).withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    units = seg.groupBy(*k, "_seg").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(total).alias(total))
+    first = F.when((F.col("_seg") == 1) & (F.col(start) < pause), 0).otherwise(F.col(start))
+    is_last = F.col("_seg") == F.max("_seg").over(Window.partitionBy(*k))
+    until = F.when(is_last & (F.col(total) - F.col(end) < pause), F.col(total)).otherwise(F.col(end))
+    units = units.select(*k, total, first.alias("_a"), until.alias("_b")).select(*k, total, F.col("_a").alias(start), F.col("_b").alias(end))
+    silent = frames.groupBy(*k).agg(F.max(total).alias(total), F.max(F.col(start) < F.col(end)).alias("_any")).where(~F.col("_any") & (F.col(total) < pause))
+    return units.unionByName(silent.select(*k, total, F.lit(0).cast(frames.schema[start].dataType).alias(start), F.col(total).cast(frames.schema[end].dataType).alias(end)))
+
+
+def ipu_ends(frames: DataFrame, keys: list[str], channel: str, start: str, end: str, total: str, pause: int, least: int, duration: int, context: int = -1) -> DataFrame:
+    """(keys, channel, end) of the inter-pausal units of at least ``least`` frames at which a clip may be anchored.
+
+    ``context`` > 0 frames must lie before the end, and ``duration - context`` after it.
+    """
+    u = ipu_units(frames, keys, channel, start, end, total, pause).where(F.col(end) - F.col(start) >= least)
+    if context > 0:
+        u = u.where(F.col(end) >= context)
+    return u.where(F.col(end) < F.col(total) - (duration - context)).select(*keys, channel, end)

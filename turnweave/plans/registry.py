@@ -6,29 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.operators import intervals
-from turnweave.runtime import table
+from turnweave.plans import queries_dialog, queries_files, queries_signal, queries_vad
 
 Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (queries_dialog, queries_vad, queries_signal, queries_files)
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": lambda s, d: intervals.periods_and_gaps(table(s, d, "vad_lists"))}
+    return {k: q for part in _PARTS for k, q in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3}
-
-
-P3 = """
-WITH c AS (SELECT session, reel, coalesce(lower(trim(time_unit)) = 'ms', false) AS ms, unnest(range(len(vad))) AS channel, unnest(vad) AS segs FROM vad_lists),
-g AS (SELECT session, reel, ms, channel, unnest(segs) AS seg FROM c),
-s AS (SELECT session, reel, channel, greatest(least(x, y), 0) AS a, greatest(x, y) AS b
-      FROM (SELECT *, CAST(round(seg[1] * CASE WHEN ms THEN 1000 ELSE 1000000 END) AS BIGINT) AS x, CAST(round(seg[2] * CASE WHEN ms THEN 1000 ELSE 1000000 END) AS BIGINT) AS y
-            FROM g WHERE len(seg) = 2 AND seg[1] IS NOT NULL AND seg[2] IS NOT NULL AND isfinite(seg[1]) AND isfinite(seg[2])) WHERE greatest(x, y) > greatest(least(x, y), 0)),
-m AS (SELECT *, max(b) OVER (PARTITION BY session, reel, channel ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM s),
-i AS (SELECT *, sum(CASE WHEN upto IS NULL OR a > upto THEN 1 ELSE 0 END) OVER (PARTITION BY session, reel, channel ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS n FROM m),
-p AS (SELECT session, reel, channel, n, min(a) AS a, max(b) AS b FROM i GROUP BY ALL),
-o AS (SELECT session, reel, channel, 'period' AS kind, a, b FROM p
-      UNION ALL SELECT session, reel, channel, 'gap', b, nxt FROM (SELECT *, lead(a) OVER (PARTITION BY session, reel, channel ORDER BY n) AS nxt FROM p) WHERE nxt IS NOT NULL)
-SELECT session, reel, CAST(channel AS INT) AS channel, kind, CAST(round(a / 1000) AS BIGINT) AS start_ms, CAST(round(b / 1000) AS BIGINT) AS end_ms FROM o"""
+    return {k: q for part in _PARTS for k, q in part.SQL.items()}
