@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import lru_cache
 from math import ceil, floor
 
@@ -201,9 +202,10 @@ def class_pairs(texts: DataFrame, share: float = SHARE) -> DataFrame:
     p = prefixes(texts, bigram_counts(texts), share)
     name = lambda df, s: df.select(*(F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "m0", "m1", "m2", "m3")), "key")
     a, b = name(p.where("in_train"), "a"), name(p.where("in_eval"), "b")
-    need = F.ceil(F.round(F.lit(share) * F.greatest("na", "nb"), 9))
+    part = Fraction(share).limit_denominator(1000)  # whole numbers: rounding doubles is slow in the inner loop of the join
+    need = F.expr(f"({part.numerator} * greatest(na, nb) + {part.denominator - 1}) div {part.denominator}")
     apart = sum((F.bit_count(F.col(f"m{i}a").bitwiseXOR(F.col(f"m{i}b"))) for i in range(1, 4)), F.bit_count(F.col("m0a").bitwiseXOR(F.col("m0b"))))
-    near = (F.least("na", "nb") >= need) & (apart <= F.col("na") + F.col("nb") - 2 * need) & (F.col("clsa") != F.col("clsb"))
+    near = (apart <= F.col("na") + F.col("nb") - 2 * need) & (F.least("na", "nb") >= need) & (F.col("clsa") != F.col("clsb"))
     cand = cut(a.join(b, "key").where(near).select(F.col("clsa").alias("a"), F.col("clsb").alias("b")).distinct())
 
     @F.pandas_udf("boolean")
