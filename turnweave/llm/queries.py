@@ -31,7 +31,7 @@ def queries() -> dict[str, Query]:
         "p1_shares": _p1_shares,
         "p2_found": lambda s, d: pieces.found(t(s, d, "clips"), t(s, d, "clip_limits")),
         "p2_pieces": lambda s, d: pieces.pieces(t(s, d, "clips"), t(s, d, "clip_limits")),
-        "p4_found": lambda s, d: transcript.turns(t(s, d, "transcripts")).drop("text"),
+        "p4_found": lambda s, d: transcript.turns(t(s, d, "transcripts"), with_text=False),
         "p4_turns": lambda s, d: transcript.turns(t(s, d, "transcripts")),
         "p5_found": lambda s, d: overlap.found(t(s, d, "text_dialogs")),
         "p5_report": lambda s, d: overlap.report(t(s, d, "text_dialogs")),

@@ -222,8 +222,9 @@ def speaker_of(label: Column) -> Column:
     return F.when(s.isin(*SPEAKER_A), F.lit("A")).when(s.isin(*SPEAKER_B), F.lit("B"))
 
 
-def read_lines(transcripts: DataFrame) -> DataFrame:
-    """(session, reel, line_no, line_id, loaded_at, speaker, start, end, text, spoken) of every delivered row."""
+def read_lines(transcripts: DataFrame, with_text: bool = True) -> DataFrame:
+    """(session, reel, line_no, line_id, loaded_at, speaker, start, end, text, spoken) of every delivered row; without
+    its text, which is then empty, a row takes little of the shuffles that follow."""
     import pyarrow as pa
 
     words = F.array_sort(F.filter("words", lambda w: w["word"].isNotNull()), lambda a, b: F.when(_less(a["start"], b["start"]), -1).when(_less(b["start"], a["start"]), 1).otherwise(0))
@@ -240,6 +241,8 @@ def read_lines(transcripts: DataFrame) -> DataFrame:
         for b in batches:
             got = [read_line(x, d or "") for x, d in zip(b.column("raw").to_pylist(), b.column("dataset").to_pylist())]
             cols = list(zip(*got)) if got else [()] * 5
+            if not with_text:
+                cols[3] = ("",) * len(got)
             new = [pa.array(c, k) for c, k in zip(cols, (pa.float64(), pa.float64(), pa.string(), pa.string(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *new], names=[*keep, "ts", "te", "label", "clean", "spoken"])
 
@@ -255,13 +258,13 @@ def _less(a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(float("-inf"))) < F.coalesce(b, F.lit(float("-inf")))
 
 
-def lines(transcripts: DataFrame) -> DataFrame:
+def lines(transcripts: DataFrame, with_text: bool = True) -> DataFrame:
     """(session, reel, line_no, speaker, start, end, text): the lines that hold, continued lines joined.
 
     A spoken word somewhere, a speaker and a time are needed. Rows with a null line_no are lines of their own that
     continue nothing; null sessions and reels are keys like any other.
     """
-    r = read_lines(transcripts)
+    r = read_lines(transcripts, with_text)
     numbered = r.where("line_no is not null").withColumn("b", F.floor(F.col("line_no") / LINES_IN_BUCKET))
     value = F.struct("speaker", "start", "end", "text", "spoken")
     k = ["session", "reel"]
@@ -282,12 +285,13 @@ def lines(transcripts: DataFrame) -> DataFrame:
     return one.unionByName(loose).where("spoken and speaker is not null and start is not null").select(*k, F.col("of").alias("line_no"), "speaker", "start", F.greatest("start", F.coalesce("end", "start")).alias("end"), "text")
 
 
-def turns(transcripts: DataFrame) -> DataFrame:
-    """(session, reel, speaker, start_ms, end_ms, text): maximal runs of lines of one speaker in order of start.
+def turns(transcripts: DataFrame, with_text: bool = True) -> DataFrame:
+    """(session, reel, speaker, start_ms, end_ms[, text]): maximal runs of lines of one speaker in order of start.
 
     Lines with one start stand in order of line_no. A turn reaches from its first start to its greatest end, in whole
     milliseconds, rounded. An empty table gives no rows; other columns of the input are ignored.
     """
-    t = lines(transcripts)
-    m = merge_runs(t, ["session", "reel"], ["start", "line_no"], "speaker", F.floor(F.col("start") / SECONDS_IN_BUCKET), {"s": ("min", "start"), "e": ("max", "end"), "text": ("text", "text")})
-    return m.select("session", "reel", "speaker", *(F.round(F.col(c) * 1000).cast("long").alias(n) for c, n in (("s", "start_ms"), ("e", "end_ms"))), "text")
+    t = lines(transcripts, with_text)
+    aggs = {"s": ("min", "start"), "e": ("max", "end")} | ({"text": ("text", "text")} if with_text else {})
+    m = merge_runs(t, ["session", "reel"], ["start", "line_no"], "speaker", F.floor(F.col("start") / SECONDS_IN_BUCKET), aggs)
+    return m.select("session", "reel", "speaker", *(F.round(F.col(c) * 1000).cast("long").alias(n) for c, n in (("s", "start_ms"), ("e", "end_ms"))), *(["text"] if with_text else []))
