@@ -66,8 +66,9 @@ def session_key(dataset: Column, session: Column, path: Column | None = None) ->
 def components(edges: DataFrame, u: str = "u", v: str = "v", seed: int = 1234) -> DataFrame:
     """(vertex, label) for every vertex that was collapsed into another; a vertex not listed is its own label.
 
-    Loops, repeated and reversed edges and edges with a null end change nothing. Every round is cut by a checkpoint,
-    and the keys that hold many edges are salted when edges are rewritten.
+    Loops, repeated and reversed edges and edges with a null end change nothing. Every round ends in a written table.
+    Edges are distinct before they are rewritten, so a hot vertex has no more rows than it has neighbours; its join
+    with the one row of its mate is split by adaptive execution.
     """
     e = _tidy(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null"))
     e = cut(e)
@@ -78,7 +79,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", seed: int = 1234) -
         mate = cut(both.where(tails("u") & ~tails("v")).groupBy("u").agg(F.min("v").alias("mate")))
         for c in ("u", "v"):
             m = mate.select(F.col("u").alias(c), "mate")
-            e = lookup(e, m, c).withColumn(c, F.coalesce("mate", c)).drop("mate")
+            e = e.join(m, c, "left").withColumn(c, F.coalesce("mate", c)).drop("mate")
         e = cut(_tidy(e))
         mates.append(mate)
     if not mates:
@@ -86,7 +87,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", seed: int = 1234) -
     parents = cut(union_all(mates).select(F.col("u").alias("vertex"), F.col("mate").alias("label")))
     for _ in range(ceil(log2(len(mates))) if len(mates) > 1 else 0):
         above = parents.select(F.col("vertex").alias("label"), F.col("label").alias("up"))
-        parents = cut(lookup(parents, above, "label").select("vertex", F.coalesce("up", "label").alias("label")))
+        parents = cut(parents.join(above, "label", "left").select("vertex", F.coalesce("up", "label").alias("label")))
     return parents
 
 
