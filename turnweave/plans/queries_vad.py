@@ -139,7 +139,7 @@ SQL = {
     "p3_found": """
 WITH c AS (SELECT session, reel, coalesce(lower(trim(time_unit)) = 'ms', false) AS ms, unnest(range(len(vad))) AS channel, unnest(vad) AS segs FROM vad_lists),
 g AS (SELECT session, reel, ms, channel, unnest(segs) AS seg FROM c),
-s AS (SELECT session, reel, channel, greatest(least(x, y), 0) AS a, greatest(x, y) AS b
+s AS (SELECT DISTINCT session, reel, channel, greatest(least(x, y), 0) AS a, greatest(x, y) AS b
       FROM (SELECT *, CAST(round(seg[1] * CASE WHEN ms THEN 1000 ELSE 1000000 END) AS BIGINT) AS x, CAST(round(seg[2] * CASE WHEN ms THEN 1000 ELSE 1000000 END) AS BIGINT) AS y
             FROM g WHERE len(seg) = 2 AND seg[1] IS NOT NULL AND seg[2] IS NOT NULL AND isfinite(seg[1]) AND isfinite(seg[2])) WHERE greatest(x, y) > greatest(least(x, y), 0)),
 m AS (SELECT *, max(b) OVER (PARTITION BY session, reel, channel ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM s),

@@ -16,11 +16,14 @@ from turnweave.functions import features
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
     """(file, line_no, line): transcript files are small, so each is one record that is split inside the scan's task."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    t = (r.option("pathGlobFilter", glob) if glob else r).text(path)
+    t = _whole(spark, path, glob)
     return t.select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line_no", "line"))
 
 
+def _whole(spark: SparkSession, path: str | list[str], glob: str | None) -> DataFrame:
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+
+
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, length) without reading contents."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -29,8 +32,7 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.DataType, glob: str | None = None) -> DataFrame:
     """(file, value): one JSON document a file, read with a declared schema; a broken document gives null."""
-    r = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    t = (r.option("pathGlobFilter", glob) if glob else r).text(path)
+    t = _whole(spark, path, glob)
     return t.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("value"))
 
 
