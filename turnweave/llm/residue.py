@@ -104,7 +104,7 @@ _BEFORE = r"(?=\s*(?:[,.:;!?]|$|calling|and|lasted|was|in the|fue|dauerte|a ét
 VALUES = re.compile(rf"\b{_AFTER}\s+(?:undefined|null|nan|\$\d(?![\d.,]*\d))(?!\w){_BEFORE}", re.IGNORECASE | re.MULTILINE)
 NAN = re.compile(r"(?<!\w)(?:NaN)(?!\w)")
 DOLLAR = re.compile(r"(?<![\w$])\$[0-9](?![\d.,]*\d|\w)")
-MONEY = re.compile(r"\b(?:costs?|cost|paid?|pays?|price|worth|only|about|than|over|under|spent?)\s*$", re.IGNORECASE)
+MONEY = re.compile(r"\b(?:costs?|cost|paid?|pays?|price|worth|only|about|than|over|under|of|spent?)\s*$", re.IGNORECASE)
 #: Sounds and signs of annotation in double brackets.
 NOT_FIELDS = frozenset("skip laughter noise sigh cough mn breath silence inaudible".split())
 #: Words of a sentence that talks about a placeholder instead of leaving one unfilled.

@@ -231,7 +231,7 @@ def read_lines(transcripts: DataFrame, with_text: bool = True) -> DataFrame:
     number = lambda c: F.when(~F.isnan(c), F.col(c))
     t = transcripts.select(
         "session", "reel", "line_no", "line_id", "loaded_at", F.lower(F.trim("dataset_name")).alias("dataset"), speaker_of(F.col("speaker")).alias("speaker"),
-        number("start").alias("cs"), number("end").alias("ce"), F.array_min("words.start").alias("ws"), F.array_max("words.end").alias("we"),
+        number("start").alias("cs"), number("end").alias("ce"), F.array_min(F.transform(words, lambda w: w["start"])).alias("ws"), F.array_max(F.transform(words, lambda w: w["end"])).alias("we"),
         F.coalesce("text", F.array_join(F.transform(words, lambda w: w["word"]), " "), F.lit("")).alias("raw"),
     )
     keep = ["session", "reel", "line_no", "line_id", "loaded_at", "speaker", "cs", "ce", "ws", "we"]
