@@ -167,13 +167,11 @@ def bigram_counts(texts: DataFrame, buckets: int = COUNT_BUCKETS):
 
 
 def prefixes(texts: DataFrame, counts, share: float = SHARE) -> DataFrame:
-    """(cls, in_train, in_eval, n, m0..m3, key): the rarest bigrams of each class, as many as its length demands."""
+    """(cls, n, m0..m3, key): the rarest bigrams of each class, as many as its length demands."""
     import numpy as np
     import pyarrow as pa
 
     shared = texts.sparkSession.sparkContext.broadcast(counts)
-    flags = ["cls", "in_train", "in_eval"]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = shared.value
         for b in batches:
@@ -191,17 +189,17 @@ def prefixes(texts: DataFrame, counts, share: float = SHARE) -> DataFrame:
                 maps += [_bitmap(ws)] * k
             idx = pa.array(at, pa.int64())
             m = np.array(maps, np.int64).reshape(-1, 4)
-            cols = [b.column(c).take(idx) for c in flags] + [pa.array(ns, pa.int32()), *(pa.array(m[:, j]) for j in range(4)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))]
-            yield pa.RecordBatch.from_arrays(cols, names=[*flags, "n", "m0", "m1", "m2", "m3", "key"])
+            cols = [b.column("cls").take(idx)] + [pa.array(ns, pa.int32()), *(pa.array(m[:, j]) for j in range(4)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, names=["cls", "n", "m0", "m1", "m2", "m3", "key"])
 
-    return texts.select(*flags, "words").mapInArrow(run, "cls string, in_train boolean, in_eval boolean, n int, m0 bigint, m1 bigint, m2 bigint, m3 bigint, key bigint")
+    return texts.select("cls", "words").mapInArrow(run, "cls string, n int, m0 bigint, m1 bigint, m2 bigint, m3 bigint, key bigint")
 
 
 def class_pairs(texts: DataFrame, share: float = SHARE) -> DataFrame:
     """(a, b): each pair of a training and an evaluation class that overlap, equal classes included."""
-    p = prefixes(texts, bigram_counts(texts), share)
+    counts = bigram_counts(texts)
     name = lambda df, s: df.select(*(F.col(c).alias(f"{c}{s}") for c in ("cls", "n", "m0", "m1", "m2", "m3")), "key")
-    a, b = name(p.where("in_train"), "a"), name(p.where("in_eval"), "b")
+    a, b = (name(prefixes(texts.where(flag), counts, share), s) for flag, s in (("in_train", "a"), ("in_eval", "b")))
     part = Fraction(share).limit_denominator(1000)  # whole numbers: rounding doubles is slow in the inner loop of the join
     need = F.expr(f"({part.numerator} * greatest(na, nb) + {part.denominator - 1}) div {part.denominator}")
     apart = sum((F.bit_count(F.col(f"m{i}a").bitwiseXOR(F.col(f"m{i}b"))) for i in range(1, 4)), F.bit_count(F.col("m0a").bitwiseXOR(F.col("m0b"))))
