@@ -38,6 +38,12 @@ def test_long_line():
     assert X.read_line(text, "fisher")[3] == " ".join(["well"] * 30_000)
 
 
+@pytest.mark.parametrize("sign", ["[", "{", "((", "(", "<", "//", "*", "[[", "**"])
+def test_unclosed(sign):
+    assert X.read_line(f"so {sign} it", "fisher")[3:] == ("so it", True)
+    X.read_line(sign * 200_000, "fisher")
+
+
 def test_speakers(spark):
     v = ["A", " b", "A.", "SPEAKER_B", "spk_A", "ch1", "channel 0", "speaker a:", "user", "agent", "?", "", None, "0", "C"]
     got = [r[0] for r in spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x string").orderBy("i").select(X.speaker_of(F.col("x"))).collect()]

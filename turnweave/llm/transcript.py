@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnweave.operators.islands import merge_runs
-from turnweave.runtime import carry_over_buckets
+from turnweave.runtime import carry_over_buckets, cut
 
 LINES_IN_BUCKET = 1024
 SECONDS_IN_BUCKET = 1800
@@ -120,6 +120,7 @@ def read_line(text: str, dataset: str) -> tuple[float | None, float | None, str
     head = at
     found = sorted(((e - v[1] + 1, e + 1, v) for e, v in automaton().iter(low)), key=lambda x: (x[0], -x[1]))
     upto = at
+    open_ended: set[str] = set()
     for s, e, (kind, _, value) in found:
         if s < upto:
             continue
@@ -135,7 +136,13 @@ def read_line(text: str, dataset: str) -> tuple[float | None, float | None, str
                 out.append((s, f))
                 upto = f
         else:
+            if value in open_ended:
+                out.append((s, e))
+                upto = e
+                continue
             spans, upto = _markup(low, s, value, dataset)
+            if len(spans) == 1 and spans[0][1] - s == len(value) and value != "*":
+                open_ended.add(value)  # it has no end, so no later one has
             out += spans
     kept, last = [], 0
     for s, e in sorted(out):
@@ -264,7 +271,7 @@ def lines(transcripts: DataFrame, with_text: bool = True) -> DataFrame:
     A spoken word somewhere, a speaker and a time are needed. Rows with a null line_no are lines of their own that
     continue nothing; null sessions and reels are keys like any other.
     """
-    r = read_lines(transcripts, with_text)
+    r = cut(read_lines(transcripts, with_text))  # read below in several ways, and the texts are to be read once
     numbered = r.where("line_no is not null").withColumn("b", F.floor(F.col("line_no") / LINES_IN_BUCKET))
     value = F.struct("speaker", "start", "end", "text", "spoken")
     k = ["session", "reel"]
