@@ -54,5 +54,9 @@ def test_dataframe(spark):
     assert sorted(map(str, R.clean(df).collect())) == sorted(map(str, df.where("doc_id in (2, 3)").collect()))
     assert {(r["source"], r["kind"]): r["documents"] for r in R.report(df).collect()} == {("a", "residue"): 2, ("a", "placeholder"): 1, ("a", "kept"): 1, (None, "kept"): 1}
     assert R.found(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        R.mark(df, out="kind")
+    assert R.mark(df, out="Kind").where("doc_id = 4").first()["Kind"] == "placeholder"
+
+
+@pytest.mark.parametrize("text", ['"' * 300_000, "[" * 300_000, "{{" * 100_000, "_" * 300_000, "." * 300_000, "x" * 300_000, "( " * 100_000, "not found " * 30_000])
+def test_odd_and_long(text):
+    R.judge(text)

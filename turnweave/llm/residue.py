@@ -98,7 +98,7 @@ SYNTAX = re.compile(
 #: Brackets around a bare name: a placeholder only if the name is one of a field.
 BRACKETED = re.compile(r"(?<!\w)(?:\{([A-Za-z][\w.\-]*)\}|\[([A-Za-z][\w.\-]*)\])(?!\w)")
 #: Blank lines to fill in, and values of programs, which are placeholders only where a value belongs.
-BLANKS = re.compile(r"(?<=[^\s_.])[ \t,:;(«\"']+(?:_{5,}|\.{6,}|…{3,})(?!\s*\d)|^[ \t]*(?:_{5,}|\.{6,})(?=[ \t,.:]+[^\W\d_])", re.MULTILINE)
+BLANKS = re.compile(r"(?<=[^\s_.])[ \t,:;(«\"']{1,8}(?:_{5,}|\.{6,}|…{3,})(?!\s*\d)|^[ \t]*(?:_{5,}|\.{6,})(?=[ \t,.:]+[^\W\d_])", re.MULTILINE)
 _AFTER = r"(?:dear|hello|hi|hola|bonjour|hallo|hey|liebe\(r\)|lieber?|morning|by|from|with|on|for|von|mit|por|con|par|avec|pour|für|booked,|speaker:|speaker|name is|this is|i am|to)"
 _BEFORE = r"(?=\s*(?:[,.:;!?]|$|calling|and|lasted|was|in the|fue|dauerte|a été|au|en el|im)|\s+[^\W\d_])"
 VALUES = re.compile(rf"\b{_AFTER}\s+(?:undefined|null|nan|\$\d(?![\d.,]*\d))(?!\w){_BEFORE}", re.IGNORECASE | re.MULTILINE)
@@ -264,18 +264,16 @@ def mark(docs: DataFrame, text: str = "text", out: str = "residue") -> DataFrame
     """``docs`` with the column ``out``: ``placeholder``, ``residue`` or null for content to keep.
 
     Every row stays, repeated ones and those with null, empty or blank texts too (they are no cases); other columns
-    stay as they are; one already named ``out`` raises a ValueError.
+    stay as they are, but for one already named ``out``, which is replaced.
     """
     import pyarrow as pa
 
-    if out in docs.columns:
-        raise ValueError(f"the input has a column {out}")
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{out}` string"
+    names = [c for c in docs.columns if c.lower() != out.lower()]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + f", `{out}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([judge(t) for t in b.column(text).to_pylist()], pa.string())], names=[*names, out])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([judge(t) for t in b.column(text).to_pylist()], pa.string())], names=[*names, out])
 
     return docs.mapInArrow(run, schema)
 

@@ -107,7 +107,7 @@ def record_groups(recordings: DataFrame, session_links: DataFrame, seed: int = 1
     links = session_links.where(F.lower(F.trim("relation")).isin(*SAME_CALL)).select(
         session_key(F.col("dataset_name"), F.col("session")).alias("u"), session_key(F.col("linked_dataset_name"), F.col("linked_session")).alias("v")
     )
-    several = rec.groupBy("rec_id").agg(F.min("s").alias("u"), F.max("s").alias("_x"), F.sum("rows").alias("rows")).cache()
+    several = cut(rec.groupBy("rec_id").agg(F.min("s").alias("u"), F.max("s").alias("_x"), F.sum("rows").alias("rows")))
     joined = rec.join(several.where("u <> _x").select("rec_id", "u"), "rec_id").select("u", F.col("s").alias("v"))
     labels = components(links.unionByName(joined), seed=seed)
     by_session = rec.where("s is not null").groupBy("s").agg(F.min("rec_id").alias("lo"), F.max("rec_id").alias("hi"))

@@ -120,16 +120,15 @@ def _map(docs: DataFrame, text: str, path: str | None, counts: bool, pattern: st
     import pyarrow as pa
 
     content = share_ranks(docs.sparkSession, path)
-    kept = [c for c in docs.columns if c != text]
     new, kind = ("n_tokens", "bigint") if counts else ("ids", "array<int>")
-    if new in kept:
-        raise ValueError(f"the input has a column {new}")
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text), f"{new} {kind}"])
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), new)]
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in kept), f"{new} {kind}"])
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = bpe_of(content, pattern)
         for b in batches:
-            encoded = [bpe.encode(t) for t in b.column(text).to_pylist()]
+            encoded = [bpe.encode(t) for t in b.column("_text").to_pylist()]
             col = pa.array([len(x) for x in encoded], pa.int64()) if counts else pa.array(encoded, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), col], names=[*kept, new])
 
@@ -139,7 +138,8 @@ def _map(docs: DataFrame, text: str, path: str | None, counts: bool, pattern: st
 def encode(docs: DataFrame, text: str = "text", path: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """``docs`` with the column ``text`` replaced by ``ids``; one pass without a shuffle, whole texts.
 
-    Other columns stay as they are; one named ``ids`` raises a ValueError. Rows, repeated ones too, stay one to one.
+    Other columns stay as they are, but for one already named ``ids``, which is replaced. Rows, repeated ones too, stay
+    one to one.
     """
     return _map(docs, text, path, False, pattern)
 
