@@ -89,6 +89,17 @@ def test_pitch_parts():
     assert N.fit_frames(np.array([1.0, 2.0]), 1000, 250, True).tolist() == [1, 2, 2, 2]
 
 
+def test_mfcc_by_definition():
+    x = np.random.default_rng(3).standard_normal(500)
+    got = N.mfcc(x, 8000, 128, 64, 5, 12)
+    frame = np.pad(x, 64, mode="reflect")[64 * 3 : 64 * 3 + 128] * N.hann(128)
+    power = np.array([abs(sum(frame[t] * np.exp(-2j * np.pi * k * t / 128) for t in range(128))) ** 2 for k in range(65)])
+    mel = 10 * np.log10(power @ N.mel_matrix(8000, 128, 12))
+    want = [(np.sqrt(1 / 12) if c == 0 else np.sqrt(2 / 12)) * sum(mel[m] * np.cos(np.pi * c * (m + 0.5) / 12) for m in range(12)) for c in range(5)]
+    assert got.shape == (8, 5) and np.allclose(got[3], want)
+    assert N.feature_index(("a", "b")) == ({"a": 0, "b": 1}, {0: "a", 1: "b"})
+
+
 def test_resample():
     t = np.arange(8000) / 8000
     x = np.sin(2 * np.pi * 440 * t)

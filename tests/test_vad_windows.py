@@ -76,6 +76,9 @@ def test_dialog_audio(spark):
     assert flipped["vad"][10] == [0, 1] and flipped["waveform"][1][5] == 5.0
     ipu = DialogAudio(kind="ipu", hz=10, duration=10.0, context=4.0, pause=0.5, least=0.5).clips(ses, seg).collect()
     assert [(round(r["start"], 6), round(r["end"], 6)) for r in ipu] == [(0.0, 10.0), (8.0, 18.0)]
+    whole = {r["session"]: r for r in flow.dialogs(ses, seg, wav, flip=True).collect()}
+    assert set(whole) == {"a"} and len(whole["a"]["vad"]) == 220 and whole["a"]["vad"][10] == [0, 1] and whole["a"]["waveform"][1][5] == 5.0
+    assert len(flow.dialogs(ses, seg).where("session = 'b'").first()["history"]) == 30
 
 
 def test_response_offsets(spark):

@@ -221,6 +221,11 @@ def fit_frames(f0: np.ndarray, n_samples: int, hop: int, interpolated: bool = Fa
     return np.concatenate((f0, np.full(max(0, want - len(f0)), fill)))[:want]
 
 
+def feature_index(names: tuple[str, ...]) -> tuple[dict[str, int], dict[int, str]]:
+    """Position of each feature by name, and name by position."""
+    return {n: i for i, n in enumerate(names)}, dict(enumerate(names))
+
+
 def apply_1d(x: Column, f: Callable[[np.ndarray], np.ndarray]) -> Column:
     """``f`` (signal -> one value a frame) on an array column; null stays null."""
 

@@ -24,6 +24,11 @@ def z_norm_nonzero(df: DataFrame, columns: list[str]) -> DataFrame:
     return j.withColumns(scaled).drop(*(f"_{n}_{c}" for c in columns for n in "ms"))
 
 
+def normalize_features(df: DataFrame, keys: list[str], regular: list[str], special: list[str]) -> DataFrame:
+    """Regular features by :func:`z_norm` within ``keys``, those that are 0 where undefined by :func:`z_norm_nonzero`."""
+    return z_norm_nonzero(z_norm(df, keys, regular), special)
+
+
 def nonzero_range(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
     """(keys, low, high): the least value other than 0 and the greatest value."""
     return df.groupBy(*keys).agg(F.min(F.when(F.col(column) != 0, F.col(column))).alias("low"), F.max(column).alias("high"))

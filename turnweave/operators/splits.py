@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.runtime import carry_over_buckets
+from turnweave.runtime import carry_over_buckets, cut
 
 
 def positions(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
     """``df`` with its position from 0 in ``order``, which should tell rows apart.
 
-    Rows are range-partitioned, numbered in their partition, and the sizes of earlier partitions are added.
+    Rows are range-partitioned, numbered in their partition, and the sizes of earlier partitions are added. The
+    partition of each row is written down first: read twice, it must be the same both times.
     """
-    p = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    p = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     before = carry_over_buckets(p.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(0)), ["_all"], "_p", {"_before": (F.col("_n"), "before")}).drop("_all")
     w = Window.partitionBy("_p").orderBy(*order)
     return p.join(F.broadcast(before), "_p").withColumn(out, F.col("_before") + F.row_number().over(w) - 1).drop("_p", "_before")

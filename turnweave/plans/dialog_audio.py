@@ -85,3 +85,18 @@ class DialogAudio:
             if signals is not None:
                 out = out.withColumn("waveform", F.when(draw, A.flip_channels(F.col("waveform"))).otherwise(F.col("waveform")))
         return out
+
+    def dialogs(self, sessions: DataFrame, segments: DataFrame, signals: DataFrame | None = None, flip: bool = False) -> DataFrame:
+        """(session, vad, history[, waveform]): whole dialogues, the horizon appended to ``vad`` as zeros."""
+        hs = [f"h{i}" for i in range(len(self.history_times) + 1)]
+        f = self.frames(sessions, segments)
+        if flip:
+            f = V.flip(f).withColumns({h: 1 - F.col(h) for h in hs})
+        item = F.struct("frame", F.array("v0", "v1").alias("v"), F.array(*hs).alias("h"))
+        g = f.groupBy("session").agg(F.array_sort(F.collect_list(item)).alias("_x"))
+        zeros = F.array_repeat(F.array(F.lit(0), F.lit(0)), self._f(self.horizon))
+        out = g.select("session", F.concat("_x.v", zeros).alias("vad"), F.col("_x.h").alias("history"))
+        if signals is None:
+            return out
+        out = out.join(signals, "session")
+        return out.withColumn("waveform", A.flip_channels(F.col("waveform"))) if flip else out

@@ -96,12 +96,13 @@ def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
 def lookup(big: DataFrame, unique: DataFrame, key: str, how: str = "left", hot: DataFrame | None = None, salts: int = 32) -> DataFrame:
     """``big`` joined with a side that has one row for each key, hot keys of ``big`` spread over ``salts`` tasks.
 
-    Only the rows of hot keys (a broadcast list of bounded length, see :func:`hot_keys`) are salted, and only those
-    keys are repeated on the unique side, so the shuffle grows by at most ``HOT_SHARE * salts`` rows.
+    Only the rows of hot keys (a broadcast list of bounded length, see :func:`hot_keys`) and those without a key, which
+    match nothing, are salted, and only hot keys are repeated on the unique side, so the shuffle grows by at most
+    ``HOT_SHARE * salts`` rows.
     """
     hot = (hot if hot is not None else hot_keys(big, key)).select(F.col(key).alias("_hk"))
     b = big.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-    b = b.withColumn("_salt", F.when(F.col("_hk").isNotNull(), (F.rand(7) * salts).cast("int")).otherwise(0)).drop("_hk")
+    b = b.withColumn("_salt", F.when(F.col("_hk").isNotNull() | F.col(key).isNull(), (F.rand(7) * salts).cast("int")).otherwise(0)).drop("_hk")
     u = unique.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     u = u.withColumn("_salt", F.explode(F.when(F.col("_hk").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hk")
     return b.join(u, [key, "_salt"], how).drop("_salt")
