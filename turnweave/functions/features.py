@@ -9,9 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from turnweave.runtime import ship
+
 EPS = 1e-9
 
 
@@ -229,6 +231,8 @@ def feature_index(names: tuple[str, ...]) -> tuple[dict[str, int], dict[int, str
 def apply_1d(x: Column, f: Callable[[np.ndarray], np.ndarray]) -> Column:
     """``f`` (signal -> one value a frame) on an array column; null stays null."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<double>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else np.asarray(f(np.asarray(v, float)), float).tolist())
@@ -239,6 +243,8 @@ def apply_1d(x: Column, f: Callable[[np.ndarray], np.ndarray]) -> Column:
 def apply_2d(x: Column, f: Callable[[np.ndarray], np.ndarray]) -> Column:
     """``f`` (signal -> frames by values) on an array column; NaN becomes null."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("array<array<double>>")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else [[None if y != y else float(y) for y in r] for r in f(np.asarray(v, float))])

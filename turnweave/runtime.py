@@ -9,7 +9,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +39,23 @@ def session(app: str = "turnweave", master: str | None = None, **conf: str) -> S
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """This package sent to the Python workers, once for each application: they needn't have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="turnweave-code-")) / f"turnweave-{sc.applicationId}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in root.rglob("*.py"):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(str(path))
+    _shipped.add(sc.applicationId)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where the session names none (tests)."""
     sc = spark.sparkContext
@@ -54,6 +73,7 @@ def cut(df: DataFrame) -> DataFrame:
     removed when Python ends.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_dir(spark)}/turnweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
@@ -74,6 +94,7 @@ def _remove_written() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

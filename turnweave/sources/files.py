@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from turnweave.functions import features
+from turnweave.runtime import ship
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
@@ -90,6 +91,8 @@ def load_waveform(content: Column, sample_rate: int | None = None, start: Column
     A peak of at most ``above`` is left as it is; after mixing down it is normalized again.
     """
 
+    ship(SparkSession.active())
+
     def scaled(x: np.ndarray) -> np.ndarray:
         p = np.abs(x).max(axis=1, keepdims=True, initial=0.0)
         return np.where(p > above, x / np.where(p > 0, p, 1), x)
