@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.runtime import cut, lookup
+from turnweave.runtime import cut, lookup, ship
 
 SHARE = 0.8
 #: Hashed buckets of bigram counts: the size of what is broadcast, whatever the corpus.
@@ -107,6 +107,7 @@ def classes(dialogs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     import pyarrow as pa
 
+    ship(dialogs.sparkSession)
     d = dialogs.select("dialog_id", side(F.col("split")).alias("side"), F.array_join("dialog", " ").alias("t"))
     d = d.where("dialog_id is not null and side is not null and t is not null").repartition(F.xxhash64("dialog_id"))
 

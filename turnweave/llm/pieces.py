@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.runtime import ship
+
 PAUSE_SECONDS = 0.2
 QUIET = 0.01
 #: Levels of strength outside pauses; one in a pause has LOUD_LEVELS + 1.
@@ -141,6 +143,7 @@ def pieces(clips: DataFrame, clip_limits: DataFrame, with_samples: bool = False)
     """
     import pyarrow as pa
 
+    ship(clips.sparkSession)
     limits = _limits(clip_limits)
     c = clips.select("clip_id", "dataset_name", "sample_rate", "vad", "loaded_at", "waveform").where("clip_id is not null")
     fields = "clip_id bigint, loaded_at {}, kind string, pieces array<struct<piece: int, start_sample: bigint, end_sample: bigint, rate: double, cut: string{}>>"

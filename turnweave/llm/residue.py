@@ -22,6 +22,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.runtime import ship
+
 SENTENCE_SHARE, DOCUMENT_SHARE = 0.5, 0.75
 HEADING_WORDS, FOOTER_WORDS, FOOTERS = 6, 4, 3
 
@@ -275,6 +277,7 @@ def mark(docs: DataFrame, text: str = "text", out: str = "residue") -> DataFrame
     """
     import pyarrow as pa
 
+    ship(docs.sparkSession)
     names = [c for c in docs.columns if c.lower() != out.lower()]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names) + f", `{out}` string"
 

@@ -20,6 +20,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnweave.runtime import ship
+
 #: Fixed value: the pattern that splits a text into pieces before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RANKS = "byte_bpe_50k.tiktoken"
@@ -112,6 +114,7 @@ def bpe_of(content: Broadcast, pattern: str = PATTERN) -> Bpe:
 
 
 def share_ranks(spark: SparkSession, path: str | None = None) -> Broadcast:
+    ship(spark)
     with open(path or vocabulary_path(), "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 

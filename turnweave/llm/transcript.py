@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnweave.operators.islands import merge_runs
-from turnweave.runtime import carry_over_buckets, cut
+from turnweave.runtime import carry_over_buckets, cut, ship
 
 LINES_IN_BUCKET = 1024
 SECONDS_IN_BUCKET = 1800
@@ -234,6 +234,7 @@ def read_lines(transcripts: DataFrame, with_text: bool = True) -> DataFrame:
     its text, which is then empty, a row takes little of the shuffles that follow."""
     import pyarrow as pa
 
+    ship(transcripts.sparkSession)
     words = F.array_sort(F.filter("words", lambda w: w["word"].isNotNull()), lambda a, b: F.when(_less(a["start"], b["start"]), -1).when(_less(b["start"], a["start"]), 1).otherwise(0))
     number = lambda c: F.when(~F.isnan(c), F.col(c))
     t = transcripts.select(
