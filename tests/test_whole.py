@@ -1,5 +1,8 @@
 """Queries that do the whole job: nothing is left out before the operators see it."""
 
+import numpy as np
+
+from turnweave.functions import features as N
 from turnweave.plans import registry
 
 
@@ -15,3 +18,24 @@ def test_every_path_is_joined(spark, tmp_path):
     spark.createDataFrame(t, schema).write.parquet(str(tmp_path / "transcripts.parquet"))
     got = sorted((r["rec_id"], r["session"], r["lines"]) for r in run(spark, "left_transcript_join_all", tmp_path).collect())
     assert got == [(1, "sw0000001", 2), (2, None, None), (3, "fe_0000002", 1)]
+
+
+def test_every_channel_has_features(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = {(1, 0): rng.standard_normal(300), (1, 1): rng.standard_normal(250), (2, 0): rng.standard_normal(120), (3, 0): rng.standard_normal(1), (4, 1): rng.standard_normal(210)}
+    x = {k: v.astype("float32").astype(float) for k, v in x.items()}
+    clips = [(1, [x[1, 0].tolist(), x[1, 1].tolist()]), (1, [x[1, 0].tolist(), x[1, 1].tolist()]), (2, [x[2, 0].tolist()]), (3, [x[3, 0].tolist()]), (4, [[], x[4, 1].tolist()]), (5, None), (6, [])]
+    spark.createDataFrame(clips, "clip_id long, waveform array<array<float>>").write.parquet(str(tmp_path / "clips.parquet"))
+    want = {"lpc": lambda v: N.lpc(v, 2, 40, 20), "mfcc": lambda v: N.mfcc(v, 100, 64, 32), "prosody": lambda v: N.prosody(v, 800), "bandpass": lambda v: N.bandpass(v, 4000), "resample": lambda v: N.resample(v, 100, 80)}
+    want |= {"nlfer": lambda v: N.nlfer(N.magnitude(v, 70, 20, 256), 2000, 256), "shc": lambda v: N.shc(N.magnitude(v, 70, 20, 256), 2000, 256), "nccf": lambda v: N.nccf(v, 2000, 70, 20)}
+    for name, f in want.items():
+        got = {(r["clip_id"], r["channel"], r["frame"]): r["v"] for r in run(spark, name, tmp_path).collect()}
+        full = {(*k, i): v for k, w in x.items() for i, v in enumerate(f(w))}
+        assert got.keys() == full.keys() and {k[:2] for k in got} == x.keys(), name
+        for k, v in full.items():
+            assert np.allclose(np.array(got[k], float), v, atol=1e-6, equal_nan=True), (name, k)
+    got = {(r["clip_id"], r["channel"]): r for r in run(spark, "peak_normalize_channels", tmp_path).collect()}
+    assert {k for k, r in got.items() if r["n"]} == x.keys() and (got[4, 0]["n"], got[4, 0]["peak"]) == (0, None)
+    assert all(abs(got[k]["peak"] - np.abs(v).max()) < 1e-5 for k, v in x.items())
+    for name in ("zero_crossings_channels", "time_slice_channels"):
+        assert {(r["clip_id"], r["channel"]) for r in run(spark, name, tmp_path).collect()} == got.keys()

@@ -14,7 +14,7 @@ from turnweave.functions import signal as S
 from turnweave.functions import timing as M
 from turnweave.operators import normalize, windows
 from turnweave.plans import tables
-from turnweave.plans.tables import CLIP_WAVES, WAVES
+from turnweave.plans.tables import CLIP_CHANNELS, CLIP_WAVES, WAVES
 from turnweave.runtime import table
 
 SIZE, HOP = 16, 8
@@ -36,6 +36,11 @@ def normalized(s: SparkSession, d: str) -> DataFrame:
     return c.select("clip_id", R6(S.peak(F.col("a"))).alias("peak"), R6(S.total(S.peak_normalize(F.col("a")))).alias("total"), F.size("a").alias("n"))
 
 
+def normalized_channels(s: SparkSession, d: str) -> DataFrame:
+    x = F.col("x")
+    return tables.clip_channels(s, d).select("clip_id", "channel", R6(S.peak(x)).alias("peak"), R6(S.total(S.peak_normalize(x))).alias("total"), F.size(x).alias("n"))
+
+
 def mono(s: SparkSession, d: str) -> DataFrame:
     m = S.to_mono(F.col("a"), F.col("b"))
     return tables.clip_waves(s, d).select("clip_id", F.size(m).alias("n"), R6(S.total(m)).alias("total"), R6(S.peak(m)).alias("peak"))
@@ -46,11 +51,20 @@ def crossings(s: SparkSession, d: str) -> DataFrame:
     return tables.clip_waves(s, d).select("clip_id", F.size(F.filter(z, lambda v: v)).alias("crossings"))
 
 
+def crossings_channels(s: SparkSession, d: str) -> DataFrame:
+    return tables.clip_channels(s, d).select("clip_id", "channel", F.size(F.filter(S.zero_crossings(F.col("x")), lambda v: v)).alias("crossings"))
+
+
 def sliced(s: SparkSession, d: str) -> DataFrame:
     x = S.time_slice(F.col("a"), F.lit(1.0), F.lit(2.5), F.lit(100))
     return tables.clip_waves(s, d).select("clip_id", F.size(x).alias("n"), R6(S.total(x)).alias("total"))
 
 
+def sliced_channels(s: SparkSession, d: str) -> DataFrame:
+    x = S.time_slice(F.col("x"), F.lit(1.0), F.lit(2.5), F.lit(100))
+    return tables.clip_channels(s, d).select("clip_id", "channel", F.size(x).alias("n"), R6(S.total(x)).alias("total"))
+
+
 def rows(s: SparkSession, d: str) -> DataFrame:
     w = table(s, d, "embeddings").select("vec_id", "label", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "x"))
     return w.withColumn("x", F.when(F.col("i") % 5 == 0, 0.0).otherwise(F.col("x")))
@@ -96,14 +110,14 @@ def time_math(s: SparkSession, d: str) -> DataFrame:
 
 
 def features(f: Callable[[np.ndarray], np.ndarray], two: bool) -> Callable[[SparkSession, str], DataFrame]:
-    """Rows of (clip_id, frame, values) of each clip's first channel."""
+    """Rows of (clip_id, channel, frame, values) of every channel of each clip; one without samples has no frame."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        w = tables.clip_waves(s, d).where(F.size("a") >= 200)
-        e = w.select("clip_id", F.posexplode((N.apply_2d if two else N.apply_1d)(F.col("a"), f)).alias("frame", "v"))
+        w = tables.clip_channels(s, d).where(F.size("x") > 0)
+        e = w.select("clip_id", "channel", F.posexplode((N.apply_2d if two else N.apply_1d)(F.col("x"), f)).alias("frame", "v"))
         if two:
-            return e.select("clip_id", "frame", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
-        return e.select("clip_id", "frame", R6("v").alias("v"))
+            return e.select("clip_id", "channel", "frame", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+        return e.select("clip_id", "channel", "frame", R6("v").alias("v"))
 
     return run
 
@@ -114,9 +128,12 @@ QUERIES = {
     "zcr": lambda s, d: framed(s, d, lambda x: S.zero_crossing_rate(x, SIZE, HOP), "zcr"),
     "weighted_frames": lambda s, d: framed(s, d, lambda x: F.transform(S.frames(S.pad_zero(x, SIZE), SIZE, HOP), lambda f: S.total(F.transform(S.weighted(f, S.hann(SIZE)), lambda v: v * v))), "energy"),
     "peak_normalize": normalized,
+    "peak_normalize_channels": normalized_channels,
     "mono_mix": mono,
     "zero_crossings": crossings,
+    "zero_crossings_channels": crossings_channels,
     "time_slice": sliced,
+    "time_slice_channels": sliced_channels,
     "z_norm": z_norm,
     "z_norm_nonzero": z_norm_nonzero,
     "value_range": value_range,
@@ -158,6 +175,10 @@ SELECT clip_id, round(peak, 6) AS peak, round({_SUM.format("list_transform(a, la
 SELECT clip_id, CAST(len(m) AS INT) AS n, round({_SUM.format("m")}, 6) AS total, round(list_max(list_transform(m, lambda v: abs(v))), 6) AS peak FROM m""",
     "zero_crossings": f"WITH {CLIP_WAVES} SELECT clip_id, CAST(len(list_filter(range(2, len(a) + 1), lambda i: (a[i] < 0) <> (a[i - 1] < 0))) AS INT) AS crossings FROM cwv",
     "time_slice": f"WITH {CLIP_WAVES} SELECT clip_id, CAST(len(a[101:250]) AS INT) AS n, round({_SUM.format('a[101:250]')}, 6) AS total FROM cwv",
+    "peak_normalize_channels": f"""WITH {CLIP_CHANNELS}, p AS (SELECT clip_id, channel, x, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM cch)
+SELECT clip_id, channel, round(peak, 6) AS peak, round({_SUM.format("list_transform(x, lambda v: CASE WHEN peak > 0.05 THEN v / peak ELSE v END)")}, 6) AS total, CAST(len(x) AS INT) AS n FROM p""",
+    "zero_crossings_channels": f"WITH {CLIP_CHANNELS} SELECT clip_id, channel, CAST(len(list_filter(range(2, len(x) + 1), lambda i: (x[i] < 0) <> (x[i - 1] < 0))) AS INT) AS crossings FROM cch",
+    "time_slice_channels": f"WITH {CLIP_CHANNELS} SELECT clip_id, channel, CAST(len(x[101:250]) AS INT) AS n, round({_SUM.format('x[101:250]')}, 6) AS total FROM cch",
     "z_norm": f"{_ROWS} SELECT vec_id, i, round((x - avg(x) OVER w) / stddev_samp(x) OVER w, 6) AS x FROM r WINDOW w AS (PARTITION BY vec_id)",
     "z_norm_nonzero": f"{_ROWS}, t AS (SELECT avg(x) FILTER (x <> 0) AS m, stddev_samp(x) FILTER (x <> 0) AS sd FROM r) SELECT vec_id, i, round(CASE WHEN x = 0 THEN 0 ELSE (x - m) / sd END, 6) AS x FROM r, t",
     "value_range": f"{_ROWS} SELECT label, round(min(x) FILTER (x <> 0), 6) AS low, round(max(x), 6) AS high FROM r GROUP BY label",

@@ -103,3 +103,14 @@ def clip_waves(s: SparkSession, d: str) -> DataFrame:
 CLIP_WAVES = """
 cw AS (SELECT clip_id, CAST(max(waveform) AS DOUBLE[][]) AS w FROM clips WHERE waveform IS NOT NULL GROUP BY clip_id),
 cwv AS (SELECT clip_id, coalesce(w[1], []) AS a, coalesce(w[2], []) AS b FROM cw)"""
+
+
+def clip_channels(s: SparkSession, d: str) -> DataFrame:
+    """clip_id, channel, x: every channel that a clip has, deliveries once, empty ones too."""
+    c = table(s, d, "clips").select("clip_id", F.col("waveform").cast("array<array<double>>").alias("w")).where("w is not null").groupBy("clip_id").agg(F.max("w").alias("w"))
+    return c.select("clip_id", F.posexplode("w").alias("channel", "x")).where("x is not null")
+
+
+CLIP_CHANNELS = """
+cch0 AS (SELECT clip_id, CAST(max(waveform) AS DOUBLE[][]) AS w FROM clips WHERE waveform IS NOT NULL GROUP BY clip_id),
+cch AS (SELECT clip_id, CAST(channel AS INT) AS channel, x FROM (SELECT clip_id, unnest(range(len(w))) AS channel, unnest(w) AS x FROM cch0) WHERE x IS NOT NULL)"""
