@@ -1,5 +1,7 @@
 """Problem 8: filler without a phrase of the automaton."""
 
+import time
+
 import pytest
 
 from turnweave.llm import residue as R
@@ -15,3 +17,26 @@ FILLER = [
 def test_filler_without_a_phrase(text):
     assert R.judge(text) == "residue"
     assert R.judge("Nobody found the sandwich so Bo had to explain it to all of them.\n" + text.split(". ")[0][:60]) is None
+
+
+WIDE = [
+    "Name:          ________", "Name:" + " " * 500 + "________", " " * 12 + "________ called about the sandwich", "_____. called about the sandwich", "________" + " " * 40 + "called about the sandwich", "Title , , , , , , , , , ________ was read",
+    "Call <INSERT CALLER-NAME AS IT STANDS IN THE CONTRACT> now", "[insert the title of the interview and the names of both speakers here] spoke",
+]
+
+
+@pytest.mark.parametrize("text", WIDE)
+def test_wide_blanks(text):
+    assert R.judge(text) == "placeholder"
+
+
+@pytest.mark.parametrize("text", ["Chapter 2 ..........            17", "Chapter 2:            ..........            17", "We talked          about the ferry...          then left.", "a < insert", "[insert"])
+def test_wide_content(text):
+    assert R.judge(text) is None
+
+
+@pytest.mark.parametrize("text", [", " * 150_000, "a" + " " * 300_000, "a:" + "," * 300_000, "<insert " * 40_000, "<insert " + "a" * 300_000, "[insert a" + " |" * 150_000, "<" + " " * 300_000, ("a" + " " * 50 + "_____") * 6_000, "_____" + " " * 300_000, "a _____" + " " * 300_000])
+def test_wide_is_linear(text):
+    began = time.process_time()
+    R.BLANKS.search(text), R.SYNTAX.search(text)
+    assert time.process_time() - began < 3

@@ -93,14 +93,20 @@ _FIELD = r"[A-Za-z][\w.\-]*(?:\s*\|\s*\w+)?"
 SYNTAX = re.compile(
     rf"(?<!\{{)\{{\{{++\s*{_FIELD}(?:\s*\}}\}}+)?|\$\{{\s*{_FIELD}\s*\}}|#\{{\s*{_FIELD}\s*\}}|<%=?\s*{_FIELD}\s*%>|\{{%\s*{_FIELD}\s*%\}}|%\({_FIELD}\)[sd]\b|\[\[\s*{_FIELD}\s*\]\]"
     rf"|(?<![\w%])%[A-Za-z][\w.\-]*%(?!\w)|@@{_FIELD}@@|(?<!\w)__[A-Za-z](?:[\w.\-]*[A-Za-z0-9])?__(?!\w)|(?<![\w~])~[A-Za-z][\w.\-]*~(?![\w~])|(?<![\w$])\$[A-Za-z][\w.\-]*\$(?![\w$])|\*\|\s*{_FIELD}\s*\|\*"
-    rf"|<<\s*{_FIELD}\s*>>|&lt;\s*{_FIELD}\s*&gt;|<\s*insert\s+{_FIELD}[^<>]{{0,20}}>|\[\s*insert\s+{_FIELD}[^\[\]]{{0,20}}\]|<\s*{_FIELD}\s+goes\s+here\s*>|\[\s*your\s+{_FIELD}\s*\]|\(\s*{_FIELD}\s+to\s+be\s+filled\s+in\s*\)"
+    rf"|<<\s*{_FIELD}\s*>>|&lt;\s*{_FIELD}\s*&gt;|<\s*+insert\s++[A-Za-z][^<>]*+>|\[\s*+insert\s++[A-Za-z][^\[\]]*+\]|<\s*{_FIELD}\s+goes\s+here\s*>|\[\s*your\s+{_FIELD}\s*\]|\(\s*{_FIELD}\s+to\s+be\s+filled\s+in\s*\)"
     rf"|\btodo\s*:\s*(?:add|insert|fill|set|replace)\b|\[\s*(?:tbd|tba|todo|fixme|placeholder)\s*\]|\bfixme\b|(?<![\w])x{{4,}}(?!\w)|\{{\d\}}|(?<![\w%])%[sd](?![\w%])|\[object object\]",
     re.IGNORECASE,
 )
 #: Brackets around a bare name: a placeholder only if the name is one of a field.
 BRACKETED = re.compile(r"(?<!\w)(?:\{([A-Za-z][\w.\-]*)\}|\[([A-Za-z][\w.\-]*)\])(?!\w)")
 #: Blank lines to fill in, and values of programs, which are placeholders only where a value belongs.
-BLANKS = re.compile(r"(?<=[^\s_.])[ \t,:;(«\"']{1,8}(?:_{5,}+|\.{6,}+|…{3,}+)(?!\s{0,8}\d)|^[ \t]{0,8}(?:_{5,}+|\.{6,}+)(?=[ \t,:]{1,8}[^\W\d_])", re.MULTILINE)
+_SEP = r"[ \t,:;(«\"']"
+#: A stretch of separators is read once, from its first character, whatever its width.
+BLANKS = re.compile(
+    rf"(?<!{_SEP})(?:(?<=[^\s_.]){_SEP}++|[ \t]*+[,:;(«\"']{_SEP}++)(?:_{{5,}}+|\.{{6,}}+|…{{3,}}+)(?!\s*+\d)"
+    r"|^[ \t]*+(?:_{5,}+|\.{6,}+)(?=[ \t,.:]++[^\W\d_])",
+    re.MULTILINE,
+)
 _AFTER = r"(?:dear|hello|hi|hola|bonjour|hallo|hey|liebe\(r\)|lieber?|morning|by|from|with|on|for|von|mit|por|con|par|avec|pour|für|booked,|speaker:|speaker|name is|this is|i am|to)"
 _BEFORE = r"(?=\s*(?:[,.:;!?]|$|calling|and|lasted|was|in the|fue|dauerte|a été|au|en el|im)|\s+[^\W\d_])"
 VALUES = re.compile(rf"\b{_AFTER}\s+(?:undefined|null|nan|\$\d(?![\d.,]*\d))(?!\w){_BEFORE}", re.IGNORECASE | re.MULTILINE)
