@@ -72,6 +72,50 @@ def ipu_samples(s: SparkSession, d: str) -> DataFrame:
     return DialogAudio(kind="ipu", hz=10, pause=0.5, least=0.5).clips(ses, seg.where("channel < 2")).select("session", "clip", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
 
 
+#: The flow's defaults: 100 Hz, clips of 10 s every 8 s, histories of 60, 30, 10 and 5 s.
+FLOW = DialogAudio()
+
+
+def reel_frames(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(session, total) and (session, channel, sf, ef, total) of each reel in frames of the flow."""
+    ses, seg = tables.reels(s, d)
+    return ses.select("session", (F.col("duration") / FLOW.hop).cast("int").alias("total")), FLOW.segments(ses, seg.where("channel < 2"))
+
+
+def reel_one_hot(s: SparkSession, d: str) -> DataFrame:
+    totals, f = reel_frames(s, d)
+    return V.one_hot(f, totals, S)
+
+
+def reel_ends(s: SparkSession, d: str) -> DataFrame:
+    n = FLOW._f
+    return islands.ipu_ends(reel_frames(s, d)[1], S, "channel", "sf", "ef", "total", n(FLOW.pause), n(FLOW.least), n(FLOW.duration), n(FLOW.context))
+
+
+def reel_windows(s: SparkSession, d: str) -> DataFrame:
+    c = FLOW.clips(tables.reels(s, d)[0], tables.reels(s, d)[1].where("channel < 2"))
+    at = lambda x: F.round(F.col(x) * FLOW.hz).cast("int").alias(f"{x}_frame")
+    return V.clip_windows(c.select("session", "clip", at("start"), at("end")), V.active_frames(reel_frames(s, d)[1], S), S, FLOW._f(FLOW.horizon))
+
+
+def reel_history(s: SparkSession, d: str) -> DataFrame:
+    h = V.activity_history(reel_one_hot(s, d), S, V.history_edges(FLOW.history_times, FLOW.hop))
+    return h.select("session", "frame", *(F.round(f"h{i}", 6).alias(f"h{i}") for i in range(len(FLOW.history_times) + 1)))
+
+
+def reel_response(s: SparkSession, d: str) -> DataFrame:
+    """The context before each segment's start and the horizon after it."""
+    _, f = reel_frames(s, d)
+    r = f.select("session", F.concat_ws("-", "channel", "sf").alias("response"), F.col("channel").alias("speaker"), F.col("sf").alias("frame")).distinct()
+    w = V.response_window(r, V.active_frames(f, S), S, FLOW._f(FLOW.context), FLOW._f(FLOW.horizon))
+    return w.groupBy("session", "response").agg(F.sum("own").alias("own"), F.sum("other").alias("other"), F.count(F.lit(1)).alias("frames"))
+
+
+def reel_samples(s: SparkSession, d: str) -> DataFrame:
+    ses, seg = tables.reels(s, d)
+    return FLOW.samples(ses, seg.where("channel < 2")).select("session", "clip", "start", "vad", "history")
+
+
 def recording_clips(s: SparkSession, d: str) -> DataFrame:
     r = table(s, d, "recordings").where("duration is not null").groupBy("rec_id").agg(F.max("duration").alias("duration"))
     return windows.sliding_clips(r, ["rec_id"])
@@ -98,6 +142,14 @@ QUERIES = {
     "response_audio_window": response_audio,
     "dialog_audio_samples": samples,
     "dialog_audio_ipu_clips": ipu_samples,
+    "reel_vad_onehot": reel_one_hot,
+    "reel_channel_flip": lambda s, d: V.flip(reel_one_hot(s, d)),
+    "reel_ipu_ends": reel_ends,
+    "reel_ipu_clips": lambda s, d: windows.ipu_clips(reel_ends(s, d), S, "channel", "ef", FLOW._f(FLOW.context), FLOW._f(FLOW.duration)),
+    "reel_clip_vad_window": reel_windows,
+    "reel_activity_history": reel_history,
+    "reel_response_window": reel_response,
+    "reel_dialog_audio_samples": reel_samples,
 }
 
 _RUNS = """WITH {itv}, m AS (SELECT *, CASE WHEN lag(event_type) OVER q IS NOT DISTINCT FROM event_type AND row_number() OVER q > 1 THEN 0 ELSE 1 END AS n FROM itv WINDOW q AS (PARTITION BY session ORDER BY start, event_id)),
