@@ -62,6 +62,15 @@ def hesitations() -> list[str]:
     return sorted(forms - {"err", "uhu"})
 
 
+#: The same forms with any number of repetitions; the automaton holds those up to four.
+_HESITATION = re.compile(r"(?<![^\W_])(?:u++(?:h++m*+|m++)|e++(?:r++|h++)m*+|h++m++|m{5,}+)")
+
+
+@lru_cache(maxsize=1)
+def _listed() -> frozenset[str]:
+    return frozenset(hesitations()) | {"err"}
+
+
 @lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
@@ -118,7 +127,9 @@ def read_line(text: str, dataset: str) -> tuple[float | None, float | None, str
     low = _lower(text)
     out: list[tuple[int, int]] = [(0, at)]
     head = at
-    found = sorted(((e - v[1] + 1, e + 1, v) for e, v in automaton().iter(low)), key=lambda x: (x[0], -x[1]))
+    hits = [(e - v[1] + 1, e + 1, v) for e, v in automaton().iter(low)]
+    hits += [(*m.span(), ("hesitation", len(m[0]), None)) for m in _HESITATION.finditer(low) if m[0] not in _listed()]
+    found = sorted(hits, key=lambda x: (x[0], -x[1]))
     upto = at
     open_ended: set[str] = set()
     for s, e, (kind, _, value) in found:
