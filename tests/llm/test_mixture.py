@@ -42,12 +42,13 @@ def test_mix(spark):
     assert max(r["uses"] for r in d if r["source"] == "task_chats") <= 1 and max(r["uses"] for r in d if r["source"] == "topic_cards") <= 3
     assert set(s) == {"task_chats", "forum_posts", "topic_cards", "subtitle_drafts"} and s["subtitle_drafts"]["tokens"] == 0
     assert abs(sum(r["share"] for r in s.values()) - 1) < 1e-5
-    assert all(s[k]["share"] > w - 0.01 for k, w in (("task_chats", 0.3), ("forum_posts", 0.3), ("topic_cards", 0.2)))
     # what subtitle_drafts lacks goes to all, as it has no sibling here
+    assert all(abs(s[k]["share"] - w) < 0.01 for k, w in (("task_chats", 0.375), ("forum_posts", 0.375), ("topic_cards", 0.25)))
     half = {r["source"]: r["share"] for r in M.mix(df, t, total_tokens=sum(r["tokens"] for r in s.values()) // 2)[1].collect()}
     for k, w in (("task_chats", 0.375), ("forum_posts", 0.375), ("topic_cards", 0.25)):
         assert abs(half[k] - w) < 0.02
     assert sorted(map(tuple, M.mix(df.repartition(5), t)[0].collect())) == sorted(map(tuple, d))
+    assert sum(r["tokens"] for r in s.values()) == pytest.approx(sum(r["available_tokens"] for r in s.values()), rel=0.02)
     small, ss = M.mix(df, t, total_tokens=300)
     assert abs(sum(r["tokens"] for r in ss.collect()) - 300) < 60
     most, _ = M.mix(df, t, total_tokens=10**9)
@@ -66,3 +67,27 @@ def test_source_key(spark):
     v = [" Task-Chats ", "TASK_CHATS", "task  chats", None, ""]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(v)], "i int, x string").orderBy("i").select(M.source_key(F.col("x"))).collect()
     assert [r[0] for r in got] == ["task_chats"] * 3 + [None, ""]
+
+
+def test_nearly_empty_source(spark):
+    """A source with a few tokens takes nothing from the total; the others keep their proportions."""
+    rows = [(i, "word " * 9, "en", ["task_chats", "topic_cards"][i % 2]) for i in range(4000)] + [(9000, "word", "en", "read_prompts")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shares = [("task_chats", 0.3, 4), ("topic_cards", 0.2, 4), ("read_prompts", 0.5, 1)]
+    s = {r["source"]: r for r in M.mix(df, spark.createDataFrame(shares, TARGET))[1].collect()}
+    assert sum(r["tokens"] for r in s.values()) == pytest.approx(sum(r["available_tokens"] for r in s.values()), rel=0.01)
+    assert s["read_prompts"]["tokens"] == s["read_prompts"]["available_tokens"] < 20
+    assert abs(s["task_chats"]["share"] - 0.6) < 0.01 and abs(s["topic_cards"]["share"] - 0.4) < 0.01
+    without = {r["source"]: r for r in M.mix(df, spark.createDataFrame(shares[:2], TARGET))[1].collect()}
+    assert all(abs(without[k]["tokens"] - s[k]["tokens"]) < 40 for k in without)
+
+
+def test_domain_short(spark):
+    """A domain whose sources are all used up leaves the rest to another domain."""
+    rows = [(i, "word " * 9, "en", "task_chats" if i < 50 else "forum_posts" if i < 100 else "topic_cards") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    t = spark.createDataFrame([("task_chats", 0.3, 1), ("forum_posts", 0.3, 2), ("topic_cards", 0.4, 3)], TARGET)
+    s = {r["source"]: r for r in M.mix(df, t)[1].collect()}
+    per = s["topic_cards"]["available_tokens"] / 900
+    assert [round(s[k]["tokens"] / per) for k in ("task_chats", "forum_posts")] == [50, 100]
+    assert abs(s["topic_cards"]["tokens"] / per - 850) < 3

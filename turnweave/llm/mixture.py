@@ -9,6 +9,10 @@ last. Languages stand below sources, because the targets are stated for sources.
 Each leaf is filled from seeded epochs: whole epochs as often as they fit, then the prefix of a reshuffled epoch up to
 the budget. An epoch's order is hashed; its running totals are taken in buckets of the hash, so no leaf is sorted in
 one task.
+
+The total is the caller's: either in tokens or as a number of passes over the targeted sources. It doesn't depend on
+the scarcest source: what a source can't give is made up by its siblings, then by other domains, and the report says
+what was reached.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ DOMAINS = {
 }
 #: Languages with a leaf of their own; all others, wrong and missing ones share a leaf.
 LANGUAGES = ("en", "de", "fr", "es")
+#: mix_targets has one row for each source; more than this many are refused.
+MOST_TARGETS = 10_000
 
 
 def source_key(name: Column) -> Column:
@@ -75,20 +81,25 @@ def budgets(leaves: list[tuple[str, str, int]], targets: dict[str, tuple[float,
     return out
 
 
-def mix(docs: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None, path: str | None = None, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None, passes: float = 1.0, path: str | None = None, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
     """(drawn, shares).
 
     drawn: (doc_id, source, lang, n_tokens, uses), one row for each document used, ``uses`` at most the source's
     ``max_repeats``. shares: (source, target_share, share, tokens, available_tokens, documents), one row for each
     source of ``mix_targets``, sources without documents included.
 
-    ``total_tokens`` defaults to the greatest total at which every source that has documents can still give its share. Documents with null, empty or blank-of-tokens
-    texts, and those whose source is null or not targeted, are never drawn. A doc_id delivered twice is used as the
-    one with the most tokens. Targets with a null source, a share that is null or not above 0, or max_repeats below 1 give
-    nothing; repeated targets count once, the largest share. Empty tables give no rows drawn.
+    The mixture has ``total_tokens`` tokens; without it, ``passes`` times as many as all documents of the targeted
+    sources hold together. A source that can't give its share is used as often as it may be and the rest is
+    redistributed; if all sources together can't fill the total, all are used up. Documents with null or empty texts
+    and texts without tokens, and those whose source is null or not targeted, are never drawn. A doc_id delivered
+    twice is used as the one with the most tokens. Targets with a null source, a share that is null or not above 0, or
+    max_repeats below 1 give nothing; repeated targets count once, the largest share. Empty tables give no rows drawn.
     """
     goals: dict[str, tuple[float, int]] = {}
-    for r in mix_targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").collect():
+    stated = mix_targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").limit(MOST_TARGETS + 1).collect()
+    if len(stated) > MOST_TARGETS:
+        raise ValueError("mix_targets has one row for each source")
+    for r in stated:
         if r["source"] and r["target_share"] and r["target_share"] > 0:
             goals[r["source"]] = max(goals.get(r["source"], (0.0, 0)), (float(r["target_share"]), max(r["max_repeats"] or 0, 0)))
     lang = F.lower(F.trim("lang"))
@@ -100,9 +111,7 @@ def mix(docs: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None
     avail = defaultdict(int)
     for (s, _), n in have.items():
         avail[s] += n
-    whole_share = sum(w for w, _ in goals.values())
-    reach = [avail[s] * most * whole_share / w for s, (w, most) in goals.items() if avail[s] and most]
-    total = min(reach, default=0) if total_tokens is None else total_tokens
+    total = sum(avail.values()) * passes if total_tokens is None else total_tokens
     plan = budgets([(s, k, n) for (s, k), n in have.items()], goals, total)
     rows = [(s, k, int(b // have[s, k]), b - b // have[s, k] * have[s, k], goals[s][1]) for (s, k), b in plan.items() if have.get((s, k))]
     spark = docs.sparkSession

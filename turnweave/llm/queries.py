@@ -12,6 +12,10 @@ from turnweave.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Size of the mixture of the p7 queries in passes over the targeted sources. At more than one pass sources without
+#: repeats run short, so that redistribution among siblings and between domains is part of what is run.
+MIX_PASSES = 1.2
+
 
 def _p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_records(table(spark, d, "recordings"), table(spark, d, "session_links"), table(spark, d, "split_targets"))
@@ -23,6 +27,22 @@ def _p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return got.crossJoin(F.broadcast(whole)).select("split", "rows", "groups", F.round(F.col("rows") / F.col("_all"), 6).alias("share"))
 
 
+def _p7(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixture.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), passes=MIX_PASSES)
+
+
+def _p7_sums(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of any mixture, in one row: sources and shares reported, draws beyond the limit or of other
+    sources than their document's."""
+    drawn, shares = _p7(spark, d)
+    t = table(spark, d, "mix_targets").select(mixture.source_key(F.col("source")).alias("source"), "max_repeats")
+    docs = table(spark, d, "documents").select("doc_id", mixture.source_key(F.col("source")).alias("of"))
+    over = drawn.join(F.broadcast(t), "source").where("uses > max_repeats or uses < 1").agg(F.count(F.lit(1)).alias("over"))
+    other = drawn.join(docs, "doc_id", "left").where("of is null or of <> source").agg(F.count(F.lit(1)).alias("other"))
+    one = shares.agg(F.count(F.lit(1)).alias("sources"), F.round(F.sum("target_share"), 6).alias("target"), F.round(F.sum("share"), 4).alias("share"))
+    return one.crossJoin(F.broadcast(over)).crossJoin(F.broadcast(other))
+
+
 def queries() -> dict[str, Query]:
     t = table
     return {
@@ -36,8 +56,9 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: overlap.found(t(s, d, "text_dialogs")),
         "p5_report": lambda s, d: overlap.report(t(s, d, "text_dialogs")),
         "p6_ids": lambda s, d: tokenize.encode(t(s, d, "documents").select("doc_id", "text")),
-        "p7_mix": lambda s, d: mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets"))[0],
-        "p7_shares": lambda s, d: mixture.mix(t(s, d, "documents"), t(s, d, "mix_targets"))[1],
+        "p7_mix": lambda s, d: _p7(s, d)[0],
+        "p7_shares": lambda s, d: _p7(s, d)[1],
+        "p7_sums": _p7_sums,
         "p8_found": lambda s, d: residue.found(t(s, d, "documents")),
         "p8_report": lambda s, d: residue.report(t(s, d, "documents")),
     }
@@ -57,6 +78,7 @@ def _key_sql(dataset: str, session: str, path: str | None = None) -> str:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p7_sums": "SELECT count(*) AS sources, round(sum(target_share), 6) AS target, CAST(1 AS DOUBLE) AS share, CAST(0 AS BIGINT) AS over, CAST(0 AS BIGINT) AS other FROM mix_targets",
         "p1_found": f"""
 WITH RECURSIVE rec AS (SELECT DISTINCT rec_id, coalesce({_key_sql("dataset_name", "session", "audio_path")}, 'r' || rec_id) AS s FROM recordings WHERE rec_id IS NOT NULL),
 link AS (SELECT u, v FROM (SELECT {_key_sql("dataset_name", "session")} AS u, {_key_sql("linked_dataset_name", "linked_session")} AS v FROM session_links
