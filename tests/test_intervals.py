@@ -67,3 +67,14 @@ def test_sweep_takes_any_keys(spark):
     df = spark.createDataFrame([("x", 1, 1, 5), ("x", 1, 3, 4), ("x", 1, 9, 10), ("x", None, 2, 2), ("x", 2, 7, 3)], "t string, kind int, b int, e int")
     got = sweep(df.withColumnRenamed("kind", "k"), ["t", "k"], "b", "e")
     assert sorted(map(tuple, got.collect())) == [("x", 1, "gap", 5, 9), ("x", 1, "period", 1, 5), ("x", 1, "period", 9, 10)]
+
+
+def test_far_future(spark):
+    """Times past the last microsecond of a long are cut off there, not dropped with their segment."""
+    rows = [(1, "s", 0, "s", [[[1.0, 2.0], [1e12, 2e12], [5e12, 1e300], [1e14, 1e15]], [[9e14, 9e14 + 5]]], "x", 1), (2, "s", 0, "ms", [[], [[9e14, 9e14 + 5]]], "x", 1)]
+    got = set(map(tuple, periods_and_gaps(spark.createDataFrame(rows, SCHEMA)).collect()))
+    end = 9_200_000_000_000_000
+    assert got == {
+        ("s", 0, 0, "period", 1000, 2000), ("s", 0, 0, "gap", 2000, 10**15), ("s", 0, 0, "period", 10**15, 2 * 10**15), ("s", 0, 0, "gap", 2 * 10**15, 5 * 10**15), ("s", 0, 0, "period", 5 * 10**15, end),
+        ("s", 0, 1, "period", 9 * 10**14, 9 * 10**14 + 5),
+    }

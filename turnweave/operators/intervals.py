@@ -18,13 +18,16 @@ from turnweave.runtime import carry_over_buckets
 
 #: One hour of time to a bucket.
 BUCKET_US = 3_600_000_000
+#: The last moment, in microseconds; as a double it is a whole number below the greatest long.
+LAST_US = 9.2e18
 
 
 def vad_segments(vad_lists: DataFrame) -> DataFrame:
     """(session, reel, channel, start_us, end_us) of the valid segments of ``vad[channel][segment]``.
 
-    Valid is a pair of two finite numbers, its ends in either order. Time before 0 is cut off; what has no length then
-    is left out, as is anything malformed: null lists, channels and segments, other lengths, NaN. ``time_unit`` ``ms``
+    Valid is a pair of two finite numbers, its ends in either order. Time before 0 is cut off, as is time past the
+    last microsecond that a long holds (LAST_US, 290,000 years); what has no length then is left out, as is anything
+    malformed: null lists, channels and segments, other lengths, NaN and infinity. ``time_unit`` ``ms``
     (read without regard to case and blanks) gives milliseconds, anything else seconds. Times are taken to whole
     microseconds. Null sessions and reels are keys like any other.
     """
@@ -35,9 +38,9 @@ def vad_segments(vad_lists: DataFrame) -> DataFrame:
         .where(F.size("seg") == 2)
     )
     a, b = (F.get("seg", F.lit(i)) for i in (0, 1))
-    big = F.lit(9.0e11)  # beyond it, microseconds don't fit a long
-    flat = flat.where(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b) & (F.abs(a) < big) & (F.abs(b) < big))
-    flat = flat.select("session", "reel", "channel", *(F.greatest(F.round(f * F.col("scale")), F.lit(0.0)).cast("long").alias(n) for f, n in ((F.least(a, b), "start_us"), (F.greatest(a, b), "end_us"))))
+    finite = lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))  # noqa: E731  NaN is above infinity
+    us = lambda x: F.least(F.greatest(F.round(x * F.col("scale")), F.lit(0.0)), F.lit(LAST_US)).cast("long")
+    flat = flat.where(finite(a) & finite(b)).select("session", "reel", "channel", us(F.least(a, b)).alias("start_us"), us(F.greatest(a, b)).alias("end_us"))
     return flat.where("start_us < end_us")
 
 
@@ -75,8 +78,6 @@ def sweep(segments: DataFrame, keys: list[str], start: str, end: str, bucket_us:
     return out.select(*(F.col(n).alias(k) for k, n in names.items()), F.when(F.col("opens"), "period").otherwise("gap").alias("kind"), F.col("t").alias(start), F.col("next").alias(end))
 
 
-
-
 def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on ``keys`` where nulls equal nulls."""
     r = right.select(*(F.col(k).alias(f"_r{k}") for k in keys), *(c for c in right.columns if c not in keys))

@@ -57,10 +57,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where the session names none (tests)."""
+    """The shared folder of the cluster; a folder of our own only in a local session that names none (tests).
+
+    On a cluster a folder of one machine would lose what other machines write, so a session without the setting raises.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -70,25 +75,39 @@ def cut(df: DataFrame) -> DataFrame:
 
     A written table rather than ``checkpoint()``: it is columnar and compressed, its size is known to the planner, and
     it carries none of the constraints whose propagation grows with every round of an iterative plan. The tables are
-    removed when Python ends.
+    removed by :func:`release`, or when Python ends.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{checkpoint_dir(spark)}/turnweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._turnweave_path = path
+    return out
+
+
+_written: dict[str, SparkSession] = {}
+
+
+def release(*dfs: DataFrame) -> None:
+    """Removes the tables behind results of :func:`cut` that nothing will read again; any other frame is ignored."""
+    for df in dfs:
+        path = getattr(df, "_turnweave_path", None)
+        if path in _written:
+            _remove(_written.pop(path), path)
 
 
-_written: list[tuple[SparkSession, str]] = []
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _remove_written() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(spark, path)
         except Exception:  # the session ended first; the folder belongs to the cluster
             return
 
@@ -102,11 +121,6 @@ def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
 
 
-def same(a: Column, b: Column) -> Column:
-    """Null-safe equality."""
-    return a.eqNullSafe(b)
-
-
 def hot_keys(df: DataFrame, key: str, share: int = HOT_SHARE) -> DataFrame:
     """The keys that hold more than 1/``share`` of the rows, with their counts: at most ``share`` rows."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
@@ -129,6 +143,20 @@ def lookup(big: DataFrame, unique: DataFrame, key: str, how: str = "left", hot:
     return b.join(u, [key, "_salt"], how).drop("_salt")
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: str, left_by: Column, right_by: Column, side: int = 8) -> DataFrame:
+    """Inner join of two sides that both repeat ``key``; the pairs of a hot key are a grid of ``side`` x ``side`` tasks.
+
+    A row of a hot key goes to one line of the grid by a hash of ``left_by`` or ``right_by`` and is repeated along it,
+    so each pair meets in one cell and a side grows ``side``-fold in its hot keys only. The list of hot keys of both
+    sides is broadcast; it has at most 2 * HOT_SHARE rows. Both inputs are read twice and should be written tables.
+    """
+    hot = hot_keys(left, key).select(key).unionByName(hot_keys(right, key).select(key)).distinct().select(F.col(key).alias("_hk"))
+    along = F.when(F.col("_hk").isNotNull(), F.sequence(F.lit(0), F.lit(side - 1))).otherwise(F.array(F.lit(0)))
+    line = lambda by: F.when(F.col("_hk").isNotNull(), F.pmod(F.xxhash64(F.lit(3), by), F.lit(side)).cast("int")).otherwise(F.lit(0))
+    grid = lambda df, at, over, by: df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn(at, line(by)).withColumn(over, F.explode(along)).drop("_hk")
+    return grid(left, "_g0", "_g1", left_by).join(grid(right, "_g1", "_g0", right_by), [key, "_g0", "_g1"]).drop("_g0", "_g1")
+
+
 def carry_over_buckets(buckets: DataFrame, keys: list[str], bucket: str, exprs: dict[str, tuple[Column, str]]) -> DataFrame:
     """Values handed on between the buckets of one key.
 
