@@ -1,9 +1,10 @@
-"""Problem 8: filler without a phrase of the automaton."""
+"""Problem 8: filler without a phrase of the automaton, blanks of any width, cases that no list was made from."""
 
 import time
 
 import pytest
 
+from tests.llm.residue_cases import CASES, LOOKALIKES
 from turnweave.llm import residue as R
 
 FILLER = [
@@ -35,8 +36,28 @@ def test_wide_content(text):
     assert R.judge(text) is None
 
 
-@pytest.mark.parametrize("text", [", " * 150_000, "a" + " " * 300_000, "a:" + "," * 300_000, "<insert " * 40_000, "<insert " + "a" * 300_000, "[insert a" + " |" * 150_000, "<" + " " * 300_000, ("a" + " " * 50 + "_____") * 6_000, "_____" + " " * 300_000, "a _____" + " " * 300_000])
-def test_wide_is_linear(text):
+LONG = [
+    ", " * 150_000, "a" + " " * 300_000, "a:" + "," * 300_000, "<insert " * 40_000, "<insert " + "a" * 300_000, "[insert a" + " |" * 150_000, "<" + " " * 300_000, ("a" + " " * 50 + "_____") * 6_000, "_____" + " " * 300_000, "a _____" + " " * 300_000,
+    "{" * 300_000, "{{a}} template " * 20_000, "{{a}} template. " * 20_000, "null " * 60_000, "dear null " * 30_000, "__a" * 100_000, "wort " * 60_000, "a. " * 100_000 + "not found", "error page " * 30_000, "(" * 300_000, "xxxx " * 60_000, "lorem " * 60_000, "@a" * 150_000, "%a" * 150_000, ".)" * 150_000,
+]
+
+
+@pytest.mark.parametrize("text", LONG, ids=range(len(LONG)))
+def test_time_is_linear(text):
     began = time.process_time()
-    R.BLANKS.search(text), R.SYNTAX.search(text)
-    assert time.process_time() - began < 3
+    R.judge(text)
+    assert time.process_time() - began < 4
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_unseen(half):
+    """Position 1: the half that no list was revised with."""
+    cases, others = CASES[half::2], LOOKALIKES[half::2]
+    hit, wrong = [x for x in cases if R.judge(x)], [x for x in others if R.judge(x)]
+    assert len(CASES) >= 100 and len(LOOKALIKES) >= 100
+    assert len(hit) >= 0.9 * len(cases) and len(hit) >= 0.9 * (len(hit) + len(wrong)), set(cases) - set(hit) | set(wrong)
+
+
+@pytest.mark.parametrize("text", ["the field {{a}} is it", "{{a}} stands for it. Then we left", "Dear {{template}}, hi", "It ended. The template {{a}} is read", "The template ended. Dear {{a}}, hi"])
+def test_mentions(text):
+    assert (R.judge(text) is None) == (text[0] in "t{" or text.startswith("It"))

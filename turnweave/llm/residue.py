@@ -1,275 +1,370 @@
 """Template residue, filler, error pages and notices about scripts in place of content (problem 8).
 
-One pass over the whole texts, without a shuffle. A multi-pattern automaton matches phrases of errors, stubs, filler
-and script notices in four languages, read without regard to case, accents, digits and spacing. Where enough is
-matched at all, the text is cut into sentences: a sentence is residue if a phrase stands in it and phrases and their
-usual vocabulary cover at least half of its words; a document is residue if such sentences hold at least three quarters
-of its words, a heading at its start and short lines at its end aside. Content that quotes or explains an error has
-too little of its words covered.
-
-Unfilled placeholders are matched by their syntax. Markup of sounds, coinages and left-out stretches is told apart by
-the names that stand in it, and a placeholder that is talked about (a template explained, a label mentioned) by the
-words around it.
+One pass over the whole texts, without a shuffle. A text is read letter by letter without regard to case, accents,
+digits and kinds of blanks, position for position, so that one multi-pattern automaton finds everything in a single
+scan: phrases of errors, stubs, filler and notices in four languages, the vocabulary around them, and the openers of all
+placeholder syntaxes.
+
+Residue: a sentence counts if it has a telling phrase, or a fault said of a web object, or a demand about scripts,
+cookies or the browser, and if matched patterns cover at least half of its words; advice such as "please reload the
+page" counts beside such a sentence. A document is residue if these sentences hold at least three quarters of its
+words, a heading at its start and short lines at its end aside. Content that quotes or explains an error has too little
+of its words covered.
+
+Placeholders: at an opener the syntax is matched in place; a word that stands for a missing value counts only in the
+slot of a value. Markup of sounds and coinages is told apart by the names that stand in it, and a placeholder that is
+talked about (a template explained, a label mentioned) by the words around it.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.llm import residue_lexicon as L
 from turnweave.runtime import ship
 
 SENTENCE_SHARE, DOCUMENT_SHARE = 0.5, 0.75
 HEADING_WORDS, FOOTER_WORDS, FOOTERS = 6, 4, 3
+#: Filler: words of a sentence at least, share of pseudo-Latin words, repetitions of one word.
+FILLER_WORDS, LATIN_SHARE, REPEATED = 4, 0.7, 10
 
-#: Phrases, lower case, without accents, every digit a 9.
-PHRASES = (
-    # errors
-    "404 not found", "not found", "error 999", "error #999", "error #9", "http 999", "fehler 999", "erreur 999", "(code 999", "codigo 999", "999 gone", "internal server error", "bad gateway",
-    "service unavailable", "gateway timeout", "request timeout", "too many requests", "bad request", "unauthorized", "forbidden", "access denied",
-    "no longer exists", "you requested has been removed", "removed by its owner", "could not be found on this server", "we can't find the", "you're looking for",
-    "may have been moved or deleted", "don't have permission to access", "do not have permission", "something went wrong", "an unexpected error occurred", "an error has occurred", "an error occurred", "that didn't work",
-    "failed to fetch", "failed to load", "connection reset by peer", "connection refused", "could not connect to the database", "took too long to respond", "is temporarily unavailable",
-    "please check back", "down for maintenance", "will be back shortly", "session has expired", "session expired", "log in again", "sent too many requests", "please try again later", "retry after 9",
-    "traceback (most recent call last)", "indexerror", "keyerror", "valueerror", "typeerror", "out of range", "fatal error", "uncaught exception", "undefined index", "in <module>", "segmentation fault",
-    "request id", "reference no", "incident", "verify you are human", "completing the check below", "checking your browser", "may take a few seconds", '"error"', "resource not available", "page not found", "file not found",
-    "es ist ein fehler aufgetreten", "ein fehler ist aufgetreten", "interner serverfehler", "versuchen sie es spater", "wurde nicht gefunden", "nicht gefunden", "zurzeit nicht erreichbar", "wegen wartung geschlossen",
-    "ist abgelaufen", "melden sie sich erneut an", "zugriff verweigert",
-    "une erreur interne", "erreur est survenue", "est introuvable", "page introuvable", "a ete supprime", "momentanement indisponible", "reessayez dans", "reessayez plus tard", "session a expire", "reconnectez-vous", "acces refuse",
-    "error interno del servidor", "ha ocurrido un error", "se ha producido un error", "intentelo mas tarde", "intentelo de nuevo", "vuelva a intentarlo", "ya no existe", "no encontrada", "no encontrado", "en mantenimiento", "vuelva en 9", "sesion ha caducado", "vuelva a entrar", "acceso denegado",
-    # notices about scripts, cookies and the browser
-    "some features of the", "turn it on and reload", "using an outdated browser", "upgrade it to", "please upgrade", "browser does not support", "can't be displayed", "noscript", "requires javascript", "enable javascript",
-    "javascript aktivieren", "aktivieren sie javascript", "ohne javascript", "lasst keine skripte zu", "einschalten und neu laden", "cookies und skripte", "kann das gesprach nicht angezeigt werden",
-    "activer javascript", "activez javascript", "besoin de javascript", "cookies doivent etre", "bloque les scripts", "activez-les pour continuer",
-    "active javascript", "sin javascript", "necesita que los scripts", "navegador no admite", "no se puede mostrar",
-    # filler and stubs
-    "lorem ipsum", "content coming soon", "coming soon", "is a placeholder and will be filled", "will be filled later", "under construction", "your text here", "replace this paragraph", "with your own transcript", "sample dialogue", "sample text", "speaker one says something", "speaker two says something",
-    "blindtext", "hier steht spater", "der echte text", "inhalt folgt", "nur ein platzhalter", "beispieltext", "hier bitte das gesprach einfugen",
-    "contenu a venir", "sera completee plus tard", "votre texte ici", "texte d'exemple", "texte fictif", "inserez le dialogue ici", "texte de remplissage",
-    "contenido proximamente", "pagina es provisional", "escribe aqui tu texto", "solo de relleno", "texto de ejemplo", "inserte aqui el dialogo", "texto de relleno",
-)
+STRONG, OBJECT, FAULT, SCRIPT, DEMAND, ADVICE, WEAK, KEY, LATIN, OPENER = (1 << i for i in range(10))
+#: What makes a document worth reading sentence by sentence: one of these, or both kinds of a pair.
+ALONE, PAIRS = STRONG | KEY | LATIN, ((FAULT, OBJECT), (DEMAND, SCRIPT))
 
-#: Words that such sentences are made of besides their phrases; they count only beside a phrase.
-USUAL = frozenset(
-    "page pages recording recordings audio clip session document file resource transcript transcription dialogue viewer player app site server website browser javascript java script scripts scripting cookies cookie "
-    "error errors code http line loader export dump view show player inc py srv www module vad minutes minute seconds attempt requested request please enable enabled disabled disable activate allow allowed turn switch switched on off "
-    "requires require required need needs without unable works only reload continue use run hear load loading displayed display show turns sorry oops whoops upgrade support element warning fatal back later soon again help home search try "
-    "message resource available human check below features looks like database connection peer removed owner moved deleted exists longer permission access denied expired log content placeholder filled text here own paragraph replace "
-    "seite aufnahme sitzung anmeldung dokument datei transkript bitte skripte skript fehler browser einschalten neu laden kurze platzhalter angeforderte abgelaufen minuten "
-    "cette ce page ressource transcription lecteur navigateur demandee interne service minutes afficher ecouter appel continuer session erreur desole accepter acceptes activez "
-    "esta este sitio pagina grabacion transcripcion solicitada servicio navegador reproductor error codigo minutos dialogo parrafo sesion scripts permitidos ver".split()
-)
 
-#: What has to be switched on, and words that say so; a sentence with both counts as having a phrase.
-OBJECTS = frozenset("javascript cookies cookie scripts scripting script browser navigateur navegador skripte noscript".split())
-DEMANDS = frozenset("enable activate allow requires require need needs disabled without unable outdated upgrade turn switch switched support noscript aktivieren einschalten benotigt activer activez necesita admite".split())
+def _letters() -> dict[int, str]:
+    """Every character up to Latin Extended-B as its lower-case base letter, digits as 9, blanks as a blank."""
+    out = {}
+    for c in range(0x250):
+        base = unicodedata.normalize("NFKD", chr(c))[0].lower()
+        out[c] = "9" if base.isdigit() else base if len(base) == 1 else chr(c)
+    return out | {ord("ß"): "s", ord("ı"): "i", ord("\t"): " ", ord("\r"): "\n", ord(" "): " ", ord(" "): " ", ord("’"): "'", ord("‘"): "'", ord("“"): '"', ord("”"): '"'}
 
-#: Words left out of account.
-STOP = frozenset("a an the to of in on for and or is are was be it its this that these you your we i my at by with as has have been not no only der die das ein eine ist und zu um in sie ihr den le la les un une de du des et pour est a dans el los las un una de y en su para es".split())
 
-#: Words of the usual pseudo-Latin filler.
-LATIN = frozenset(
-    "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat "
-    "duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
-    "sapien lectus quam tellus purus arcu vestibulum nunc mauris vitae ante felis pellentesque cras donec integer morbi nec neque orci pharetra porta praesent quisque risus sem semper suspendisse tincidunt turpis urna varius vel viverra volutpat".split()
-)
+_FOLD = _letters()
+_MOJIBAKE = re.compile("[ÂÃâ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]{1,2}")
+_WIDE = re.compile(r"[^\S\n]{2,}")
 
-#: Keys hit and words repeated to fill a space.
-KEYS = frozenset("xxx xxxx xx asdf qwerty qwertz azerty foo bar baz test testing bla blah blabla abc jkl hjkl dummy text sample".split())
 
-#: Names of fields in the templates of such corpora.
-FIELDS = frozenset(
-    "name nickname title date time id label place length city country address street email mail phone number company user username agent caller guest host speaker session topic interview call customer client participant author "
-    "first last full subject order product price amount url link day month year language role age gender channel file interviewer company value field text location duration".split()
-)
+def _repair(m: re.Match) -> str:
+    try:
+        return m[0].encode("cp1252").decode("utf-8")
+    except UnicodeError:
+        return m[0]
 
-_FIELD = r"[A-Za-z][\w.\-]*(?:\s*\|\s*\w+)?"
-#: Syntax that marks a placeholder whatever its name.
-SYNTAX = re.compile(
-    rf"(?<!\{{)\{{\{{++\s*{_FIELD}(?:\s*\}}\}}+)?|\$\{{\s*{_FIELD}\s*\}}|#\{{\s*{_FIELD}\s*\}}|<%=?\s*{_FIELD}\s*%>|\{{%\s*{_FIELD}\s*%\}}|%\({_FIELD}\)[sd]\b|\[\[\s*{_FIELD}\s*\]\]"
-    rf"|(?<![\w%])%[A-Za-z][\w.\-]*%(?!\w)|@@{_FIELD}@@|(?<!\w)__[A-Za-z](?:[\w.\-]*[A-Za-z0-9])?__(?!\w)|(?<![\w~])~[A-Za-z][\w.\-]*~(?![\w~])|(?<![\w$])\$[A-Za-z][\w.\-]*\$(?![\w$])|\*\|\s*{_FIELD}\s*\|\*"
-    rf"|<<\s*{_FIELD}\s*>>|&lt;\s*{_FIELD}\s*&gt;|<\s*+insert\s++[A-Za-z][^<>]*+>|\[\s*+insert\s++[A-Za-z][^\[\]]*+\]|<\s*{_FIELD}\s+goes\s+here\s*>|\[\s*your\s+{_FIELD}\s*\]|\(\s*{_FIELD}\s+to\s+be\s+filled\s+in\s*\)"
-    rf"|\btodo\s*:\s*(?:add|insert|fill|set|replace)\b|\[\s*(?:tbd|tba|todo|fixme|placeholder)\s*\]|\bfixme\b|(?<![\w])x{{4,}}(?!\w)|\{{\d\}}|(?<![\w%])%[sd](?![\w%])|\[object object\]",
-    re.IGNORECASE,
-)
-#: Brackets around a bare name: a placeholder only if the name is one of a field.
-BRACKETED = re.compile(r"(?<!\w)(?:\{([A-Za-z][\w.\-]*)\}|\[([A-Za-z][\w.\-]*)\])(?!\w)")
-#: Blank lines to fill in, and values of programs, which are placeholders only where a value belongs.
-_SEP = r"[ \t,:;(«\"']"
-#: A stretch of separators is read once, from its first character, whatever its width.
-BLANKS = re.compile(
-    rf"(?<!{_SEP})(?:(?<=[^\s_.]){_SEP}++|[ \t]*+[,:;(«\"']{_SEP}++)(?:_{{5,}}+|\.{{6,}}+|…{{3,}}+)(?!\s*+\d)"
-    r"|^[ \t]*+(?:_{5,}+|\.{6,}+)(?=[ \t,.:]++[^\W\d_])",
-    re.MULTILINE,
-)
-_AFTER = r"(?:dear|hello|hi|hola|bonjour|hallo|hey|liebe\(r\)|lieber?|morning|by|from|with|on|for|von|mit|por|con|par|avec|pour|für|booked,|speaker:|speaker|name is|this is|i am|to)"
-_BEFORE = r"(?=\s*(?:[,.:;!?]|$|calling|and|lasted|was|in the|fue|dauerte|a été|au|en el|im)|\s+[^\W\d_])"
-VALUES = re.compile(rf"\b{_AFTER}\s+(?:undefined|null|nan|\$\d(?![\d.,]*\d))(?!\w){_BEFORE}", re.IGNORECASE | re.MULTILINE)
-NAN = re.compile(r"(?<!\w)(?:NaN)(?!\w)")
-DOLLAR = re.compile(r"(?<![\w$])\$[0-9](?![\d.,]*\d|\w)")
-MONEY = re.compile(r"\b(?:costs?|cost|paid?|pays?|price|worth|only|about|than|over|under|of|spent?)\s*$", re.IGNORECASE)
-#: Sounds and signs of annotation in double brackets.
-NOT_FIELDS = frozenset("skip laughter noise sigh cough mn breath silence inaudible".split())
-#: Words of a sentence that talks about a placeholder instead of leaving one unfilled.
-MENTION = re.compile(
-    r"\b(?:templates?|variables?|placeholders?|field|fields|syntax|is written|are written|written as|is replaced|are replaced|replaced with|stands? for|means|such as|braces|brackets|the label|labels?\s+\w+\s+on|we kept|mark sounds|vorlage|platzhalter|variable|feld|steht für|bedeutet|geschrieben|"
-    r"modèle|champ|signifie|s'écrit|remplacé|plantilla|campo|significa|se escribe|sustituye|reemplaza)\b",
-    re.IGNORECASE,
-)
 
-_BREAK = re.compile(r"\n+|<br\s*/?>|(?<=[.!?…。])[\"'»”)]*\s+")
-_WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-#: A number or code, digits read as 9.
-_CODE = re.compile(r"(?=.*9)[a-f9]{4,}")
-_MOJIBAKE = re.compile("[ÂÃâ][\u0080-¿€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¡-¿]{1,2}")
+def read(text: str) -> tuple[str, str]:
+    """(the text with damage of its encoding mended and runs of blanks made one, the same letter for letter folded)."""
+    if not text.isascii():
+        if "Ã" in text or "â" in text:
+            text = _MOJIBAKE.sub(_repair, text)
+        if "​" in text:
+            text = text.replace("​", "")
+        text = unicodedata.normalize("NFC", text)
+    if "&nbsp;" in text:
+        text = text.replace("&nbsp;", " ")
+    if "  " in text or "\t" in text:
+        text = _WIDE.sub(" ", text)
+    return text, text.translate(_FOLD)
 
 
 @lru_cache(maxsize=1)
 def automaton():
     import ahocorasick
 
+    flags: dict[str, int] = {}
+    lists = ((L.STRONG, STRONG), (L.OBJECTS, OBJECT | WEAK), (L.FAULTS, FAULT), (L.SCRIPTS, SCRIPT | WEAK), (L.DEMANDS, DEMAND | WEAK), (L.ADVICE, ADVICE), (L.USUAL, WEAK), (L.KEYS, KEY), (L.LATIN - L.COMMON_LATIN, LATIN), (L.OPENERS, OPENER))
+    for words, flag in lists:
+        for w in words:
+            w = w.translate(_FOLD)
+            flags[w] = flags.get(w, 0) | flag
     a = ahocorasick.Automaton()
-    for p in PHRASES:
-        a.add_word(p, len(p))
-    for w in OBJECTS:
-        a.add_word(w, 0)
+    for w, f in flags.items():
+        # the value: kinds, length, whether a word must begin and end there (a number may go on)
+        a.add_word(w, (f, len(w), w[0].isalnum() and not f & OPENER, w[-1].isalnum() and w[-1] != "9" and not f & OPENER))
     a.make_automaton()
     return a
 
 
-def _repair(m: re.Match) -> str:
-    try:
-        return m[0].encode("cp1252").decode("utf-8")
-    except UnicodeError:
-        return m[0]
+def scan(low: str) -> tuple[list[tuple[int, int, int]], list[int], int]:
+    """([(start, end, kinds)] of vocabulary, [positions of openers], all kinds met) of a folded text."""
+    vocabulary, openers, met = [], [], 0
+    n = len(low)
+    for last, (kind, length, first_open, last_open) in automaton().iter(low):
+        s, e = last + 1 - length, last + 1
+        if kind & OPENER:
+            openers.append(s)
+            if kind == OPENER:
+                continue
+        if first_open and s and low[s - 1].isalnum() or last_open and e < n and low[e].isalnum():
+            continue
+        vocabulary.append((s, e, kind))
+        met |= kind
+    return vocabulary, openers, met
 
 
-def plain(text: str) -> str:
-    """Lower case, no accents, every digit a 9, one blank between words of a line."""
-    if not text.isascii():
-        if "Ã" in text or "â" in text:
-            text = _MOJIBAKE.sub(_repair, text)
-        text = text.replace("’", "'").replace("​", "").replace("ß", "ss")
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-    return re.sub(r"[0-8]", "9", re.sub(r"[^\S\n]+", " ", text.replace("&nbsp;", " ").replace("\r", "\n"))).lower()
+_BREAK = re.compile(r"\n+|<br\s*/?>|(?<=[.!?…。])[\"'»”)]*\s+")
+_WORDS = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
+#: A number or code, digits read as 9.
+_CODE = re.compile(r"(?=.*9)[a-f9]{4,}")
+_SAME = re.compile(rf"(?<![^\W_])([^\W_]++)(?:[^\w\n]++\1(?![^\W_])){{{REPEATED - 1}}}")
+_HEADING = re.compile(r": | - | — | – ")
+_NO_HEADING = ("error", "fehler", "erreur", "http", "noscript", "warning", "fatal")
+
+
+def _sentences(low: str) -> list[tuple[int, int]]:
+    """Bounds of sentences and lines that aren't blank; a heading may share its line with what follows."""
+    out, at = [], 0
+    for m in _BREAK.finditer(low):
+        out.append((at, m.start()))
+        at = m.end()
+    out.append((at, len(low)))
+    out = [(a, b) for a, b in out if low[a:b].strip()]
+    if out:
+        a, b = out[0]
+        if (m := _HEADING.search(low, a, b)) and low[m.end() : b].strip() and len(_WORDS.findall(low, a, m.start())) <= HEADING_WORDS and not any(x in low[a : m.start()] for x in _NO_HEADING):
+            out[:1] = [(a, m.start()), (m.end(), b)]
+    return out
 
 
 def _filler(ws: list[str]) -> bool:
-    if len(ws) < 4:
+    if len(ws) < FILLER_WORDS:
         return False
-    if sum(w in LATIN for w in ws) >= 0.7 * len(ws):
+    if sum(w in L.LATIN for w in ws) >= LATIN_SHARE * len(ws):
         return True
     kinds = set(ws)
-    return len(ws) >= 3 and len(kinds) <= 2 and kinds <= KEYS or len(ws) >= 10 and len(kinds) == 1
+    return len(kinds) <= 2 and kinds <= L.KEYS or len(ws) >= REPEATED and len(kinds) == 1
 
 
-def coverage(text: str) -> float:
-    """Share of a text's words that stand in residue sentences, heading and footers aside; 0 for blank texts."""
-    p = plain(text)
-    known = next(iter(automaton().iter(p)), None) is not None  # without a phrase only filler can be residue
-    parts: list[str] = []
-    for s in _BREAK.split(p):
-        if not s.strip():
+def _sentence(low: str, a: int, b: int, hits: list[tuple[int, int, int]]) -> tuple[int, int]:
+    """(number of words, 2 for residue, 1 for advice, 0 for anything else); ``hits``: patterns inside the sentence."""
+    at = [(m.start(), m.end(), m[0]) for m in _WORDS.finditer(low, a, b)]
+    if not at:
+        return 0, 0
+    met = 0
+    for _, _, k in hits:
+        met |= k
+    if _filler([w for *_, w in at]):
+        return len(at), 2
+    telling = bool(met & STRONG) or any(met & x and met & y for x, y in PAIRS)
+    if not telling and not met & (ADVICE | DEMAND | FAULT):
+        return len(at), 0
+    spans: list[list[int]] = []
+    for s, e, k in hits:
+        if k & (KEY | LATIN) == k:
+            continue
+        if spans and s < spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], e)
+        else:
+            spans.append([s, e])
+    covered = content = k = outside = 0
+    for s, e, w in at:
+        while k < len(spans) and spans[k][1] < e:
+            k += 1
+        inside = k < len(spans) and spans[k][0] <= s
+        outside += not inside and not w.isdigit()
+        if not inside and (w in L.STOP or w.isdigit() or _CODE.fullmatch(w)):
             continue
-        if not parts:  # a heading may share its line with what follows
-            for sign in (": ", " - ", " — ", " – "):
-                head, found, rest = s.partition(sign)
-                if found and rest.strip() and len(_WORDS.findall(head)) <= HEADING_WORDS and not any(x in head for x in ("error", "fehler", "erreur", "http", "noscript")):
-                    parts.append(head)
-                    s = rest
-                    break
-        parts.append(s)
-    scored = [_sentence(s, known) for s in parts]
+        content += 1
+        covered += inside
+    telling = telling or bool(met & FAULT) and not outside  # "Not found."
+    return len(at), 0 if covered < SENTENCE_SHARE * content else 2 if telling else 1 if met & (ADVICE | DEMAND) else 0
+
+
+def coverage(low: str, vocabulary: list[tuple[int, int, int]], met: int) -> float:
+    """Share of a text's words that stand in residue sentences, heading and footers aside; 0 for blank texts."""
+    if not (met & ALONE or any(met & x and met & y for x, y in PAIRS) or met & FAULT and len(low) < 80 or _SAME.search(low)):
+        return 0.0
+    vocabulary = sorted(vocabulary)
+    starts = [s for s, _, _ in vocabulary]
+    scored = [_sentence(low, a, b, vocabulary[bisect_left(starts, a) : bisect_left(starts, b)]) for a, b in _sentences(low)]
     scored = [x for x in scored if x[0]]
-    if not any(r for _, r in scored):
+    if not any(k == 2 for _, k in scored):
         return 0.0
-    while len(scored) > 1 and not scored[0][1] and scored[0][0] <= HEADING_WORDS:
+    if len(scored) > 1 and not scored[0][1] and scored[0][0] <= HEADING_WORDS:
         scored.pop(0)
-        break
     for _ in range(FOOTERS):
         if len(scored) > 1 and not scored[-1][1] and scored[-1][0] <= FOOTER_WORDS:
             scored.pop()
     if len(scored) > 1 and not scored[0][1] and scored[0][0] <= 2:
         scored.pop(0)  # Oops!
     n = sum(w for w, _ in scored)
-    return sum(w for w, r in scored if r) / n if n else 0.0
+    return sum(w for w, k in scored if k) / n if n else 0.0
 
 
-def _sentence(s: str, known: bool) -> tuple[int, bool]:
-    """(number of words, whether it is residue); ``known``: whether a phrase or object stands in the text."""
-    at = [(m.start(), m.end(), m[0]) for m in _WORDS.finditer(s)]
-    if not at:
-        return 0, False
-    ws = [w for *_, w in at]
-    if _filler(ws):
-        return len(ws), True
-    if not known:
-        return len(ws), False
-    spans: list[list[int]] = []
-    for b, e in sorted((e + 1 - n, e + 1) for e, n in automaton().iter(s) if n):
-        if spans and b < spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], e)
-        else:
-            spans.append([b, e])
-    strong = bool(spans) or (not OBJECTS.isdisjoint(ws) and not DEMANDS.isdisjoint(ws))
-    if not strong:
-        return len(ws), False
-    covered = content = k = 0
-    for b, e, w in at:
-        while k < len(spans) and spans[k][1] < e:
-            k += 1
-        inside = k < len(spans) and spans[k][0] <= b
-        if not inside and (w in STOP or w.isdigit() or _CODE.fullmatch(w)):
-            continue
-        content += 1
-        covered += inside or w in USUAL
-    return len(ws), covered >= SENTENCE_SHARE * content
+# --- placeholders ----------------------------------------------------------------------------------------------------
+
+_NAME = r"[^\W\d_][\w.\-]*(?:\s*\|\s*\w+)?"
+_WORDY = r"[^<>\[\]{}()]*"
+#: What can stand at an opener; each is tried in place, none searches.
+_SYNTAX = re.compile(
+    rf"(?<!\{{)\{{\{{++\s*{_NAME}(?:\s*\}}\}}+)?|\$\{{\s*{_NAME}\s*\}}|#\{{\s*{_NAME}\s*\}}|<%=?\s*{_NAME}\s*%>|\{{%\s*{_NAME}\s*%\}}|%\({_NAME}\)[sd]\b|\[\[\s*{_NAME}\s*\]\]|%[1-9]\$[sd]\b"
+    rf"|(?<![\w%])%[A-Za-z][\w.\-]*%(?!\w)|(?<![\w@])@@?{_NAME}@@?(?![\w@])|(?<!\w)__[A-Za-z](?:[\w.\-]*[A-Za-z0-9])?__(?!\w)|(?<![\w~])~[A-Za-z][\w.\-]*~(?![\w~])|(?<![\w$])\$[A-Za-z][\w.\-]*\$(?![\w$])|\*\|\s*{_NAME}\s*\|\*"
+    rf"|(?<![\w#])##?[A-Z][A-Z_]+##?(?![\w#])|<<\s*{_NAME}\s*>>|«\s*[A-Z][A-Z_]+\s*»|&lt;\s*{_NAME}\s*&gt;|\{{\d?\}}(?!\w)|(?<![\w%])%[sd](?![\w%])|\[object object\]",
+    re.IGNORECASE,
+)
+#: Two at-signs or a sign on one side only aren't a pair.
+_PAIRED = re.compile(r"@@.*@@|@[^@]+@|##.*##|#[^#]+#|[^@].*", re.DOTALL)
+_BRACKETS = re.compile(rf"[\[{{<(]({_WORDY})[\]}}>)]")
+_BARE = re.compile(r"[^\W\d_][\w.\-]*")
+_TASKS = re.compile(r"\b(?:todo\s*:\s*(?:add|insert|fill|set|replace|write)|fixme)\b", re.IGNORECASE)
+_SEP = r"[ \t,:;(«\"']"
+#: A stretch of separators is read once, from its first character, whatever its width.
+BLANKS = re.compile(
+    rf"(?<!{_SEP})(?:(?<=[^\s_.]){_SEP}++|[ \t]*+[,:;(«\"']{_SEP}++)(?:_{{5,}}+|\.{{6,}}+|…{{3,}}+)(?!\s*+\d)"
+    r"|^[ \t]*+(?:_{5,}+|\.{6,}+)(?=[ \t,.:]++[^\W\d_])",
+    re.MULTILINE,
+)
+#: Stands for a missing value, as programs write it.
+_LITERAL = re.compile(r"(?<![\w/.@-])(?:undefined|null|NaN|[Xx]{4,}|\$[0-9](?![\d.,]*\d|\w))(?![\w/@-])")
+_GREETING = re.compile(rf"(?:^|[\n.!?:]\s*)(?:\w+:\s*)?(?:{L.GREETINGS})$", re.IGNORECASE)
+_SLOT = re.compile(rf"(?:^|[^\w])(?:{L.SLOTS})$", re.IGNORECASE)
+_NAMED = re.compile(rf"(?:^|[^\w])(?:{L.NAMED})$", re.IGNORECASE)
+_LABEL = re.compile(r"(?:^|[\n.,;!?(]\s*)[^\W\d_]+(?: [^\W\d_]+)?:$")
+_GOES_ON = re.compile(rf"\s*(?:[,.:;!?)]|$|\n|(?:{L.AFTER_VALUE})(?!\w))", re.IGNORECASE)
+_MONEY = re.compile(rf"\b(?:{L.PRICES})$", re.IGNORECASE)
+_MENTION = re.compile(rf"\b(?:{L.MENTIONS})\b", re.IGNORECASE)
+_END = re.compile(r"\n|[.!?] ")
+#: The furthest a slot's words reach to the left of a value.
+_LEFT = 40
 
 
 def _is_field(name: str) -> bool:
+    """Whether a bare name in brackets is one of a field: made of field words, or written as programs write names."""
     parts = [x for x in re.split(r"[_.\-]|(?<=[a-z0-9])(?=[A-Z])|(?<=\D)(?=\d)", name) if x]
-    if all(x.lower() in FIELDS or x.isdigit() for x in parts):
-        return any(not x.isdigit() for x in parts)
-    low = re.sub(r"\d+$", "", name.lower())  # two field names run together, as capitals do to nickName
-    return any(low[:i] in FIELDS and low[i:] in FIELDS for i in range(2, len(low) - 1))
+    low = [x.translate(_FOLD) for x in parts]
+    if any(x in L.SOUNDS for x in (*low, *re.split(r"[_.\-]", name.translate(_FOLD)))):
+        return False
+    if all(x in L.FIELDS or x.isdigit() for x in low):
+        return any(not x.isdigit() for x in low)
+    if any(x in L.FIELDS for x in low) and len(parts) > 1 and "-" not in name:
+        return True
+    whole = re.sub(r"\d+$", "", name.lower())  # two field names run together, as capitals do to nickName
+    return any(whole[:i] in L.FIELDS and whole[i:] in L.FIELDS for i in range(2, len(whole) - 1))
+
+
+def _are_fields(inside: str) -> bool:
+    """Whether brackets hold several words, all of them names of fields or words between them."""
+    ws = inside.translate(_FOLD).split()
+    return 2 <= len(ws) and ws[0] in L.FIELDS and all(w in L.FIELDS or w in L.BETWEEN for w in ws)
+
+
+def _is_request(inside: str) -> bool:
+    """Whether words in brackets ask for a value: insert, your, … here, to be filled in, TBD."""
+    ws = inside.translate(_FOLD).split()
+    if not ws:
+        return False
+    if len(ws) == 1:
+        return ws[0] in L.TO_DO
+    if ws[0] in L.INSERT or ws[-1] in L.INSERT or inside.translate(_FOLD).endswith(L.TO_FILL):
+        return True
+    if ws[0] in L.YOUR:
+        return any(_is_field(w) for w in ws[1:])
+    return ws[-1] in L.HERE and (any(_is_field(w) or w in L.INSERT for w in ws[:-1]) or ws[-2] in ("goes", "comes", "va", "kommt"))
+
+
+def _before(text: str, at: int) -> tuple[str, int]:
+    """What stands to the left of ``at`` without the blanks between, and where it ends."""
+    e = at
+    while e and text[e - 1] in " \t":
+        e -= 1
+    return text[max(0, e - _LEFT) : e], e
+
+
+class Mentions:
+    """Whether the sentence around a placeholder talks about it; each text is cut once, each sentence searched once."""
+
+    def __init__(self, text: str):
+        self.text, self.ends, self.known = text, None, (0, -1, [])
 
+    def __call__(self, start: int, end: int) -> bool:
+        if self.ends is None:
+            self.ends = [m.end() for m in _END.finditer(self.text)]
+        a, b, found = self.known
+        if not (a <= start and end <= b):
+            i, j = bisect_right(self.ends, start), bisect_left(self.ends, end + 1)
+            a, b = self.ends[i - 1] if i else 0, self.ends[j] if j < len(self.ends) else len(self.text)
+            found = [m.span() for m in _MENTION.finditer(self.text, a, b)]
+            self.known = a, b, found
+        k = bisect_left(found, (start, start))
+        return k > 0 and found[0][1] <= start or any(x >= end for x, _ in found[-1:])
 
-def unfilled(text: str) -> bool:
+
+def unfilled(text: str, low: str, openers: list[int]) -> bool:
     """Whether a placeholder was left unfilled where a value belongs."""
-    for m in SYNTAX.finditer(text):
-        t = m[0]
-        if t.startswith("[[") and t[2:-2].strip().lower() in NOT_FIELDS:
+    blanks = False
+    upto = 0
+    mentioned = Mentions(text)
+    for at in openers:
+        if at < upto:
             continue
-        if not _mentioned(text, m):
-            return True
-    for m in BRACKETED.finditer(text):
-        if _is_field(m[1] or m[2]) and not _mentioned(text, m):
-            return True
-    for pattern in (BLANKS, VALUES, NAN):
-        for m in pattern.finditer(text):
-            if not _mentioned(text, m):
+        c = low[at]
+        if c in "_.…" and not low.startswith("__", at) or low.startswith("_____", at):
+            blanks = True
+            continue
+        if m := _SYNTAX.match(text, at):
+            upto = m.end()
+            inner = m[0][2:-2].strip()
+            if not _PAIRED.fullmatch(m[0]) or m[0].startswith("[[") and inner.lower() in L.SOUNDS or m[0][0] in "@#" and m[0][1] != "{" and not _is_field(m[0].strip("@#")):
+                continue
+            if not mentioned(*m.span()):
+                return True
+            continue
+        if c in "[{<(":
+            m = _BRACKETS.match(text, at)
+            if m is None:
+                continue
+            if m[0][0] in "[{<" and "/" not in m[1]:
+                bare = _BARE.fullmatch(m[1].strip())
+                if not bare and _are_fields(m[1]) and not mentioned(*m.span()):
+                    return True
+                left = _before(text, at)[0]
+                if at and (text[at - 1].isalnum()) or m.end() < len(text) and text[m.end()].isalnum():
+                    continue
+                if bare and m[0][0] != "<" and (_is_field(m[1].strip()) or _GREETING.search(left) and m[1].translate(_FOLD) not in L.SOUNDS) and not mentioned(*m.span()):
+                    return True
+            if _is_request(m[1]) and not mentioned(*m.span()):
                 return True
-    return any(not _mentioned(text, m) and not MONEY.search(text[max(0, m.start() - 20) : m.start()]) for m in DOLLAR.finditer(text))
+            continue
+        if c in "tf":
+            m = _TASKS.match(text, at)
+        elif (m := _LITERAL.match(text, at)) and not _in_slot(text, m):
+            m = None
+        if m and not mentioned(*m.span()):
+            return True
+    return blanks and any(not mentioned(*m.span()) for m in BLANKS.finditer(text))
 
 
-def _mentioned(text: str, m: re.Match) -> bool:
-    a = max((text.rfind(x, 0, m.start()) for x in (". ", "\n", "! ", "? ")), default=-1) + 1
-    ends = [i for i in (text.find(x, m.end()) for x in (". ", "\n", "! ", "? ")) if i >= 0]
-    return MENTION.search(text[a : m.start()] + " " + text[m.end() : min(ends, default=len(text))]) is not None
+def _in_slot(text: str, m: re.Match) -> bool:
+    """Whether a word stands where a value belongs: after a greeting, a label or a word that leads to a name, and then
+    nothing but the end of the clause or a word that can follow a name."""
+    left, _ = _before(text, m.start())
+    if m[0] == "NaN":
+        return True
+    if m[0][0] == "$" and _MONEY.search(left):
+        return False
+    if _NAMED.search(left):
+        return True
+    return bool(_GOES_ON.match(text, m.end())) and bool(_GREETING.search(left) or _SLOT.search(left) or _LABEL.search(left))
 
 
 def judge(text: str | None) -> str | None:
     """'placeholder', 'residue', or None for real content, null and blank texts."""
     if not text:
         return None
-    if unfilled(text):
+    text, low = read(text)
+    vocabulary, openers, met = scan(low)
+    if openers and unfilled(text, low, openers):
         return "placeholder"
-    return "residue" if coverage(text) >= DOCUMENT_SHARE else None
+    return "residue" if coverage(low, vocabulary, met) >= DOCUMENT_SHARE else None
 
 
 def mark(docs: DataFrame, text: str = "text", out: str = "residue") -> DataFrame:
