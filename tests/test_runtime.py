@@ -13,7 +13,7 @@ def test_salted_join(spark):
     """One key holds most rows of both sides; every pair comes once, and the hot key is spread over the grid."""
     left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(90)] + [(None, -1)], "k long, a long")
     right = spark.createDataFrame([(0 if i % 2 else i, i) for i in range(60)] + [(None, -2)], "k long, b long")
-    got = R.salted_join(left, right, "k", F.col("a"), F.col("b"), 4).select("k", "a", "b")
+    got = R.salted_join(left, right, "k", F.col("a"), F.col("b")).select("k", "a", "b")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").select("k", "a", "b").collect()))
     assert R.salted_join(left.limit(0), right, "k", F.col("a"), F.col("b")).count() == 0
 

@@ -143,17 +143,23 @@ def lookup(big: DataFrame, unique: DataFrame, key: str, how: str = "left", hot:
     return b.join(u, [key, "_salt"], how).drop("_salt")
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, left_by: Column, right_by: Column, side: int = 8) -> DataFrame:
-    """Inner join of two sides that both repeat ``key``; the pairs of a hot key are a grid of ``side`` x ``side`` tasks.
+def salted_join(left: DataFrame, right: DataFrame, key: str, left_by: Column, right_by: Column) -> DataFrame:
+    """Inner join of two sides that both repeat ``key``; the pairs of a hot key are spread over a square grid of tasks.
 
     A row of a hot key goes to one line of the grid by a hash of ``left_by`` or ``right_by`` and is repeated along it,
-    so each pair meets in one cell and a side grows ``side``-fold in its hot keys only. The list of hot keys of both
-    sides is broadcast; it has at most 2 * HOT_SHARE rows. Both inputs are read twice and should be written tables.
+    so each pair meets in one cell. The grid has as many cells as the key has thousandths of a side's rows, and a key
+    with fewer than four has no grid: what is repeated stays small beside what it spreads. The list of hot keys of both
+    sides, HOT_SHARE / 2 at most, is broadcast. Both inputs are read twice and should be written tables.
     """
-    hot = hot_keys(left, key).select(key).unionByName(hot_keys(right, key).select(key)).distinct().select(F.col(key).alias("_hk"))
-    along = F.when(F.col("_hk").isNotNull(), F.sequence(F.lit(0), F.lit(side - 1))).otherwise(F.array(F.lit(0)))
-    line = lambda by: F.when(F.col("_hk").isNotNull(), F.pmod(F.xxhash64(F.lit(3), by), F.lit(side)).cast("int")).otherwise(F.lit(0))
-    grid = lambda df, at, over, by: df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn(at, line(by)).withColumn(over, F.explode(along)).drop("_hk")
+
+    def hot_of(df: DataFrame) -> DataFrame:
+        n, rows = F.count(F.lit(1)), df.count()
+        return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.floor(F.sqrt(n * HOT_SHARE / F.lit(float(max(rows, 1))))).cast("int").alias("_side")).where("_side > 1")
+
+    hot = hot_of(left).unionByName(hot_of(right)).groupBy(F.col(key).alias("_hk")).agg(F.max("_side").alias("_side"))
+    along = F.when(F.col("_side").isNotNull(), F.sequence(F.lit(0), F.col("_side") - 1)).otherwise(F.array(F.lit(0)))
+    line = lambda by: F.when(F.col("_side").isNotNull(), F.pmod(F.xxhash64(F.lit(3), by), F.col("_side")).cast("int")).otherwise(F.lit(0))
+    grid = lambda df, at, over, by: df.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn(at, line(by)).withColumn(over, F.explode(along)).drop("_hk", "_side")
     return grid(left, "_g0", "_g1", left_by).join(grid(right, "_g1", "_g0", right_by), [key, "_g0", "_g1"]).drop("_g0", "_g1")
 
 
