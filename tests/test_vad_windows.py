@@ -48,7 +48,7 @@ def test_one_hot_windows_history(spark):
     assert got == {(s, f): v for s, x in hot.items() for f, v in enumerate(x)}
 
     edges = [10, 4, 1]
-    for r in V.activity_history(one, ["s"], edges).collect():
+    for r in V.activity_history(df, total, ["s"], edges).collect():
         for i, (far, near) in enumerate(zip([None, *edges], [*edges, 0])):
             lo = 0 if far is None else max(0, r["frame"] - far + 1)
             part = hot[r["s"]][lo : max(r["frame"] - near + 1, 0)]
@@ -56,7 +56,7 @@ def test_one_hot_windows_history(spark):
             assert abs(r[f"h{i}"] - (a / (a + b) if a + b else 0.5)) < 1e-12
 
     clips = spark.createDataFrame([(s, 0, len(x) - 3, len(x) + 2) for s, x in hot.items()], "s int, clip int, start_frame int, end_frame int")
-    for r in V.clip_windows(clips, V.active_frames(df, ["s"]), ["s"], 2).collect():
+    for r in V.clip_windows(clips, V.blocks(df, ["s"]), ["s"], 2).collect():
         x, f = hot[r["s"]], len(hot[r["s"]]) - 3 + r["offset"]
         assert [r["v0"], r["v1"]] == (x[f] if f < len(x) else [0, 0])
     assert V.flip(one).where("s = 0 and frame = 0").collect()[0]["v0"] == hot[0][0][1]

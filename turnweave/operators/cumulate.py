@@ -1,11 +1,11 @@
-"""Running totals in a hashed order, without one task that sees a whole group."""
+"""Running totals and row numbers without one task that sees a whole group."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.runtime import carry_over_buckets
+from turnweave.runtime import carry_over_buckets, null_safe_join
 
 BUCKET_BITS = 12
 
@@ -25,3 +25,15 @@ def running_total(df: DataFrame, by: list[str], order: str, weight: str, out: st
     unsigned = F.shiftrightunsigned(F.col(order), 1)
     w = Window.partitionBy(*by, "_b").orderBy(unsigned, F.col(order), *ties).rowsBetween(Window.unboundedPreceding, 0)
     return b.join(carried, [*by, "_b"]).withColumn(out, F.col("_c") + F.sum(weight).over(w) - F.col(weight)).drop("_b", "_c")
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[str], bucket: Column, out: str = "pos") -> DataFrame:
+    """``df`` with ``out``: its position from 0 in ``order`` within ``keys``, which may be null.
+
+    ``bucket`` must not decrease along ``order``; rows of one bucket are sorted together, and the sizes of earlier
+    buckets come from a table of one row a bucket.
+    """
+    b = df.withColumn("_b", bucket)
+    before = carry_over_buckets(b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")), keys, "_b", {"_c": (F.col("_n"), "before")})
+    w = Window.partitionBy(*keys, "_b").orderBy(*order)
+    return null_safe_join(b, before, [*keys, "_b"]).withColumn(out, (F.col("_c") + F.row_number().over(w) - 1).cast("int")).drop("_b", "_c")

@@ -11,10 +11,10 @@ bucket. A key that holds a third of all rows is therefore spread over as many ta
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnweave.runtime import carry_over_buckets
+from turnweave.runtime import carry_over_buckets, null_safe_join
 
 #: One hour of time to a bucket.
 BUCKET_US = 3_600_000_000
@@ -63,7 +63,7 @@ def sweep(segments: DataFrame, keys: list[str], start: str, end: str, bucket_us:
     open_before = carry_over_buckets(events.groupBy(*ks, "b").agg(F.sum("d").alias("net")), ks, "b", {"open0": (F.col("net"), "before")})
     w = Window.partitionBy(*ks, "b").orderBy("t")
     edges = (
-        _join(events, open_before, ks + ["b"])
+        null_safe_join(events, open_before, ks + ["b"])
         .withColumn("now", F.col("open0") + F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("was", F.col("now") - F.col("d"))
         .where("(was = 0) <> (now = 0)")
@@ -71,22 +71,13 @@ def sweep(segments: DataFrame, keys: list[str], start: str, end: str, bucket_us:
     )
     first = carry_over_buckets(edges.groupBy(*ks, "b").agg(F.min("t").alias("t0")), ks, "b", {"later": (F.col("t0"), "first_after")})
     out = (
-        _join(edges.withColumn("next", F.lead("t").over(w)), first, ks + ["b"])
+        null_safe_join(edges.withColumn("next", F.lead("t").over(w)), first, ks + ["b"])
         .withColumn("next", F.coalesce("next", "later"))
         .where("next is not null")
     )
     return out.select(*(F.col(n).alias(k) for k, n in names.items()), F.when(F.col("opens"), "period").otherwise("gap").alias("kind"), F.col("t").alias(start), F.col("next").alias(end))
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on ``keys`` where nulls equal nulls."""
-    r = right.select(*(F.col(k).alias(f"_r{k}") for k in keys), *(c for c in right.columns if c not in keys))
-    cond: Column = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r{k}"))
-    return left.join(r, cond).drop(*(f"_r{k}" for k in keys))
-
-
 def periods_and_gaps(vad_lists: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
     """(session, reel, channel, kind, start_ms, end_ms) of ``vad_lists``, in whole milliseconds, rounded."""
     out = sweep(vad_segments(vad_lists), ["session", "reel", "channel"], "start_us", "end_us", bucket_us)

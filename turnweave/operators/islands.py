@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnweave.runtime import carry_over_buckets, null_safe_join
+
+#: Frames of a bucket in which units are built, an hour at 100 Hz.
+BUCKET_FRAMES = 360_000
+
 
 def _partial(kind: str, col: str, order: list[str]) -> Column:
     if kind == "text":
@@ -48,10 +53,10 @@ def merge_runs(df: DataFrame, keys: list[str], order: list[str], value: str, buc
     return inner.unionByName(edge)
 
 
-def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+def run_lengths(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: Column) -> DataFrame:
     """(keys, value, start, length): maximal runs of equal neighbours; ``start`` is the first value of ``order[0]``."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
-    return merge_runs(one, keys, order, value, bucket if bucket is not None else F.lit(0), {"start": ("min", order[0]), "length": ("sum", "_one")})
+    return merge_runs(one, keys, order, value, bucket, {"start": ("min", order[0]), "length": ("sum", "_one")})
 
 
 def merge_turns(turns: DataFrame, keys: list[str], turn: str = "turn", speaker: str = "speaker", text: str = "text") -> DataFrame:
@@ -70,32 +75,49 @@ def merge_utterances(utts: DataFrame, keys: list[str], order: str, speaker: str
     return m.select(*keys, speaker, F.col("_o").alias(order), F.col("_s.x").alias(start), F.col("_e.x").alias(end), F.col("_x").alias(text))
 
 
-def word_gap_segments(words: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end", min_gap: float = 0.05) -> DataFrame:
+def word_gap_segments(words: DataFrame, keys: list[str], order: str, start: str = "start", end: str = "end", min_gap: float = 0.05, bucket: Column | None = None) -> DataFrame:
     """(keys, start, end): words of an utterance (``keys``) joined while the next starts less than ``min_gap`` after
-    the end of the **previous** word; the end is the last word's."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    apart = F.coalesce(F.col(start) - F.lag(end).over(w) >= min_gap, F.lit(True))
-    seg = words.withColumn("_new", apart.cast("int")).withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    the end of the **previous** word; the end is the last word's.
+
+    ``bucket`` must not decrease along ``order``; without it, 4096 steps of ``order`` are one. The end of the word
+    before a bucket and the number of earlier segments are carried into it.
+    """
+    b = words.withColumn("_b", bucket if bucket is not None else F.floor(F.col(order) / 4096))
+    w = Window.partitionBy(*keys, "_b").orderBy(order)
+    ends = carry_over_buckets(b.groupBy(*keys, "_b").agg(F.max_by(end, order).alias("_e")), keys, "_b", {"_prev": (F.struct("_e"), "last_before")})
+    j = null_safe_join(b, ends, [*keys, "_b"])
+    before = F.when(F.row_number().over(w) == 1, F.col("_prev._e")).otherwise(F.lag(end).over(w))
+    seg = _segments(j.withColumn("_new", F.coalesce(F.col(start) - before >= min_gap, F.lit(True)).cast("int")), keys, w)
     return seg.groupBy(*keys, "_seg").agg(F.min_by(start, order).alias(start), F.max_by(end, order).alias(end)).drop("_seg")
 
 
+def _segments(marked: DataFrame, keys: list[str], w) -> DataFrame:
+    """``_seg``: the running number of segments over buckets ``_b``, from ``_new`` at each segment's first row."""
+    c = marked.withColumn("_in", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    base = carry_over_buckets(c.groupBy(*keys, "_b").agg(F.sum("_new").alias("_n")), keys, "_b", {"_base": (F.col("_n"), "before")})
+    return null_safe_join(c, base, [*keys, "_b"]).withColumn("_seg", F.col("_base") + F.col("_in"))
+
+
 def ipu_units(frames: DataFrame, keys: list[str], channel: str, start: str, end: str, total: str, pause: int) -> DataFrame:
     """(keys, channel, total, start, end) in frames: activity with every silence shorter than ``pause`` bridged.
 
     ``frames`` has half-open intervals [start, end) in frames and the number of frames of the whole signal. Silence at
     both ends counts too; a channel without activity is one unit if the whole signal is shorter than ``pause``. Rows
-    with start >= end stand for a channel without activity there.
+    with start >= end stand for a channel without activity there. Intervals are sorted in buckets of BUCKET_FRAMES;
+    how far earlier buckets reach is carried.
     """
     k = [*keys, channel]
-    w = Window.partitionBy(*k).orderBy(start, end)
-    full = frames.where(F.col(start) < F.col(end))
-    reach = full.withColumn("_upto", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    gap = F.col(start) - F.col("_upto")
-    seg = reach.withColumn("_new", F.coalesce(((gap > 0) & (gap >= pause)).cast("int"), F.lit(1))).withColumn("_seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    full = frames.where(F.col(start) < F.col(end)).withColumn("_b", F.floor(F.col(start) / BUCKET_FRAMES))
+    w = Window.partitionBy(*k, "_b").orderBy(start, end)
+    reached = carry_over_buckets(full.groupBy(*k, "_b").agg(F.max(end).alias("_m")), k, "_b", {"_far": (F.col("_m"), "max_before")})
+    j = null_safe_join(full, reached, [*k, "_b"])
+    gap = F.col(start) - F.greatest(F.col("_far"), F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    seg = _segments(j.withColumn("_new", F.coalesce(((gap > 0) & (gap >= pause)).cast("int"), F.lit(1))), k, w)
     units = seg.groupBy(*k, "_seg").agg(F.min(start).alias(start), F.max(end).alias(end), F.max(total).alias(total))
+    last = units.groupBy(*k).agg(F.max("_seg").alias("_last"))
+    units = null_safe_join(units, last, k)
     first = F.when((F.col("_seg") == 1) & (F.col(start) < pause), 0).otherwise(F.col(start))
-    is_last = F.col("_seg") == F.max("_seg").over(Window.partitionBy(*k))
-    until = F.when(is_last & (F.col(total) - F.col(end) < pause), F.col(total)).otherwise(F.col(end))
+    until = F.when((F.col("_seg") == F.col("_last")) & (F.col(total) - F.col(end) < pause), F.col(total)).otherwise(F.col(end))
     units = units.select(*k, total, first.alias("_a"), until.alias("_b")).select(*k, total, F.col("_a").alias(start), F.col("_b").alias(end))
     silent = frames.groupBy(*k).agg(F.max(total).alias(total), F.max(F.col(start) < F.col(end)).alias("_any")).where(~F.col("_any") & (F.col(total) < pause))
     return units.unionByName(silent.select(*k, total, F.lit(0).cast(frames.schema[start].dataType).alias(start), F.col(total).cast(frames.schema[end].dataType).alias(end)))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.runtime import lookup
+
 
 def z_norm(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Each column less its mean, by its sample deviation, within ``keys``; null where that is 0 or undefined."""
-    w = Window.partitionBy(*keys)
-    sd = lambda c: F.stddev_samp(c).over(w)
-    return df.withColumns({c: F.when(sd(c) > 0, (F.col(c) - F.avg(c).over(w)) / sd(c)) for c in columns})
+    """Each column less its mean, by its sample deviation, within ``keys``; null where that is 0 or undefined.
+
+    The statistics are taken by a partial aggregation and looked up, with salt for hot keys; null keys are a group.
+    """
+    k = df.withColumn("_k", F.struct(*keys))
+    stats = k.groupBy("_k").agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    scaled = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in columns}
+    return lookup(k, stats, "_k").withColumns(scaled).select(*df.columns)
 
 
 def z_norm_nonzero(df: DataFrame, columns: list[str]) -> DataFrame:

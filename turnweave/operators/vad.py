@@ -1,10 +1,27 @@
-"""Voice activity: intervals to frames, clip windows, activity history."""
+"""Voice activity: intervals to frames, clip windows, activity history.
+
+Frames travel as arrays, one row for each block of BLOCK frames of a session, built from the ends of intervals in Arrow
+batches: an hour at 100 Hz is 44 rows of two byte arrays, not 360,000 rows. A long or hot session is as many rows as it
+has blocks. Clips meet blocks by equality of the block number and take slices; histories look back over the blocks they
+need. Rows of single frames are exploded at the very end, without a shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from math import ceil
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnweave.runtime import carry_over_buckets, cut, ship
+
+#: Frames in a block.
+BLOCK = 8192
+#: Blocks turned into arrays at a time: bounds the memory of a Python worker, whatever the Arrow batch.
+AT_A_TIME = 64
+
 
 def vad_list(utts: DataFrame, keys: list[str], channel: str = "channel", start: str = "start", end: str = "end") -> DataFrame:
     """(keys, vad): ``vad[channel]`` the [start, end] of its utterances in order of time, two channels."""
@@ -19,33 +36,93 @@ def to_frames(seg: DataFrame, start: str, end: str, hop: float, total: Column) -
     return seg.withColumns({"sf": q(start), "ef": q(end), "total": total.cast("int")})
 
 
-def frame_grid(sessions: DataFrame, keys: list[str], total: str = "total") -> DataFrame:
-    """One row for each frame of each session."""
-    return sessions.where(F.col(total) > 0).select(*keys, F.explode(F.sequence(F.lit(0), F.col(total) - 1)).alias("frame"))
-
+def blocks(frames: DataFrame, keys: list[str], sessions: DataFrame | None = None, channel: str = "channel", total: str = "total", size: int = BLOCK) -> DataFrame:
+    """(keys, block, n, v0, v1, s0, s1): activity of the two channels in blocks of ``size`` frames, byte arrays of the
+    ``n`` frames of the block, and how many frames of each are active.
 
-def active_frames(frames: DataFrame, keys: list[str], channel: str = "channel") -> DataFrame:
-    """(keys, frame, v0, v1) of the frames with activity; intervals are expanded and joined by one aggregation."""
-    e = frames.where("sf < ef").select(*keys, channel, F.explode(F.sequence(F.col("sf"), F.col("ef") - 1)).alias("frame"))
-    v = lambda c: F.max((F.col(channel) == c).cast("int")).alias(f"v{c}")
-    return e.groupBy(*keys, "frame").agg(v(0), v(1))
+    ``frames``: keys, channel, sf, ef; empty intervals and other channels add nothing, repeated ones change nothing.
+    With ``sessions`` (keys, total) all blocks of a session come, silent ones too, the last with fewer frames; without,
+    only blocks with activity, all of ``size`` frames. What reaches an array is bounded by the frames of a block.
+    """
+    import pyarrow as pa
+
+    ship(frames.sparkSession)
+    at = F.col("block") * size
+    pieces = frames.where("sf < ef").where(F.col(channel).isin(0, 1)).select(*keys, F.col(channel).cast("int").alias("c"), "sf", "ef", F.explode(F.sequence(F.floor(F.col("sf") / size), F.floor((F.col("ef") - 1) / size))).alias("block"))
+    ends = F.array(F.struct(F.greatest(F.col("sf") - at, F.lit(0)).cast("int").alias("p"), F.lit(1).alias("d")), F.struct(F.least(F.col("ef") - at, F.lit(size)).cast("int").alias("p"), F.lit(-1).alias("d")))
+    events = pieces.select(*keys, "block", "c", F.inline(ends)).groupBy(*keys, "block", "c", "p").agg(F.sum("d").cast("int").alias("d")).where("d <> 0")
+    rows = events.select(*keys, "block", F.lit(None if sessions is not None else size).cast("int").alias("n"), F.struct("c", "p", "d").alias("e"))
+    if sessions is not None:
+        grid = sessions.where(F.col(total) > 0).select(*keys, F.col(total).alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(total) - 1) / size))).alias("block"))
+        rows = rows.unionByName(grid.select(*keys, "block", F.least(F.col("_t") - at, F.lit(size)).cast("int").alias("n"), F.lit(None).cast(rows.schema["e"].dataType).alias("e")))
+    g = rows.groupBy(*keys, "block").agg(F.max("n").alias("n"), F.collect_list("e").alias("e")).where("n is not null")
+    names = [*keys, "block", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(i, AT_A_TIME) for i in range(0, whole.num_rows, AT_A_TIME)):
+                n = b.column("n").to_numpy().astype(np.int64)
+                e = b.column("e")
+                row = np.repeat(np.arange(len(n)), np.diff(e.offsets.to_numpy()))
+                c, p, d = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in e.flatten().flatten())
+                first = np.concatenate(([0], np.cumsum(n + 1)))  # one more for what ends with the block
+                inside = np.ones(first[-1], bool)
+                inside[first[1:] - 1] = False
+                bounds = np.concatenate(([0], np.cumsum(n)))
+                lists, sums = [], []
+                for k in (0, 1):
+                    steps = np.zeros(first[-1], np.int32)
+                    m = c == k
+                    np.add.at(steps, first[row[m]] + np.minimum(p[m], n[row[m]]), d[m])
+                    v = (np.cumsum(steps) > 0)[inside].astype(np.int8)
+                    lists.append(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(v)))
+                    sums.append(pa.array(np.diff(np.concatenate(([0], np.cumsum(v, dtype=np.int64)))[bounds])))
+                yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), *lists, *sums], names=[*names, "v0", "v1", "s0", "s1"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in g.select(*names).schema)
+    return g.mapInArrow(run, fields + ", v0 array<tinyint>, v1 array<tinyint>, s0 bigint, s1 bigint")
+
+
+def unpack(blocked: DataFrame, keys: list[str], columns: list[str], size: int = BLOCK) -> DataFrame:
+    """(keys, frame, columns): one row for each frame."""
+    e = blocked.select(*keys, "block", F.posexplode(F.arrays_zip(*columns)).alias("_p", "_x"))
+    return e.select(*keys, (F.col("block") * size + F.col("_p")).cast("int").alias("frame"), *(F.col(f"_x.{c}").alias(c) for c in columns))
 
 
 def one_hot(frames: DataFrame, sessions: DataFrame, keys: list[str], channel: str = "channel", total: str = "total") -> DataFrame:
     """(keys, frame, v0, v1) for every frame of every session, silent ones included."""
-    grid = frame_grid(sessions, keys, total).select(*keys, "frame", F.lit(0).alias("v0"), F.lit(0).alias("v1"))
-    e = frames.where("sf < ef").select(*keys, F.explode(F.sequence(F.col("sf"), F.col("ef") - 1)).alias("frame"), *((F.col(channel) == c).cast("int").alias(f"v{c}") for c in (0, 1)))
-    return grid.unionByName(e).groupBy(*keys, "frame").agg(F.max("v0").alias("v0"), F.max("v1").alias("v1"))
+    return unpack(blocks(frames, keys, sessions, channel, total), keys, ["v0", "v1"]).withColumns({c: F.col(c).cast("int") for c in ("v0", "v1")})
 
 
-def clip_windows(clips: DataFrame, active: DataFrame, keys: list[str], horizon: int = 0) -> DataFrame:
-    """(keys, clip, offset, v0, v1): frames [start_frame, end_frame + horizon) of each clip, 0 where nothing is known.
+def slices(clips: DataFrame, blocked: DataFrame, keys: list[str], fill: dict[str, Column], size: int = BLOCK) -> DataFrame:
+    """(keys, clip, arrays): frames [start_frame, end_frame) of each clip from the array columns named in ``fill``,
+    whose value stands where nothing is known, before the beginning too. Clips without length have no row.
 
-    ``clips``: keys, clip, start_frame, end_frame. Frames are matched by equality, never by range.
+    A clip meets the blocks it touches by equality and is put together again: one row a clip, never one a frame.
     """
-    n = F.col("end_frame") + horizon - F.col("start_frame")
-    grid = clips.where(n > 0).select(*keys, "clip", "start_frame", F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias("offset")).withColumn("frame", F.col("start_frame") + F.col("offset"))
-    return grid.join(active, [*keys, "frame"], "left").select(*keys, "clip", "offset", *(F.coalesce(f"v{c}", F.lit(0)).alias(f"v{c}") for c in (0, 1)))
+    at = F.col("block") * size
+    p = clips.where("start_frame < end_frame").select(*keys, "clip", "start_frame", "end_frame", F.explode(F.sequence(F.floor(F.col("start_frame") / size), F.floor((F.col("end_frame") - 1) / size))).alias("block"))
+    p = p.withColumn("_a", F.greatest(F.col("start_frame") - at, F.lit(0)).cast("int")).withColumn("_m", (F.least(F.col("end_frame") - at, F.lit(size)) - F.col("_a")).cast("int"))
+    j = p.join(blocked.select(*keys, "block", *fill), [*keys, "block"], "left")
+
+    def part(c: str, f: Column) -> Column:
+        x = F.slice(c, F.col("_a") + 1, F.col("_m"))
+        kind = blocked.schema[c].dataType
+        return F.coalesce(F.concat(x, F.array_repeat(f.cast(kind.elementType), F.col("_m") - F.size(x))), F.array_repeat(f.cast(kind.elementType), F.col("_m"))).alias(c)
+
+    g = j.groupBy(*keys, "clip").agg(F.array_sort(F.collect_list(F.struct("block", *(part(c, f) for c, f in fill.items())))).alias("_x"))
+    return g.select(*keys, "clip", *(F.flatten(f"_x.{c}").alias(c) for c in fill))
+
+
+def clip_arrays(clips: DataFrame, blocked: DataFrame, keys: list[str], horizon: int = 0) -> DataFrame:
+    """(keys, clip, v0, v1): activity of frames [start_frame, end_frame + horizon) of each clip, 0 where nothing is known."""
+    return slices(clips.withColumn("end_frame", F.col("end_frame") + horizon), blocked, keys, {c: F.lit(0) for c in ("v0", "v1")})
+
+
+def clip_windows(clips: DataFrame, blocked: DataFrame, keys: list[str], horizon: int = 0) -> DataFrame:
+    """(keys, clip, offset, v0, v1): :func:`clip_arrays`, one row a frame."""
+    e = clip_arrays(clips, blocked, keys, horizon).select(*keys, "clip", F.posexplode(F.arrays_zip("v0", "v1")).alias("offset", "_x"))
+    return e.select(*keys, "clip", "offset", *(F.col(f"_x.{c}").cast("int").alias(c) for c in ("v0", "v1")))
 
 
 def flip(frames: DataFrame) -> DataFrame:
@@ -58,31 +135,90 @@ def history_edges(times: list[float], hop: float) -> list[int]:
     return sorted((int(t / hop) for t in times), reverse=True)
 
 
-def activity_history(one_hot_frames: DataFrame, keys: list[str], edges: list[int]) -> DataFrame:
-    """``h0`` … ``hk`` beside each frame: the share of speaker 0 in the activity of each stretch of the past.
+def history_blocks(blocked: DataFrame, keys: list[str], edges: list[int], size: int = BLOCK) -> DataFrame:
+    """``blocked`` (all blocks of each session) with ``h0`` … ``hk``, arrays beside ``v0`` and ``v1``: the share of
+    speaker 0 in the activity of each stretch of the past.
 
     The stretches are: longer ago than edges[0], then between neighbouring edges, last the most recent edges[-1]
-    frames with the frame itself. 0.5 where nobody was active. Sums come from prefix sums and lags, so the cost of a
-    frame doesn't depend on the width of the bins.
+    frames with the frame itself. 0.5 where nobody was active. Running sums come from the block itself, the blocks
+    that the longest edge reaches back to, and the sums of all earlier blocks, which are carried from block to block.
     """
-    w = Window.partitionBy(*keys).orderBy("frame")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    d = one_hot_frames.withColumns({f"_c{c}": F.sum(f"v{c}").over(upto) for c in (0, 1)})
-    ago = lambda c, k: F.col(f"_c{c}") if k == 0 else F.lag(f"_c{c}", k, 0).over(w)
-    new = {}
-    bounds = [None, *edges, 0]
-    for i, (far, near) in enumerate(zip(bounds, bounds[1:])):
-        a0, a1 = (ago(c, near) - (ago(c, far) if far is not None else F.lit(0)) for c in (0, 1))
-        new[f"h{i}"] = F.when(a0 + a1 > 0, a0 / (a0 + a1)).otherwise(F.lit(0.5))
-    return d.withColumns(new).drop("_c0", "_c1")
-
-
-def response_window(responses: DataFrame, active: DataFrame, keys: list[str], frames: int, ahead: int = 0) -> DataFrame:
-    """(keys, response, offset, own, other): the ``frames`` before each response and ``ahead`` after its start.
+    import pyarrow as pa
+
+    b = cut(blocked)
+    reach = ceil(max(edges, default=0) / size)
+    carried = carry_over_buckets(b.select(*keys, "block", "s0", "s1"), keys, "block", {f"_b{c}": (F.col(f"s{c}"), "before") for c in (0, 1)})
+    kept = b.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_j"), "block", "n", "v0", "v1").withColumn("block", F.col("block") + F.col("_j"))
+    parts = kept.select(*keys, "block", F.when(F.col("_j") == 0, F.col("n")).alias("n"), F.struct("_j", "v0", "v1").alias("_p"), *(F.lit(None).cast("long").alias(f"_b{c}") for c in (0, 1)))
+    rows = parts.unionByName(carried.select(*keys, "block", F.lit(None).cast("int").alias("n"), F.lit(None).cast(parts.schema["_p"].dataType).alias("_p"), "_b0", "_b1"))
+    g = rows.groupBy(*keys, "block").agg(F.max("n").alias("n"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1"), F.sort_array(F.collect_list("_p"), asc=False).alias("_p")).where("n is not null")
+    names = [*keys, "block", "n"]
+    bounds = list(zip([None, *edges], [*edges, 0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in (whole.slice(i, AT_A_TIME) for i in range(0, whole.num_rows, AT_A_TIME)):
+                hs, vs = [[] for _ in bounds], [[], []]
+                for i in range(x.num_rows):
+                    n = x.column("n")[i].as_py()
+                    own, sums = [], []
+                    for c in (0, 1):
+                        v = np.concatenate([q.to_numpy() for q in _lists(x.column("_p")[i].values.field(f"v{c}"))])
+                        own.append(v[len(v) - n :])
+                        s = np.concatenate((np.zeros(1, np.int64), np.cumsum(v, dtype=np.int64)))
+                        sums.append(s + (x.column(f"_b{c}")[i].as_py() - s[len(v) - n]))
+                    ago = lambda c, k: _ago(sums[c], n, k)  # noqa: B023, E731
+                    for h, (far, near) in zip(hs, bounds):
+                        a0, a1 = (ago(c, near) - (ago(c, far) if far is not None else 0) for c in (0, 1))
+                        both = a0 + a1
+                        h.append(np.divide(a0, both, out=np.full(n, 0.5), where=both > 0))
+                    for c in (0, 1):
+                        vs[c].append(own[c])
+                ends = pa.array(np.concatenate(([0], np.cumsum(x.column("n").to_numpy()))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(y))) for y in (*vs, *hs)]
+                yield pa.RecordBatch.from_arrays([*(x.column(c) for c in names), *lists], names=[*names, "v0", "v1", *(f"h{i}" for i in range(len(bounds)))])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in g.select(*names).schema)
+    return g.mapInArrow(run, fields + ", v0 array<tinyint>, v1 array<tinyint>" + "".join(f", h{i} array<double>" for i in range(len(bounds))))
+
+
+def _lists(x) -> Iterator:
+    return (x[i].values for i in range(len(x)))
+
+
+def _ago(sums: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Sums up to each of the last ``n`` frames, ``k`` frames earlier; 0 before the beginning of the session."""
+    at = np.arange(len(sums) - n, len(sums)) - k
+    return np.where(at >= 0, sums[np.maximum(at, 0)], 0)
+
+
+def activity_history(frames: DataFrame, sessions: DataFrame, keys: list[str], edges: list[int], channel: str = "channel", total: str = "total") -> DataFrame:
+    """(keys, frame, v0, v1, h0 …): activity and :func:`history_blocks`, one row for every frame of every session."""
+    h = history_blocks(blocks(frames, keys, sessions, channel, total), keys, edges)
+    return unpack(h, keys, ["v0", "v1", *(f"h{i}" for i in range(len(edges) + 1))]).withColumns({c: F.col(c).cast("int") for c in ("v0", "v1")})
+
+
+def response_arrays(responses: DataFrame, blocked: DataFrame, keys: list[str], frames: int, ahead: int = 0) -> DataFrame:
+    """(keys, response, own, other): activity of the ``frames`` before each response and ``ahead`` after its start.
 
     ``responses``: keys, response, speaker (0 or 1), frame. ``own`` is the activity of the responding speaker.
     """
-    clips = responses.select(*keys, F.col("response").alias("clip"), "speaker", (F.col("frame") - frames).alias("start_frame"), F.col("frame").alias("end_frame"))
-    w = clip_windows(clips, active, keys, ahead).join(clips.select(*keys, "clip", "speaker"), [*keys, "clip"])
-    own = F.when(F.col("speaker") == 0, F.col("v0")).otherwise(F.col("v1"))
-    return w.select(*keys, F.col("clip").alias("response"), "offset", own.alias("own"), (F.col("v0") + F.col("v1") - own).alias("other"))
+    at = responses.select(*keys, F.struct("response", "speaker").alias("clip"), (F.col("frame") - frames).alias("start_frame"), F.col("frame").alias("end_frame"))
+    w = clip_arrays(at, blocked, keys, ahead)
+    first = F.col("clip.speaker") == 0
+    return w.select(*keys, F.col("clip.response").alias("response"), F.when(first, F.col("v0")).otherwise(F.col("v1")).alias("own"), F.when(first, F.col("v1")).otherwise(F.col("v0")).alias("other"))
+
+
+def response_window(responses: DataFrame, blocked: DataFrame, keys: list[str], frames: int, ahead: int = 0) -> DataFrame:
+    """(keys, response, offset, own, other): :func:`response_arrays`, one row a frame."""
+    e = response_arrays(responses, blocked, keys, frames, ahead).select(*keys, "response", F.posexplode(F.arrays_zip("own", "other")).alias("offset", "_x"))
+    return e.select(*keys, "response", "offset", *(F.col(f"_x.{c}").cast("int").alias(c) for c in ("own", "other")))
+
+
+def history_at(responses: DataFrame, history: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """(keys, response, h): the condensed history at one moment, of ``bins`` shares of the responding speaker: the
+    frame before the response starts; 0.5 where the session hasn't begun or isn't known."""
+    at = responses.select(*keys, F.struct("response", "speaker").alias("clip"), (F.col("frame") - 1).alias("start_frame"), F.col("frame").alias("end_frame"))
+    w = slices(at, history, keys, {f"h{i}": F.lit(0.5) for i in range(bins)})
+    h = F.array(*(F.get(f"h{i}", F.lit(0)) for i in range(bins)))
+    return w.select(*keys, F.col("clip.response").alias("response"), F.when(F.col("clip.speaker") == 0, h).otherwise(F.transform(h, lambda x: 1 - x)).alias("h"))

@@ -9,6 +9,7 @@ from turnweave.functions import arrays as A
 from turnweave.functions import text as X
 from turnweave.operators import dialog as D
 from turnweave.operators import islands, joins
+from turnweave.operators.cumulate import numbered
 from turnweave.plans import batch, dialog_text, tables
 from turnweave.plans.tables import DIALOGS, TURNS, UTTERANCES
 from turnweave.runtime import table
@@ -29,10 +30,8 @@ def dialog_arrays(s: SparkSession, d: str) -> DataFrame:
 def interleaved(s: SparkSession, d: str) -> DataFrame:
     u = tables.utterances(s, d).where("start is not null")
     a, b = (u.where(F.col("channel") == c).select(*K, "line_no", "start", "text") for c in (0, 1))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*K).orderBy("start", "channel", "line_no")
-    return D.interleave(a, b).withColumn("pos", F.row_number().over(w))
+    n = numbered(D.interleave(a, b), K, ["start", "channel", "line_no"], F.floor(F.col("start") / 1800))
+    return n.withColumn("pos", F.col("pos") + 1)
 
 
 def _words(s: SparkSession, d: str) -> DataFrame:

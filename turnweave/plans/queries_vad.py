@@ -37,19 +37,23 @@ def frame_clips(s: SparkSession, d: str) -> DataFrame:
 
 
 def clip_windows(s: SparkSession, d: str) -> DataFrame:
-    return V.clip_windows(frame_clips(s, d), V.active_frames(tables.interval_frames(s, d), S), S, HORIZON)
+    return V.clip_windows(frame_clips(s, d), V.blocks(tables.interval_frames(s, d), S), S, HORIZON)
 
 
 def history(s: SparkSession, d: str) -> DataFrame:
-    h = V.activity_history(one_hot(s, d), S, EDGES)
+    h = V.activity_history(tables.interval_frames(s, d), totals(s, d), S, EDGES)
     return h.select("session", "frame", *(F.round(f"h{i}", 6).alias(f"h{i}") for i in range(len(EDGES) + 1)))
 
 
 def response(s: SparkSession, d: str) -> DataFrame:
     i = tables.intervals(s, d)
     r = i.select("session", F.col("event_id").alias("response"), F.col("channel").alias("speaker"), (F.col("start") / HOP).cast("int").alias("frame"))
-    w = V.response_window(r, V.active_frames(tables.interval_frames(s, d), S), S, 24, 2)
-    return w.groupBy("session", "response").agg(F.sum("own").alias("own"), F.sum("other").alias("other"), F.count(F.lit(1)).alias("frames"))
+    return response_sums(V.response_arrays(r, V.blocks(tables.interval_frames(s, d), S), S, 24, 2))
+
+
+def response_sums(w: DataFrame) -> DataFrame:
+    on = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v).alias(c)
+    return w.select("session", "response", on("own"), on("other"), F.size("own").cast("long").alias("frames"))
 
 
 def vad_lists(s: SparkSession, d: str) -> DataFrame:
@@ -95,11 +99,12 @@ def reel_ends(s: SparkSession, d: str) -> DataFrame:
 def reel_windows(s: SparkSession, d: str) -> DataFrame:
     c = FLOW.clips(tables.reels(s, d)[0], tables.reels(s, d)[1].where("channel < 2"))
     at = lambda x: F.round(F.col(x) * FLOW.hz).cast("int").alias(f"{x}_frame")
-    return V.clip_windows(c.select("session", "clip", at("start"), at("end")), V.active_frames(reel_frames(s, d)[1], S), S, FLOW._f(FLOW.horizon))
+    return V.clip_windows(c.select("session", "clip", at("start"), at("end")), V.blocks(reel_frames(s, d)[1], S), S, FLOW._f(FLOW.horizon))
 
 
 def reel_history(s: SparkSession, d: str) -> DataFrame:
-    h = V.activity_history(reel_one_hot(s, d), S, V.history_edges(FLOW.history_times, FLOW.hop))
+    totals, f = reel_frames(s, d)
+    h = V.activity_history(f, totals, S, V.history_edges(FLOW.history_times, FLOW.hop))
     return h.select("session", "frame", *(F.round(f"h{i}", 6).alias(f"h{i}") for i in range(len(FLOW.history_times) + 1)))
 
 
@@ -107,8 +112,7 @@ def reel_response(s: SparkSession, d: str) -> DataFrame:
     """The context before each segment's start and the horizon after it."""
     _, f = reel_frames(s, d)
     r = f.select("session", F.concat_ws("-", "channel", "sf").alias("response"), F.col("channel").alias("speaker"), F.col("sf").alias("frame")).distinct()
-    w = V.response_window(r, V.active_frames(f, S), S, FLOW._f(FLOW.context), FLOW._f(FLOW.horizon))
-    return w.groupBy("session", "response").agg(F.sum("own").alias("own"), F.sum("other").alias("other"), F.count(F.lit(1)).alias("frames"))
+    return response_sums(V.response_arrays(r, V.blocks(f, S), S, FLOW._f(FLOW.context), FLOW._f(FLOW.horizon)))
 
 
 def reel_samples(s: SparkSession, d: str) -> DataFrame:
@@ -128,7 +132,7 @@ def response_audio(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p3_found": lambda s, d: I.periods_and_gaps(table(s, d, "vad_lists")),
-    "run_length_islands": lambda s, d: islands.run_lengths(tables.intervals(s, d), S, ["start", "event_id"], "event_type"),
+    "run_length_islands": lambda s, d: islands.run_lengths(tables.intervals(s, d), S, ["start", "event_id"], "event_type", F.floor(F.col("start") / (30 * 86_400))),
     "interval_gap_merge": lambda s, d: islands.word_gap_segments(tables.intervals(s, d), S, "event_id", min_gap=1800.0),
     "vad_list": vad_lists,
     "vad_onehot": one_hot,

@@ -163,12 +163,19 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, left_by: Column, ri
     return grid(left, "_g0", "_g1", left_by).join(grid(right, "_g1", "_g0", right_by), [key, "_g0", "_g1"]).drop("_g0", "_g1")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where nulls equal nulls; the columns of ``left`` and those of ``right`` that are no keys."""
+    r = right.select(*(F.col(k).alias(f"_r{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    cond = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys))
+    return left.join(r, cond, how).drop(*(f"_r{k}" for k in keys))
+
+
 def carry_over_buckets(buckets: DataFrame, keys: list[str], bucket: str, exprs: dict[str, tuple[Column, str]]) -> DataFrame:
     """Values handed on between the buckets of one key.
 
     ``exprs`` gives for each new column an expression over the bucket rows and the direction: ``before`` sums it over
-    the earlier buckets, ``last_before`` takes the last non-null of the earlier ones, ``first_after`` the first
-    non-null of the later ones. The table has one row for each bucket, so the window is short even for a hot key.
+    the earlier buckets, ``max_before`` takes the greatest of the earlier ones, ``last_before`` their last non-null,
+    ``first_after`` the first non-null of the later ones. The table has one row for each bucket, so the window is short even for a hot key.
     """
     w = Window.partitionBy(*keys).orderBy(bucket)
     back = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -177,6 +184,8 @@ def carry_over_buckets(buckets: DataFrame, keys: list[str], bucket: str, exprs:
     for name, (e, how) in exprs.items():
         if how == "before":
             new[name] = F.coalesce(F.sum(e).over(back), F.lit(0))
+        elif how == "max_before":
+            new[name] = F.max(e).over(back)
         elif how == "last_before":
             new[name] = F.last(e, ignorenulls=True).over(back)
         else:
