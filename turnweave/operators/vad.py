@@ -1,7 +1,7 @@
 """Voice activity: intervals to frames, clip windows, activity history.
 
 Frames travel as arrays, one row for each block of BLOCK frames of a session, built from the ends of intervals in Arrow
-batches: an hour at 100 Hz is 44 rows of two byte arrays, not 360,000 rows. A long or hot session is as many rows as it
+batches: an hour at 100 Hz is 176 rows of two byte arrays, not 360,000 rows. A long or hot session is as many rows as it
 has blocks. Clips meet blocks by equality of the block number and take slices; histories look back over the blocks they
 need. Rows of single frames are exploded at the very end, without a shuffle.
 """
@@ -15,12 +15,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.runtime import carry_over_buckets, cut, ship
+from turnweave.runtime import carry_over_buckets, cut, ship, spread
 
 #: Frames in a block.
-BLOCK = 8192
+BLOCK = 2048
 #: Blocks turned into arrays at a time: bounds the memory of a Python worker, whatever the Arrow batch.
-AT_A_TIME = 64
+AT_A_TIME = 256
 
 
 def vad_list(utts: DataFrame, keys: list[str], channel: str = "channel", start: str = "start", end: str = "end") -> DataFrame:
@@ -55,7 +55,7 @@ def blocks(frames: DataFrame, keys: list[str], sessions: DataFrame | None = None
     if sessions is not None:
         grid = sessions.where(F.col(total) > 0).select(*keys, F.col(total).alias("_t"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(total) - 1) / size))).alias("block"))
         rows = rows.unionByName(grid.select(*keys, "block", F.least(F.col("_t") - at, F.lit(size)).cast("int").alias("n"), F.lit(None).cast(rows.schema["e"].dataType).alias("e")))
-    g = rows.groupBy(*keys, "block").agg(F.max("n").alias("n"), F.collect_list("e").alias("e")).where("n is not null")
+    g = spread(rows, *keys, "block").groupBy(*keys, "block").agg(F.max("n").alias("n"), F.collect_list("e").alias("e")).where("n is not null")
     names = [*keys, "block", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +85,14 @@ def blocks(frames: DataFrame, keys: list[str], sessions: DataFrame | None = None
 
 def unpack(blocked: DataFrame, keys: list[str], columns: list[str], size: int = BLOCK) -> DataFrame:
     """(keys, frame, columns): one row for each frame."""
-    e = blocked.select(*keys, "block", F.posexplode(F.arrays_zip(*columns)).alias("_p", "_x"))
-    return e.select(*keys, (F.col("block") * size + F.col("_p")).cast("int").alias("frame"), *(F.col(f"_x.{c}").alias(c) for c in columns))
+    return _spread(blocked, [*keys, "block"], columns, "_p").select(*keys, (F.col("block") * size + F.col("_p")).cast("int").alias("frame"), *columns)
+
+
+def _spread(arrays: DataFrame, keep: list[str], columns: list[str], pos: str) -> DataFrame:
+    """(keep, pos, columns): parallel arrays as rows. Only the first is exploded, the others are read at its position,
+    which builds no row of all of them for each element."""
+    e = arrays.select(*keep, F.posexplode(columns[0]).alias(pos, "_x"), *columns[1:])
+    return e.select(*keep, pos, F.col("_x").alias(columns[0]), *(F.get(c, F.col(pos)).alias(c) for c in columns[1:]))
 
 
 def one_hot(frames: DataFrame, sessions: DataFrame, keys: list[str], channel: str = "channel", total: str = "total") -> DataFrame:
@@ -110,7 +116,7 @@ def slices(clips: DataFrame, blocked: DataFrame, keys: list[str], fill: dict[str
         kind = blocked.schema[c].dataType
         return F.coalesce(F.concat(x, F.array_repeat(f.cast(kind.elementType), F.col("_m") - F.size(x))), F.array_repeat(f.cast(kind.elementType), F.col("_m"))).alias(c)
 
-    g = j.groupBy(*keys, "clip").agg(F.array_sort(F.collect_list(F.struct("block", *(part(c, f) for c, f in fill.items())))).alias("_x"))
+    g = spread(j, *keys, "clip").groupBy(*keys, "clip").agg(F.array_sort(F.collect_list(F.struct("block", *(part(c, f) for c, f in fill.items())))).alias("_x"))
     return g.select(*keys, "clip", *(F.flatten(f"_x.{c}").alias(c) for c in fill))
 
 
@@ -121,8 +127,8 @@ def clip_arrays(clips: DataFrame, blocked: DataFrame, keys: list[str], horizon:
 
 def clip_windows(clips: DataFrame, blocked: DataFrame, keys: list[str], horizon: int = 0) -> DataFrame:
     """(keys, clip, offset, v0, v1): :func:`clip_arrays`, one row a frame."""
-    e = clip_arrays(clips, blocked, keys, horizon).select(*keys, "clip", F.posexplode(F.arrays_zip("v0", "v1")).alias("offset", "_x"))
-    return e.select(*keys, "clip", "offset", *(F.col(f"_x.{c}").cast("int").alias(c) for c in ("v0", "v1")))
+    e = _spread(clip_arrays(clips, blocked, keys, horizon), [*keys, "clip"], ["v0", "v1"], "offset")
+    return e.withColumns({c: F.col(c).cast("int") for c in ("v0", "v1")})
 
 
 def flip(frames: DataFrame) -> DataFrame:
@@ -151,7 +157,7 @@ def history_blocks(blocked: DataFrame, keys: list[str], edges: list[int], size:
     kept = b.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(reach))).alias("_j"), "block", "n", "v0", "v1").withColumn("block", F.col("block") + F.col("_j"))
     parts = kept.select(*keys, "block", F.when(F.col("_j") == 0, F.col("n")).alias("n"), F.struct("_j", "v0", "v1").alias("_p"), *(F.lit(None).cast("long").alias(f"_b{c}") for c in (0, 1)))
     rows = parts.unionByName(carried.select(*keys, "block", F.lit(None).cast("int").alias("n"), F.lit(None).cast(parts.schema["_p"].dataType).alias("_p"), "_b0", "_b1"))
-    g = rows.groupBy(*keys, "block").agg(F.max("n").alias("n"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1"), F.sort_array(F.collect_list("_p"), asc=False).alias("_p")).where("n is not null")
+    g = spread(rows, *keys, "block").groupBy(*keys, "block").agg(F.max("n").alias("n"), F.max("_b0").alias("_b0"), F.max("_b1").alias("_b1"), F.sort_array(F.collect_list("_p"), asc=False).alias("_p")).where("n is not null")
     names = [*keys, "block", "n"]
     bounds = list(zip([None, *edges], [*edges, 0]))
 
@@ -211,8 +217,8 @@ def response_arrays(responses: DataFrame, blocked: DataFrame, keys: list[str], f
 
 def response_window(responses: DataFrame, blocked: DataFrame, keys: list[str], frames: int, ahead: int = 0) -> DataFrame:
     """(keys, response, offset, own, other): :func:`response_arrays`, one row a frame."""
-    e = response_arrays(responses, blocked, keys, frames, ahead).select(*keys, "response", F.posexplode(F.arrays_zip("own", "other")).alias("offset", "_x"))
-    return e.select(*keys, "response", "offset", *(F.col(f"_x.{c}").cast("int").alias(c) for c in ("own", "other")))
+    e = _spread(response_arrays(responses, blocked, keys, frames, ahead), [*keys, "response"], ["own", "other"], "offset")
+    return e.withColumns({c: F.col(c).cast("int") for c in ("own", "other")})
 
 
 def history_at(responses: DataFrame, history: DataFrame, keys: list[str], bins: int) -> DataFrame:

@@ -163,6 +163,12 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, left_by: Column, ri
     return grid(left, "_g0", "_g1", left_by).join(grid(right, "_g1", "_g0", right_by), [key, "_g0", "_g1"]).drop("_g0", "_g1")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` partitioned by ``by`` in as many partitions as the session has for shuffles, which adaptive execution
+    leaves as they are: for rows of compact arrays, whose size says little about the work that unpacks them."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on ``keys`` where nulls equal nulls; the columns of ``left`` and those of ``right`` that are no keys."""
     r = right.select(*(F.col(k).alias(f"_r{k}") for k in keys), *(c for c in right.columns if c not in keys))
