@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnweave.operators.cumulate import running_total
-from turnweave.runtime import cut, hot_keys, lookup, union_all
+from turnweave.runtime import cut, hot_keys, lookup, release, union_all
 
 #: Relations that declare two sessions the same call.
 SAME_CALL = ("same_call", "rerelease_of", "copy_of")
@@ -32,6 +32,8 @@ FULL_WIDTH, ASCII = "０１２３４５６７８９", "0123456789"
 HEAVY_PART = 0.01
 #: Shares under it count as it when heavy groups are told apart, which bounds their number by 1 / (HEAVY_PART * LEAST_SHARE).
 LEAST_SHARE = 0.001
+#: split_targets has one row for each split; more than this many are refused.
+MOST_TARGETS = 10_000
 
 
 def dataset_prefix(name: Column) -> Column:
@@ -71,7 +73,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", seed: int = 1234) -
     with the one row of its mate is split by adaptive execution.
     """
     e = _tidy(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null"))
-    e = cut(e)
+    e = last = cut(e)
     mates: list[DataFrame] = []
     while not e.isEmpty():
         tails = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit(seed + len(mates))), F.lit(2)) == 0  # noqa: B023, E731
@@ -80,14 +82,18 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", seed: int = 1234) -
         for c in ("u", "v"):
             m = mate.select(F.col("u").alias(c), "mate")
             e = e.join(m, c, "left").withColumn(c, F.coalesce("mate", c)).drop("mate")
-        e = cut(_tidy(e))
+        done, e = last, cut(_tidy(e))
+        last = e
+        release(done)
         mates.append(mate)
     if not mates:
         return e.select(F.col("u").alias("vertex"), F.col("v").alias("label"))
     parents = cut(union_all(mates).select(F.col("u").alias("vertex"), F.col("mate").alias("label")))
+    release(*mates)
     for _ in range(ceil(log2(len(mates))) if len(mates) > 1 else 0):
         above = parents.select(F.col("vertex").alias("label"), F.col("label").alias("up"))
-        parents = cut(parents.join(above, "label", "left").select("vertex", F.coalesce("up", "label").alias("label")))
+        done, parents = parents, cut(parents.join(above, "label", "left").select("vertex", F.coalesce("up", "label").alias("label")))
+        release(done)
     return parents
 
 
@@ -126,7 +132,10 @@ def assign_splits(groups: DataFrame, targets: DataFrame, seed: int = 1234) -> Da
     weight, in proportion to what each split still lacks, cuts that line into the splits. Shares that are null or not
     above 0 get nothing; the others are scaled to sum to 1. No targets: every split is null. No groups: no rows.
     """
-    shares = sorted(((r["split"], r["share"]) for r in targets.select("split", "share").collect() if r["split"] is not None and r["share"] is not None and r["share"] > 0), key=lambda x: (-x[1], x[0]))
+    stated = targets.select("split", "share").limit(MOST_TARGETS + 1).collect()
+    if len(stated) > MOST_TARGETS:
+        raise ValueError("split_targets has one row for each split")
+    shares = sorted(((r["split"], r["share"]) for r in stated if r["split"] is not None and r["share"] is not None and r["share"] > 0), key=lambda x: (-x[1], x[0]))
     if not shares:
         return groups.select("group_id", F.lit(None).cast("string").alias("split"))
     whole = sum(s for _, s in shares)

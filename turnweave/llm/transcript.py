@@ -29,11 +29,13 @@ SECONDS_IN_BUCKET = 1800
 SPEAKER_A = ("a", "0", "speakera", "speaker0", "spka", "spk0", "ch0", "cha", "channel0", "channela", "agent")
 SPEAKER_B = ("b", "1", "speakerb", "speaker1", "spkb", "spk1", "ch1", "chb", "channel1", "channelb", "user")
 
-#: Labels at the head of a text, lower case.
+#: Labels at the head of a text, lower case: a letter before a colon or in brackets, a role likewise, and what names a
+#: speaker or channel by letter or digit, however the two are joined. A digit alone is none: it may begin a clock time.
 LABELS = {
     form: who
     for who, letter, digit, role in (("A", "a", "0", "agent"), ("B", "b", "1", "user"))
-    for form in (f"{letter}:", f"[{letter}]", f"<{letter}>", f"({letter})", f"speaker {letter}:", f"speaker_{letter}:", f"spk_{letter}:", f"channel {digit}:", f"ch{digit}:", f"{role}:", f"[{role}]", f"<{role}>")
+    for name in (letter, role, *(f"{stem}{sep}{x}" for stem in ("speaker", "spk", "channel", "ch") for sep in ("", " ", "_", "-") for x in (letter, digit)))
+    for form in (f"{name}:", f"[{name}]", f"<{name}>", f"({name})", f"[{name}]:", f"<{name}>:", f"({name}):")
 }
 
 #: Sound marks of the corpora, lower case.
