@@ -123,3 +123,40 @@ def test_z_norm(spark):
     assert got == [("a", -1.0), ("a", 0.0), ("a", 1.0), ("b", None), ("c", None), ("c", None)]
     nz = [r["x"] for r in normalize.z_norm_nonzero(df.where("k = 'a'"), ["x"]).orderBy("x").collect()]
     assert nz[1] == 0.0 and abs(nz[0] + nz[2]) < 1e-12
+
+
+def test_log_mel():
+    x = np.random.default_rng(3).standard_normal(3000)
+    got = N.log_mel(x, 8000, 256, 128, 20)
+    assert got.shape[1] == 20 and np.allclose(np.exp(got), N.spectrogram(x, 256, 128, 256) @ N.mel_matrix(8000, 256, 20), rtol=1e-9)
+    assert (N.log_mel(np.zeros(600), 8000, 256, 128, 20) == np.log(1e-10)).all()
+
+
+@pytest.mark.parametrize("hz", [80.0, 123.0, 200.0, 310.0])
+def test_f0_of_sines(hz):
+    t = np.arange(16000) / 16000
+    x = np.sin(2 * np.pi * hz * t) + 0.5 * np.sin(4 * np.pi * hz * t) + 0.3 * np.sin(6 * np.pi * hz * t)
+    f = N.f0_track(x, 16000, size=800, hop=200)
+    assert f.shape == (80, 2) and f[2:-6, 1].all()
+    assert np.abs(f[2:-6, 0] / hz - 1).max() < 0.01
+
+
+def test_f0_follows_and_rests():
+    rng = np.random.default_rng(7)
+    t = np.arange(8000) / 16000
+    parts = [np.sin(2 * np.pi * 110 * t), np.zeros(8000), np.sin(2 * np.pi * 220 * t), 0.5 * rng.standard_normal(8000)]
+    f = N.f0_track(np.concatenate(parts), 16000, size=800, hop=200)
+    q = [f[i * 40 + 5 : i * 40 + 33] for i in range(4)]
+    assert np.abs(q[0][:, 0] / 110 - 1).max() < 0.02 and np.abs(q[2][:, 0] / 220 - 1).max() < 0.02
+    assert not q[1][:, 1].any() and q[3][:, 1].mean() < 0.3
+    g = N.f0_track(np.concatenate(parts), 16000, size=800, hop=200, interpolated=True)
+    assert (g[:, 0] > 0).all() and np.array_equal(g[:, 1], f[:, 1])
+    assert N.f0_track(np.zeros(0), 16000).shape == (0, 2) and not N.f0_track(np.zeros(500), 16000)[:, 1].any() and N.f0_track(np.ones(3), 16000).shape == (1, 2)
+
+
+def test_applied_functions_keep_nulls(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, []), (4, [float("nan")])], "i int, x array<double>")
+    one = {r["i"]: r["v"] for r in df.select("i", N.apply_1d(F.col("x"), lambda v: 2 * v).alias("v")).collect()}
+    assert one == {1: [2.0, 4.0], 2: None, 3: [], 4: [None]}
+    two = {r["i"]: r["v"] for r in df.select("i", N.apply_2d(F.col("x"), lambda v: np.stack((v, v), axis=1)).alias("v")).collect()}
+    assert two == {1: [[1.0, 1.0], [2.0, 2.0]], 2: None, 3: [], 4: [[None, None]]}

@@ -8,7 +8,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,27 +42,24 @@ def crossing_rate(x: np.ndarray, size: int, hop: int, center: bool = True) -> np
 
 
 def burg(frames: np.ndarray, order: int) -> np.ndarray:
-    """(frames, order + 1) prediction coefficients by Burg's recursion, the first 1; null (NaN) for ill-conditioned
-    frames such as all zeros."""
-    n = len(frames)
-    a = np.zeros((n, order + 1))
+    """(frames, order + 1) prediction coefficients by Burg's method, the first 1; null (NaN) for ill-conditioned frames
+    such as all zeros.
+
+    Each step takes the reflection coefficient that leaves least forward and backward error energy,
+    -2 <f, b> / (<f, f> + <b, b>), adds the predictor's mirror image to it by that much, and updates both errors.
+    """
+    dot = lambda x, y: np.einsum("ij,ij->i", x, y)
+    a = np.zeros((len(frames), order + 1))
     a[:, 0] = 1.0
-    fwd, bwd = frames[:, 1:].astype(float), frames[:, :-1].astype(float)
-    den = (fwd**2).sum(axis=1) + (bwd**2).sum(axis=1)
-    bad = ~(den > 0)
-    for i in range(order):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            k = -2.0 * (bwd * fwd).sum(axis=1) / den
-        bad |= ~np.isfinite(k)
-        k = np.where(np.isfinite(k), k, 0.0)
-        old = a.copy()
-        for j in range(1, i + 2):
-            a[:, j] = old[:, j] + k * old[:, i - j + 1]
-        fwd, bwd = fwd + k[:, None] * bwd, bwd + k[:, None] * fwd
-        den = (1.0 - k**2) * den - bwd[:, -1] ** 2 - fwd[:, 0] ** 2
-        fwd, bwd = fwd[:, 1:], bwd[:, :-1]
-        if i + 1 < order:
-            bad |= ~(den > 0)
+    whole = np.asarray(frames, float)
+    f, b = whole[:, 1:], whole[:, :-1]
+    bad = np.zeros(len(frames), bool)
+    for m in range(order):
+        energy = dot(f, f) + dot(b, b)
+        bad |= ~(energy > 0)
+        k = (-2.0 * dot(f, b) / np.where(energy > 0, energy, 1.0))[:, None]
+        a[:, 1 : m + 2] = a[:, 1 : m + 2] + k * a[:, m::-1]
+        f, b = (f + k * b)[:, 1:], (b + k * f)[:, :-1]
     a[bad] = np.nan
     return a
 
@@ -103,6 +99,12 @@ def spectrogram(x: np.ndarray, size: int, hop: int, n_fft: int, power: float = 2
     return np.abs(np.fft.rfft(unfold(x, n_fft, hop) * w, axis=1)) ** power
 
 
+def log_mel(x: np.ndarray, rate: int, size: int, hop: int, n_mels: int = 80, n_fft: int | None = None, floor: float = 1e-10) -> np.ndarray:
+    """(frames, n_mels): natural logarithm of the mel spectrum, ``floor`` at least."""
+    n_fft = n_fft or size
+    return np.log(np.maximum(spectrogram(x, size, hop, n_fft) @ mel_matrix(rate, n_fft, n_mels), floor))
+
+
 def mfcc(x: np.ndarray, rate: int, size: int, hop: int, n_mfcc: int = 13, n_mels: int = 26, n_fft: int | None = None) -> np.ndarray:
     """(frames, n_mfcc): orthonormal DCT-II of the mel spectrum in decibels, 80 below its greatest value at least."""
     n_fft = n_fft or size
@@ -207,6 +209,65 @@ def pitch_parts(x: np.ndarray, rate: int, size: int = 700, hop: int = 200, n_fft
     return {"nlfer": low, "vuv": low > 0.75, "shc": shc(magnitude(b, size, hop, n_fft), rate, n_fft), "nccf": nccf(a, rate, size, hop, flip=True), "nccf_nonlinear": nccf(b, rate, size, hop, flip=True)}
 
 
+def pitch_candidates(x: np.ndarray, rate: int, size: int, hop: int, f_min: float, f_max: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(frequency, merit) of each frame's best local maxima of the normalized cross-correlation between the lags of
+    ``f_max`` and ``f_min``, each placed on the parabola through its neighbours; missing ones have frequency and merit 0.
+
+    A maximum loses a little with its lag, so that of two equal ones the higher frequency is preferred.
+    """
+    c = nccf(x, rate, size, hop, f_min)
+    n, lags = c.shape
+    lo = max(1, int(np.ceil(rate / f_max)) - 1)
+    left, mid, right = c[:, lo - 1 : lags - 2], c[:, lo : lags - 1], c[:, lo + 1 :]
+    top = (mid > left) & (mid >= right) & (mid > 0)
+    bend = left - 2 * mid + right
+    shift = np.where(top & (bend < 0), 0.5 * (left - right) / np.where(bend < 0, bend, -1.0), 0.0)
+    lag = np.arange(lo, lags - 1)[None, :] + 1 + shift
+    merit = np.where(top, np.clip(mid - 0.25 * (left - right) * shift, 0, 1) - 0.05 * lag / lags, -1.0)
+    if merit.shape[1] < most:
+        merit, lag = (np.pad(v, ((0, 0), (0, most - merit.shape[1])), constant_values=w) for v, w in ((merit, -1.0), (lag, 1.0)))
+    best = np.argsort(-merit, axis=1, kind="stable")[:, :most]
+    merit, lag = np.take_along_axis(merit, best, 1), np.take_along_axis(lag, best, 1)
+    return np.where(merit > 0, rate / np.maximum(lag, 1e-9), 0.0), np.maximum(merit, 0.0)
+
+
+def f0_track(x: np.ndarray, rate: int, f_min: float = 60.0, f_max: float = 400.0, size: int = 400, hop: int = 200, interpolated: bool = False, most: int = 4, threshold: float = 0.5, octave: float = 0.6, switch: float = 0.25) -> np.ndarray:
+    """(ceil(n / hop), 2): fundamental frequency, 0 where unvoiced, and whether the frame is voiced.
+
+    Candidates of :func:`pitch_candidates` and one for no voice, of merit ``threshold``, compete along the cheapest
+    path: a frame costs 1 - merit, a step ``octave`` for each octave between frequencies and ``switch`` for a change of
+    voicing. Frames with a thousandth of the mean energy or less have no voice. ``interpolated`` draws lines through
+    unvoiced stretches; beyond the last voiced frame its value is kept.
+    """
+    n = -(-len(x) // hop)
+    if not n:
+        return np.zeros((0, 2))
+    x = np.asarray(x, float) - np.mean(x)
+    freq, merit = pitch_candidates(x, rate, size, hop, f_min, f_max, most)
+    padded = np.concatenate((x, np.zeros(size)))
+    energy = np.array([(padded[i * hop : i * hop + size] ** 2).mean() for i in range(n)])
+    merit = np.where((energy > 1e-3 * energy.mean())[:, None], merit, 0.0)
+    freq = np.concatenate((freq, np.zeros((n, 1))), axis=1)
+    cost = 1.0 - np.concatenate((np.where(freq[:, :-1] > 0, merit, -1.0), np.full((n, 1), threshold)), axis=1)
+    total, back = cost[0], np.zeros((n, most + 1), int)
+    for i in range(1, n):
+        a, b = freq[i - 1][:, None], freq[i][None, :]
+        both = (a > 0) & (b > 0)
+        step = np.where(both, octave * np.abs(np.log2(np.where(both, b, 1.0) / np.where(both, a, 1.0))), np.where((a > 0) != (b > 0), switch, 0.0))
+        ways = total[:, None] + step
+        back[i] = ways.argmin(axis=0)
+        total = ways.min(axis=0) + cost[i]
+    at = np.empty(n, int)
+    at[-1] = total.argmin()
+    for i in range(n - 1, 0, -1):
+        at[i - 1] = back[i, at[i]]
+    f0 = freq[np.arange(n), at]
+    voiced = f0 > 0
+    if interpolated and voiced.any():
+        f0 = np.interp(np.arange(n), np.flatnonzero(voiced), f0[voiced])
+    return np.stack((fit_frames(f0, len(x), hop, interpolated), voiced.astype(float)), axis=1)
+
+
 def find_peaks(x: np.ndarray, threshold: float, box: int = 3) -> np.ndarray:
     """(row, column) of values above ``threshold`` that are the greatest of the box around them."""
     x = np.atleast_2d(x)
@@ -229,24 +290,32 @@ def feature_index(names: tuple[str, ...]) -> tuple[dict[str, int], dict[int, str
 
 
 def apply_1d(x: Column, f: Callable[[np.ndarray], np.ndarray]) -> Column:
-    """``f`` (signal -> one value a frame) on an array column; null stays null."""
-
-    ship(SparkSession.active())
-
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else np.asarray(f(np.asarray(v, float)), float).tolist())
-
-    return run(x)
+    """``f`` (signal -> one value a frame) on an array column; null stays null, NaN becomes null."""
+    return _apply(x, lambda v: np.asarray(f(v), float), "array<double>")
 
 
 def apply_2d(x: Column, f: Callable[[np.ndarray], np.ndarray]) -> Column:
-    """``f`` (signal -> frames by values) on an array column; NaN becomes null."""
+    """``f`` (signal -> frames by values) on an array column; null stays null, NaN becomes null."""
+    return _apply(x, lambda v: np.asarray(f(v), float), "array<array<double>>")
 
-    ship(SparkSession.active())
 
-    @F.pandas_udf("array<array<double>>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else [[None if y != y else float(y) for y in r] for r in f(np.asarray(v, float))])
+def _apply(x: Column, f: Callable[[np.ndarray], np.ndarray], kind: str) -> Column:
+    """Signals as views of the Arrow batch in, the results of a batch as one Arrow list array out."""
+    import pyarrow as pa
 
-    return run(x)
+    ship(SparkSession.active())
+    deep = kind.count("array") == 2
+
+    def run(s):
+        s = s.combine_chunks() if isinstance(s, pa.ChunkedArray) else s
+        got = [f(np.asarray(v.values.to_numpy(zero_copy_only=False), float)) if v.is_valid else None for v in s]
+        ends = lambda n: pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+        flat = np.concatenate([g.ravel() for g in got if g is not None] or [np.zeros(0)])
+        out = pa.array(flat, mask=np.isnan(flat))
+        rows = [0 if g is None else len(g) for g in got]
+        if deep:
+            widths = np.concatenate([np.full(len(g), g.shape[1]) for g in got if g is not None] or [np.zeros(0, int)])
+            out = pa.ListArray.from_arrays(ends(widths), out)
+        return pa.ListArray.from_arrays(ends(rows), out, mask=pa.array([g is None for g in got]))
+
+    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)(x)
