@@ -35,13 +35,18 @@ def vad_segments(vad_lists: DataFrame) -> DataFrame:
     flat = (
         vad_lists.select("session", "reel", scale.alias("scale"), F.posexplode("vad").alias("channel", "segs"))
         .select("session", "reel", "channel", "scale", F.explode("segs").alias("seg"))
-        .where(F.size("seg") == 2)
     )
-    a, b = (F.get("seg", F.lit(i)) for i in (0, 1))
+    us = lambda c: F.least(F.round(F.col(c) * F.col("scale")), F.lit(LAST_US)).cast("long")
+    return valid_pairs(flat, "seg").select("session", "reel", "channel", us("start").alias("start_us"), us("end").alias("end_us")).where("start_us < end_us")
+
+
+def valid_pairs(df: DataFrame, pair: str) -> DataFrame:
+    """Rows whose ``pair`` is one of two finite numbers in either order, with ``start`` and ``end`` in place of it: time
+    before 0 is cut off, and what has no length then is left out."""
+    a, b = (F.get(pair, F.lit(i)) for i in (0, 1))
     finite = lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf")))  # noqa: E731  NaN is above infinity
-    us = lambda x: F.least(F.greatest(F.round(x * F.col("scale")), F.lit(0.0)), F.lit(LAST_US)).cast("long")
-    flat = flat.where(finite(a) & finite(b)).select("session", "reel", "channel", us(F.least(a, b)).alias("start_us"), us(F.greatest(a, b)).alias("end_us"))
-    return flat.where("start_us < end_us")
+    ok = df.where((F.size(pair) == 2) & finite(a) & finite(b))
+    return ok.withColumns({"start": F.greatest(F.least(a, b), F.lit(0.0)), "end": F.greatest(a, b)}).drop(pair).where("start < end")
 
 
 def sweep(segments: DataFrame, keys: list[str], start: str, end: str, bucket_us: int = BUCKET_US) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from turnweave.plans import queries_dialog, queries_files, queries_signal, queries_vad
+from turnweave.plans import queries_corpora, queries_dialog, queries_files, queries_samples, queries_signal, queries_vad
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (queries_dialog, queries_vad, queries_signal, queries_files)
+_PARTS = (queries_dialog, queries_vad, queries_signal, queries_files, queries_samples, queries_corpora)
 
 
 def queries() -> dict[str, Query]:
