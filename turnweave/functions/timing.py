@@ -30,10 +30,6 @@ def time_to_samples(t: Column, rate: Column | int) -> Column:
     return (t * rate).cast("int")
 
 
-def half_even(x: Column, digits: int = 0) -> Column:
-    return F.bround(x, digits)
-
-
 def frame_count(samples: Column, hop: Column | int) -> Column:
     return F.ceil(samples / hop)
 

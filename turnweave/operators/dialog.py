@@ -23,6 +23,11 @@ def to_turns(dialogs: DataFrame, keys: list[str], dialog: str = "dialog") -> Dat
     return dialogs.select(*keys, F.posexplode(dialog).alias("turn", "text"))
 
 
+def without_words(dialogs: DataFrame, dialog: str = "dialog", field: str = "words") -> DataFrame:
+    """Dialogues of utterance structs without the struct's field ``words``; a null utterance stays null."""
+    return dialogs.withColumn(dialog, F.transform(dialog, lambda u: u.dropFields(field)))
+
+
 def interleave(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two channels of one call as one list, with their channel; order by start and channel to read it."""
     return a.withColumn("channel", F.lit(0)).unionByName(b.withColumn("channel", F.lit(1)))

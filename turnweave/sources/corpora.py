@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions import text as X
 from turnweave.operators.splits import at_positions, percent_slices, speaker_splits
 from turnweave.runtime import union_all
+from turnweave.sources.sinks import cached
 
 #: Names of the text corpora.
 TEXT_CORPORA = ("curiosity_dialogs", "daily_dialog", "metawoz", "multiwoz_v22", "taskmaster1", "taskmaster2", "taskmaster3")
@@ -30,16 +31,15 @@ def flatten(df: DataFrame, column: str) -> DataFrame:
 
 
 def merged(texts: Column, speakers: Column) -> Column:
-    """The turns of one row with those of one speaker in a row joined by a blank; inside the row, without a shuffle."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("who"), F.lit(True).alias("first"))
-    step = lambda acc, x: F.struct(
-        F.when(~acc["first"] & acc["who"].eqNullSafe(x["s"]), F.concat(F.slice(acc["out"], 1, F.size(acc["out"]) - 1), F.array(F.concat_ws(" ", F.element_at(acc["out"], -1), x["t"]))))
-        .otherwise(F.array_append(acc["out"], F.coalesce(x["t"], F.lit(""))))
-        .alias("out"),
-        x["s"].alias("who"),
-        F.lit(False).alias("first"),
-    )
-    return F.aggregate(F.zip_with(texts, speakers, lambda t, s: F.struct(t.alias("t"), s.cast("string").alias("s"))), start, step)["out"]
+    """The turns of one row with those of one speaker in a row joined by a blank; inside the row, without a shuffle.
+
+    The positions at which the speaker changes are found first; each run is then one slice. A null text adds nothing.
+    """
+    who = F.transform(speakers, lambda s: s.cast("string"))
+    starts = F.filter(F.transform(who, lambda s, i: F.when((i == 0) | ~s.eqNullSafe(F.get(who, i - 1)), i)), lambda i: i.isNotNull())
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(texts)))
+    run = lambda a, b: F.array_join(F.slice(texts, a + 1, b - a), " ")
+    return F.when(F.size(texts) > 0, F.zip_with(starts, ends, run)).otherwise(F.when(texts.isNotNull(), F.array().cast("array<string>")))
 
 
 def text_corpus(df: DataFrame, name: str, dialog: str, speaker: str | None = None) -> DataFrame:
@@ -65,13 +65,20 @@ def stored_split(df: DataFrame, order: list[str], index: DataFrame, split: str)
     return at_positions(df, order, index.where(F.col("split") == split)).drop("pos").withColumn("split", F.lit(split))
 
 
-def load_texts(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
+def load_texts(tables: dict[str, DataFrame | dict[str, DataFrame]], names: list[str]) -> DataFrame:
     """Union of the named text corpora in order of name; an unknown name raises. ``tables``: raw table of each name;
-    several tables of taskmaster2 are given as their union."""
+    taskmaster2, which has several configurations, may be given by configuration: those of TASKMASTER2_PARTS are
+    joined, a missing one raises."""
     unknown = sorted(set(names) - set(LOADERS))
     if unknown:
         raise ValueError(f"unknown corpora: {unknown}")
-    return union_all([LOADERS[n](tables[n]) for n in sorted(names)])
+    raw = {n: union_all([t[p] for p in TASKMASTER2_PARTS]) if isinstance(t, dict) else t for n, t in tables.items()}
+    return union_all([LOADERS[n](raw[n]) for n in sorted(names)])
+
+
+def few(tables: dict[str, DataFrame], order: dict[str, list[str]], n: int = 50) -> dict[str, DataFrame]:
+    """The first ``n`` rows of each corpus, for a look at a flow; a development slice."""
+    return {k: t.orderBy(*order[k]).limit(n) for k, t in tables.items()}
 
 
 # --- read speech ---------------------------------------------------------------------------------------------------
@@ -112,6 +119,21 @@ def first_files(files: DataFrame, n: int = 4) -> DataFrame:
 SPEECH_COLUMNS = ("id", "file", "text")
 
 
+def librispeech_split(parts: dict[str, DataFrame], split: str, config: str | None = None) -> DataFrame:
+    """Rows of one split out of LibriSpeech's parts by name: with ``config`` the training parts of that configuration,
+    else the part that stands for the split. ``dataset_name`` and ``split`` are added, chapter and speaker dropped."""
+    names = LIBRISPEECH_TRAIN[config] if config and split == "train" else (LIBRISPEECH_SPLITS[split],)
+    u = union_all([parts[n] for n in names]).drop("speaker_id", "chapter_id")
+    return u.withColumns({"dataset_name": F.lit("librispeech_asr"), "split": F.lit(split)})
+
+
+def speech_datasets(spark: SparkSession, path: str, tables: dict[str, DataFrame], names: list[str], split: str = "all", load_from_cache: bool = True, overwrite: bool = False) -> DataFrame | list[DataFrame]:
+    """The cached union of the named corpora: one split, or for ``all`` the list of train, validation and test."""
+    u = cached(spark, path, lambda: load_speech(tables, names), load_from_cache, overwrite)
+    of = lambda s: u.where(F.col("split") == ("validation" if s == "val" else s))
+    return [of(s) for s in ("train", "validation", "test")] if split == "all" else of(split)
+
+
 def load_speech(tables: dict[str, DataFrame], names: list[str]) -> DataFrame:
     """(dataset_name, split, id, file, text) of the named corpora in order of name; an unknown name raises."""
     unknown = sorted(set(names) - set(tables))

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnweave import schemas
 from turnweave.functions import text as X
 from turnweave.operators.islands import merge_utterances, word_gap_segments
-from turnweave.operators.joins import lookup_path, utterances_with_words
+from turnweave.operators.joins import long_means, lookup_path, utterances_with_words
+from turnweave.sources.files import read_json
 
 #: Ranges of Fisher session numbers.
 FISHER_SPLITS = {"train": (1, 5099), "validation": (5100, 5499), "test": (5500, 5850)}
@@ -20,10 +22,6 @@ FISHER_SPLITS = {"train": (1, 5099), "validation": (5100, 5499), "test": (5500,
 CALLHOME_FOLDERS = {"train": "train", "validation": "devtest", "test": "evltest"}
 
 
-def norm_split(name: str) -> str:
-    return "validation" if name == "val" else name
-
-
 # --- Switchboard ---------------------------------------------------------------------------------------------------
 
 
@@ -70,6 +68,18 @@ def audio_mapping(files: DataFrame) -> DataFrame:
     return files.where(name.rlike(r"^sw0\w*\.")).select(F.regexp_extract(name, r"^sw0(\w*)\.", 1).alias("session"), F.regexp_replace("file", r"\.[^./]*$", "").alias("audio_path"))
 
 
+def session_paths(spark: SparkSession, path: str) -> DataFrame:
+    """(session, audio_path) of a JSON file that maps sessions to paths."""
+    d = read_json(spark, path, T.MapType(T.StringType(), T.StringType()))
+    return d.select(F.explode("value").alias("session", "audio_path"))
+
+
+def speaker_means(spark: SparkSession, path: str) -> DataFrame:
+    """(session, speaker, mean) of a JSON file that maps sessions to one mean for each speaker."""
+    d = read_json(spark, path, T.MapType(T.StringType(), T.ArrayType(T.DoubleType())))
+    return long_means(d.select(F.explode("value").alias("session", "means")))
+
+
 def swb_sessions(sessions: DataFrame, paths: DataFrame, root: str, ext: str = ".wav", strict: bool = True) -> DataFrame:
     """Sessions with ``root/<relative path><ext>``; one without a path raises when read."""
     return lookup_path(sessions, paths, "session", strict).withColumns({"audio_path": F.concat(F.lit(root.rstrip("/") + "/"), F.col("audio_path"), F.lit(ext)), "dataset_name": F.lit("switchboard")})
@@ -155,12 +165,17 @@ def vad_segments(docs: DataFrame) -> DataFrame:
     return c.select("session", "channel", F.posexplode("segs").alias("seg_idx", "seg")).select("session", "channel", "seg_idx", F.get("seg", F.lit(0)).alias("start"), F.get("seg", F.lit(1)).alias("end"))
 
 
-def vacation_sessions(dialogs: DataFrame, root: str) -> DataFrame:
-    """Sessions of the dialogue files with derived audio and VAD paths. Every split holds all of them."""
+def vacation_sessions(dialogs: DataFrame, root: str, audio: DataFrame | None = None) -> DataFrame:
+    """Sessions of the dialogue files with derived audio and VAD paths. Every split holds all of them. With ``audio``, a
+    listing (file) of audio files, ``audio_exists`` says whether the path is listed."""
     s = dialogs.select(X.stem(F.col("file")).alias("session")).distinct()
     path = lambda kind, ext: F.concat(F.lit(f"{root.rstrip('/')}/{kind}/"), F.col("session"), F.lit(ext))
     every = F.explode(F.array(*map(F.lit, ("train", "validation", "test"))))
-    return s.select("session", path("audio", ".wav").alias("audio_path"), path("vad", ".json").alias("vad_path"), F.lit("vacation_interview").alias("dataset_name"), every.alias("split"))
+    s = s.select("session", path("audio", ".wav").alias("audio_path"), path("vad", ".json").alias("vad_path"), F.lit("vacation_interview").alias("dataset_name"))
+    if audio is not None:
+        listed = audio.select(F.regexp_replace("file", "^file:/+", "/").alias("_f")).distinct()
+        s = s.join(listed, F.col("audio_path") == F.col("_f"), "left").withColumn("audio_exists", F.col("_f").isNotNull()).drop("_f")
+    return s.withColumn("split", every)
 
 
 def chapter_turns(docs: DataFrame) -> DataFrame:

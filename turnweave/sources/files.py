@@ -47,6 +47,24 @@ def read_audio(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select(F.col("path").alias("file"), "content")
 
 
+def read_arrays(spark: SparkSession, path: str, glob: str = "*.npy") -> DataFrame:
+    """(file, value): one numeric array a file in numpy's format, flattened; what is no such file gives null."""
+
+    ship(spark)
+
+    @F.pandas_udf("array<double>")
+    def load(c: pd.Series) -> pd.Series:
+        def one(b: bytes) -> list[float] | None:
+            try:
+                return np.load(io.BytesIO(b), allow_pickle=False).astype(float).ravel().tolist()
+            except (ValueError, EOFError, OSError, TypeError):
+                return None
+
+        return c.map(one)
+
+    return read_audio(spark, path, glob).select("file", load("content").alias("value"))
+
+
 _INFO = T.StructType([T.StructField("sample_rate", T.IntegerType()), T.StructField("num_frames", T.LongType()), T.StructField("num_channels", T.IntegerType()), T.StructField("bits_per_sample", T.IntegerType()), T.StructField("duration", T.DoubleType())])
 
 

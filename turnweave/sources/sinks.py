@@ -41,6 +41,11 @@ def vad_json(vad: Column) -> Column:
     return F.to_json(F.transform(vad, lambda ch: F.transform(ch, lambda seg: F.transform(seg, lambda t: F.bround(t, 2)))))
 
 
+def write_vad(lists: DataFrame, path: str, session: str = "session", vad: str = "vad") -> None:
+    """One folder a session, holding its activity as one JSON document."""
+    lists.select(F.col(session).alias("session"), vad_json(F.col(vad)).alias("value")).write.mode("overwrite").partitionBy("session").text(path)
+
+
 def write_folds(sessions: DataFrame, key: str, path: str, k: int = 11) -> None:
     """Contiguous folds of the ordered sessions, one folder a fold."""
     folds(sessions.select(key).distinct(), [key], k).select(F.col(key).cast("string").alias("value"), "fold").write.mode("overwrite").partitionBy("fold").text(path)
