@@ -29,11 +29,10 @@ def test_every_channel_has_features(spark, tmp_path):
     want = {"lpc": lambda v: N.lpc(v, 2, 40, 20), "mfcc": lambda v: N.mfcc(v, 100, 64, 32), "prosody": lambda v: N.prosody(v, 800), "bandpass": lambda v: N.bandpass(v, 4000), "resample": lambda v: N.resample(v, 100, 80)}
     want |= {"nlfer": lambda v: N.nlfer(N.magnitude(v, 70, 20, 256), 2000, 256), "shc": lambda v: N.shc(N.magnitude(v, 70, 20, 256), 2000, 256), "nccf": lambda v: N.nccf(v, 2000, 70, 20)}
     for name, f in want.items():
-        got = {(r["clip_id"], r["channel"], r["frame"]): r["v"] for r in run(spark, name, tmp_path).collect()}
-        full = {(*k, i): v for k, w in x.items() for i, v in enumerate(f(w))}
+        got = {(r["clip_id"], r["channel"], r["frame"], r["i"] if "i" in r else 0): np.nan if r["v"] is None else r["v"] for r in run(spark, name, tmp_path).collect()}
+        full = {(*k, i, j): y for k, w in x.items() for i, v in enumerate(f(w)) for j, y in enumerate(np.atleast_1d(v))}
         assert got.keys() == full.keys() and {k[:2] for k in got} == x.keys(), name
-        for k, v in full.items():
-            assert np.allclose(np.array(got[k], float), v, atol=1e-6, equal_nan=True), (name, k)
+        assert np.allclose([got[k] for k in full], list(full.values()), atol=1e-6, equal_nan=True), name
     got = {(r["clip_id"], r["channel"]): r for r in run(spark, "peak_normalize_channels", tmp_path).collect()}
     assert {k for k, r in got.items() if r["n"]} == x.keys() and (got[4, 0]["n"], got[4, 0]["peak"]) == (0, None)
     assert all(abs(got[k]["peak"] - np.abs(v).max()) < 1e-5 for k, v in x.items())

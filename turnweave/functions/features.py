@@ -318,4 +318,5 @@ def _apply(x: Column, f: Callable[[np.ndarray], np.ndarray], kind: str) -> Colum
             out = pa.ListArray.from_arrays(ends(widths), out)
         return pa.ListArray.from_arrays(ends(rows), out, mask=pa.array([g is None for g in got]))
 
-    return F.arrow_udf(run, kind, F.ArrowUDFType.SCALAR)(x)
+    run.__annotations__ = {"s": pa.Array, "return": pa.Array}  # pa is known here only
+    return F.arrow_udf(run, kind)(x)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnweave.functions import text as X
 from turnweave.operators import joins, splits
 from turnweave.plans import tables
+from turnweave.plans.queries_dialog import chain_sql
 from turnweave.plans.tables import UTTERANCES
 from turnweave.runtime import table
 from turnweave.sources import corpora, dialogs
@@ -23,12 +24,13 @@ LINES = UTTERANCES + ", lin AS (SELECT session || '/' || reel AS file, line_no,
 
 
 def prompts(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "documents").where("source = 'read_prompts' and text is not null")
+    key = F.regexp_replace(F.regexp_replace(F.lower("source"), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    t = table(s, d, "documents").where((key == "read_prompts") & F.col("text").isNotNull())
     return t.select(F.concat(F.lit("train/"), F.col("doc_id").cast("string"), F.lit("/a.txt")).alias("file"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def librispeech(s: SparkSession, d: str) -> DataFrame:
-    p = prompts(s, d).where(F.col("line").rlike(r"^[0-9]+-[0-9]+-[0-9]+ [A-Z]"))
+    p = prompts(s, d).where(X.strip(F.col("line")).rlike(r"^[0-9]+-[0-9]+-[0-9]+ "))
     return corpora.librispeech(p)
 
 
@@ -45,6 +47,13 @@ def selected(s: SparkSession, d: str) -> DataFrame:
     return splits.at_positions(table(s, d, "customer").select("c_custkey", "c_name"), ["c_custkey"], index)
 
 
+def split_counts(s: SparkSession, d: str) -> DataFrame:
+    """Rows and different keys of each split: what the sizes must be whatever the order, each key in one split."""
+    t = splits.shuffled_splits(table(s, d, "orders").select("o_orderkey"), "o_orderkey", halves=True)
+    several = t.groupBy("o_orderkey").agg(F.countDistinct("split").alias("n")).agg(F.max("n").alias("splits_of_a_key"))
+    return t.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("o_orderkey").alias("keys")).crossJoin(F.broadcast(several))
+
+
 def sessions(s: SparkSession, d: str) -> DataFrame:
     return tables.utterances(s, d).select("session").distinct()
 
@@ -96,6 +105,7 @@ QUERIES = {
     "kfold_11": lambda s, d: splits.folds(table(s, d, "part").select("p_partkey"), ["p_partkey"]),
     "index_select": selected,
     "shuffled_split": lambda s, d: splits.shuffled_splits(table(s, d, "orders").select("o_orderkey"), "o_orderkey", halves=True),
+    "shuffled_split_counts": split_counts,
     "session_semi": lambda s, d: joins.only(sessions(s, d), vad_sessions(s, d), "session"),
     "aside_anti": lambda s, d: joins.without(sessions(s, d), table(s, d, "transcripts").where("text like '%aside>%'"), "session"),
     "left_transcript_join": lambda s, d: with_transcript(s, d, "audio_path like '%/audio/%'"),  # as its SQL has it
@@ -129,8 +139,8 @@ SELECT session, CASE WHEN id <= 5099 THEN 'train' WHEN id <= 5499 THEN 'validati
 u AS (SELECT *, CASE WHEN {_WHO} IN ('A', 'AGENT', '0') THEN 0 WHEN {_WHO} IN ('B', 'USER', '1') THEN 1 END AS channel FROM p WHERE start IS NOT NULL AND "end" IS NOT NULL)
 SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY line_no) - 1 AS INT) AS utt_idx, channel, start, "end", text FROM u WHERE channel IS NOT NULL""",
     "callhome_rows": f"WITH {LINES}, {_ROWS} SELECT file, line_no, line FROM crow",
-    "librispeech_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE source = 'read_prompts' AND text IS NOT NULL),
-p AS (SELECT doc_id, regexp_replace(line, '^\s+|\s+$', '', 'g') AS line FROM l WHERE regexp_matches(line, '^[0-9]+-[0-9]+-[0-9]+ [A-Z]')), h AS (SELECT doc_id, string_split(line, ' ')[1] AS id, regexp_replace(line, '^[^ ]* ', '') AS text FROM p)
+    "librispeech_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE regexp_replace(regexp_replace(lower(source), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') = 'read_prompts' AND text IS NOT NULL),
+p AS (SELECT doc_id, line FROM (SELECT doc_id, regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') AS line FROM l) WHERE regexp_matches(line, '^[0-9]+-[0-9]+-[0-9]+ ')), h AS (SELECT doc_id, string_split(line, ' ')[1] AS id, regexp_replace(line, '^[^ ]* ', '') AS text FROM p)
 SELECT id, 'train/' || doc_id || '/' || id || '.flac' AS file, text, CAST(string_split(id, '-')[1] AS BIGINT) AS speaker_id, CAST(string_split(id, '-')[2] AS BIGINT) AS chapter_id FROM h""",
     "percent_slice": """WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS pos, count(*) OVER () AS n FROM customer)
 SELECT c_custkey, CASE WHEN pos < round(n * 0.85) THEN 'train' WHEN pos < round(n * 0.95) THEN 'validation' ELSE 'test' END AS split FROM p""",
@@ -138,6 +148,13 @@ SELECT c_custkey, CASE WHEN pos < round(n * 0.85) THEN 'train' WHEN pos < round(
 SELECT s_suppkey, s_nationkey, CASE WHEN pos < floor(n * 0.85) THEN 'train' WHEN pos < floor(n * 0.85) + floor(n * 0.1) + 1 THEN 'validation' ELSE 'test' END AS split FROM supplier JOIN p USING (s_nationkey)""",
     "kfold_11": "SELECT p_partkey, CAST(ntile(11) OVER (ORDER BY p_partkey) - 1 AS INT) AS fold FROM part",
     "index_select": "WITH p AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS pos FROM customer) SELECT pos, c_custkey, c_name FROM p WHERE pos IN (SELECT n_nationkey * 3 FROM nation)",
+    "shuffled_split_counts": """WITH n AS (SELECT count(*) AS n, CAST(floor(count(*) * 0.9) AS BIGINT) AS a FROM orders), r AS (SELECT 'train' AS split, a AS rows FROM n UNION ALL SELECT 'validation', (n - a) // 2 FROM n UNION ALL SELECT 'test', n - a - (n - a) // 2 FROM n)
+SELECT split, rows, rows AS keys, CAST(1 AS BIGINT) AS splits_of_a_key FROM r""",
+    "callhome_utterances": f"""WITH {LINES}, {_ROWS}, p AS ({_parsed("crow", "line")}),
+u AS (SELECT file, line_no, start, "end", CASE WHEN {_WHO} IN ('A', 'AGENT', '0') THEN 0 ELSE 1 END AS channel, {chain_sql("text", X.CALLHOME_RULES)} AS text FROM p WHERE start IS NOT NULL AND "end" IS NOT NULL),
+m AS (SELECT *, CASE WHEN lag(channel) OVER q = channel THEN 0 ELSE 1 END AS n FROM u WINDOW q AS (PARTITION BY file ORDER BY line_no)), g AS (SELECT *, sum(n) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS g FROM m),
+t AS (SELECT file, g, min(channel) AS channel, arg_min(start, line_no) AS start, arg_max("end", line_no) AS "end", string_agg(text, ' ' ORDER BY line_no) AS text FROM g GROUP BY file, g)
+SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY g) - 1 AS INT) AS utt_idx, channel, start, "end", text FROM t""",
     "session_semi": f"WITH {UTTERANCES} SELECT DISTINCT session FROM utt WHERE session IN (SELECT session FROM vad_lists)",
     "aside_anti": f"WITH {UTTERANCES} SELECT DISTINCT session FROM utt WHERE session NOT IN (SELECT session FROM transcripts WHERE text LIKE '%aside>%' AND session IS NOT NULL)",
     "left_transcript_join": rf"""WITH {UTTERANCES}, t AS (SELECT session, reel, count(*) AS lines FROM utt GROUP BY ALL), r AS (SELECT DISTINCT rec_id, audio_path FROM recordings WHERE audio_path LIKE '%/audio/%')

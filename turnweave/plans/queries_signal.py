@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnweave.functions import arrays as A
@@ -83,8 +83,10 @@ def value_range(s: SparkSession, d: str) -> DataFrame:
 
 
 def peaks(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("vec_id").orderBy("i").rowsBetween(-1, 1)
-    return rows(s, d).withColumn("m", F.max("x").over(w)).where("x = m and x > 0.1").select("vec_id", "i", R6("x").alias("x"))
+    x = F.transform("x", lambda v, i: F.when(i % 5 == 0, 0.0).otherwise(v))
+    at = N.apply_2d(F.col("x"), lambda v: N.find_peaks(v, 0.1)[:, 1:])
+    p = tables.waves(s, d).select("vec_id", x.alias("x")).select("vec_id", "x", F.explode(F.flatten(at)).alias("i"))
+    return p.select("vec_id", F.col("i").cast("int").alias("i"), R6(F.get("x", F.col("i").cast("int"))).alias("x"))
 
 
 def cuts(s: SparkSession, d: str) -> DataFrame:
@@ -110,13 +112,14 @@ def time_math(s: SparkSession, d: str) -> DataFrame:
 
 
 def features(f: Callable[[np.ndarray], np.ndarray], two: bool) -> Callable[[SparkSession, str], DataFrame]:
-    """Rows of (clip_id, channel, frame, values) of every channel of each clip; one without samples has no frame."""
+    """(clip_id, channel, frame, v), with several values a frame also their number i, of every channel of each clip; one
+    without samples has no frame."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
         w = tables.clip_channels(s, d).where(F.size("x") > 0)
         e = w.select("clip_id", "channel", F.posexplode((N.apply_2d if two else N.apply_1d)(F.col("x"), f)).alias("frame", "v"))
         if two:
-            return e.select("clip_id", "channel", "frame", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+            return e.select("clip_id", "channel", "frame", F.posexplode("v").alias("i", "v")).withColumn("v", R6("v"))
         return e.select("clip_id", "channel", "frame", R6("v").alias("v"))
 
     return run
@@ -149,9 +152,10 @@ QUERIES = {
     "nlfer": features(lambda x: N.nlfer(N.magnitude(x, 70, 20, 256), 2000, 256), False),
     "shc": features(lambda x: N.shc(N.magnitude(x, 70, 20, 256), 2000, 256), True),
     "nccf": features(lambda x: N.nccf(x, 2000, 70, 20), True),
+    "log_mel": features(lambda x: N.log_mel(x, 100, 64, 32, 20), True),
+    "f0_track": features(lambda x: N.f0_track(x, 2000, size=70, hop=20), True),
 }
 
-_E = "[CAST(0.0 AS DOUBLE)]"
 _MIRROR = "list_concat(list_reverse(x[2:9]), x, list_reverse(x[len(x) - 8:len(x) - 1])) AS x"
 _ZEROS = "list_concat(list_transform(range(8), lambda i: CAST(0 AS DOUBLE)), x, list_transform(range(8), lambda i: CAST(0 AS DOUBLE))) AS x"
 
@@ -160,6 +164,42 @@ def _frames(pad: str = "x", left: str = "") -> str:
     return f"WITH {WAVES}, p AS (SELECT vec_id, {pad} FROM wav), f AS (SELECT vec_id, unnest(range((len(x) - {SIZE}) // {HOP} + 1)) AS frame, x FROM p), g AS (SELECT vec_id, CAST(frame AS INT) AS frame, x[frame * {HOP} + 1:frame * {HOP} + {SIZE}] AS f FROM f)"
 
 
+_X = f"WITH {CLIP_CHANNELS}, x AS (SELECT clip_id, channel, x, len(x) AS n FROM cch WHERE len(x) > 0)"
+#: Hann-windowed frames of 40 samples every 20, without their mean, 40 zeros in front.
+_LPC_FRAMES = f"""{_X}, p AS (SELECT clip_id, channel, list_concat(list_transform(range(40), lambda i: CAST(0 AS DOUBLE)), x) AS x FROM x), f AS (SELECT clip_id, channel, x, unnest(range((len(x) - 40) // 20 + 1)) AS frame FROM p),
+g AS (SELECT clip_id, channel, CAST(frame AS INT) AS frame, x[frame * 20 + 1:frame * 20 + 40] AS f FROM f), m AS (SELECT clip_id, channel, frame, list_transform(range(1, 41), lambda i: (f[i] - list_sum(f) / 40) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 40))) AS f FROM g)"""
+#: Burg's method written out for two steps, on the sums of products of shifted frames.
+_BURG = f"""{_LPC_FRAMES},
+s1 AS (SELECT *, list_sum(list_transform(range(2, 41), lambda i: f[i] * f[i - 1])) AS c, list_sum(list_transform(range(2, 41), lambda i: f[i] * f[i] + f[i - 1] * f[i - 1])) AS e FROM m),
+k1 AS (SELECT *, -2 * c / CASE WHEN e > 0 THEN e END AS k FROM s1),
+er AS (SELECT *, list_transform(range(2, 41), lambda i: f[i] + k * f[i - 1]) AS u, list_transform(range(2, 41), lambda i: f[i - 1] + k * f[i]) AS w FROM k1),
+s2 AS (SELECT *, list_sum(list_transform(range(2, 40), lambda i: u[i] * w[i - 1])) AS c2, list_sum(list_transform(range(2, 40), lambda i: u[i] * u[i] + w[i - 1] * w[i - 1])) AS e2 FROM er),
+co AS (SELECT clip_id, channel, frame, k, -2 * c2 / CASE WHEN e2 > 0 THEN e2 END AS q FROM s2),
+li AS (SELECT clip_id, channel, frame, CASE WHEN k IS NULL OR q IS NULL THEN [NULL, NULL, NULL]::DOUBLE[] ELSE [1.0, k + q * k, q] END AS v FROM co)
+SELECT clip_id, channel, frame, CAST(unnest(range(3)) AS INT) AS i, round(unnest(v), 6) AS v FROM li"""
+
+
+def _convolved(taps: list[float]) -> str:
+    h = f"CAST([{', '.join(repr(float(t)) for t in taps)}] AS DOUBLE[])"
+    return f"""{_X}, h AS (SELECT {h} AS h), i AS (SELECT clip_id, channel, x, h, unnest(range(n)) AS i FROM x, h)
+SELECT clip_id, channel, CAST(i AS INT) AS frame, round(greatest(least(list_sum(list_transform(range(greatest(i - {len(taps) - 1}, 0), i + 1), lambda j: x[j + 1] * h[i - j + 1])), 1), -1), 6) AS v FROM i"""
+
+
+def _bandpass_taps(rate: int, order: int = 150, low: float = 50.0, high: float = 1500.0) -> list[float]:
+    """The difference of two windowed sinc filters, scaled to gain 1 in the middle of the band."""
+    n = np.arange(order + 1) - order / 2
+    h = sum(sign * np.sin(np.pi * c * n + (n == 0)) / (np.pi * n + (n == 0)) * (n != 0) + sign * c * (n == 0) for sign, c in ((1, 2 * high / rate), (-1, 2 * low / rate)))
+    h = h * (0.54 - 0.46 * np.cos(2 * np.pi * np.arange(order + 1) / order))
+    return list(h / abs((h * np.exp(-1j * np.pi * (low + high) / rate * n)).sum()))
+
+
+#: Sinc interpolation from 100 to 80 samples a second: 39.6 Hz of band, six zero crossings, a squared cosine as window.
+_RESAMPLED = f"""{_X}, o AS (SELECT clip_id, channel, x, n, unnest(range(CAST(ceil(n * 80 / 100.0) AS BIGINT))) AS i FROM x), t AS (SELECT *, i * 1.25 AS t FROM o)
+SELECT clip_id, channel, CAST(i AS INT) AS frame, round(0.792 * coalesce(list_sum(list_transform(range(greatest(CAST(floor(t) AS BIGINT) - 8, 0), least(CAST(floor(t) AS BIGINT) + 9, n)),
+lambda j: x[j + 1] * CASE WHEN abs(t - j) * 0.792 < 6 THEN pow(cos(pi() * (t - j) * 0.792 / 12), 2) ELSE 0 END * CASE WHEN t = j THEN 1 ELSE sin(pi() * (t - j) * 0.792) / (pi() * CASE WHEN t = j THEN 1 ELSE t - j END * 0.792) END)), 0), 6) AS v FROM t"""
+_NCCF = f"""{_X}, p AS (SELECT clip_id, channel, n, list_concat(x, list_transform(range(104), lambda i: CAST(0 AS DOUBLE))) AS x FROM x), f AS (SELECT clip_id, channel, x, unnest(range(CAST(ceil(n / 20.0) AS BIGINT))) AS frame FROM p),
+s AS (SELECT clip_id, channel, frame, x[frame * 20 + 1:frame * 20 + 104] AS y FROM f), e AS (SELECT *, list_sum(list_transform(range(1, 71), lambda i: y[i] * y[i])) AS e0, unnest(range(1, 35)) AS lag FROM s)
+SELECT clip_id, channel, CAST(frame AS INT) AS frame, CAST(lag - 1 AS INT) AS i, round(list_sum(list_transform(range(1, 71), lambda i: y[i] * y[i + lag])) / (1e-9 + sqrt(e0 * list_sum(list_transform(range(1, 71), lambda i: y[i + lag] * y[i + lag])))), 6) AS v FROM e"""
 _ROWS = "WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS y FROM embeddings), r AS (SELECT vec_id, label, CAST(i AS INT) AS i, CASE WHEN i % 5 = 0 THEN 0.0 ELSE y END AS x FROM e)"
 _SUM = "coalesce(list_sum({}), 0)"
 
@@ -191,4 +231,8 @@ round(list_sum(list_transform(x, lambda v: CASE WHEN v < 0 THEN 0 ELSE v END)),
 CAST(len(list_filter(range(2, len(x) + 1), lambda i: (x[i] > 0) <> (x[i - 1] > 0))) AS INT) AS turns, CAST(greatest(len(x), 70) AS INT) AS filled, round(x[len(x)], 6) AS fill FROM t""",
     "time_frame_math": """SELECT event_id, CAST(trunc(value * 100 / 160) AS INT) AS frames, round(value / 16000, 9) AS time, CAST(trunc(value / 0.01) AS INT) AS time_frames, CAST(trunc(value * 16000 / 160) AS INT) AS sample_frames,
 CAST(trunc(value * 8000) AS INT) AS samples, CAST(ceil(value / 7) AS BIGINT) AS ceil_frames, round(1.0 / (value + 1e-9), 6) AS inverse, round(floor(value) * 0.25, 6) AS frame_time FROM events""",
+    "lpc": _BURG,
+    "bandpass": _convolved(_bandpass_taps(4000)),
+    "resample": _RESAMPLED,
+    "nccf": _NCCF,
 }

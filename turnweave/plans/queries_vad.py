@@ -230,4 +230,12 @@ c AS (SELECT session, unnest(range(greatest(CAST(trunc((duration - 10) / 8 + 1)
 SELECT o.session, CAST(o.clip AS INT) AS clip, round(o.clip * 8.0, 3) AS start, CAST(count(*) AS INT) AS frames, CAST(sum(coalesce(v0, 0)) AS INT) AS on0, CAST(sum(coalesce(v1, 0)) AS INT) AS on1,
 coalesce(max(h0) FILTER (i = 99), 0.5) AS h0, coalesce(max(h1) FILTER (i = 99), 0.5) AS h1, coalesce(max(h2) FILTER (i = 99), 0.5) AS h2
 FROM o LEFT JOIN rh ON rh.session = o.session AND rh.frame = o.clip * 80 + o.i GROUP BY o.session, o.clip""",
+    "dialog_audio_ipu_clips": f"""WITH {REELS}, {_REEL_FRAMES},
+chan AS (SELECT DISTINCT session, channel FROM rfrm), f0 AS (SELECT c.session, c.channel, g.frame, CASE WHEN a.frame IS NULL THEN 0 ELSE 1 END AS v FROM chan c JOIN rgrid g ON g.session = c.session LEFT JOIN ract a ON a.session = c.session AND a.channel = c.channel AND a.frame = g.frame),
+f1 AS (SELECT *, frame - row_number() OVER (PARTITION BY session, channel, v ORDER BY frame) AS r FROM f0),
+f2 AS (SELECT *, CASE WHEN v = 0 AND count(*) OVER (PARTITION BY session, channel, v, r) < 5 THEN 1 ELSE v END AS w FROM f1),
+f3 AS (SELECT *, frame - row_number() OVER (PARTITION BY session, channel, w ORDER BY frame) AS r2 FROM f2),
+unit AS (SELECT session, channel, min(frame) AS a, max(frame) + 1 AS b FROM f3 WHERE w = 1 GROUP BY session, channel, r2),
+e AS (SELECT u.session, u.channel, u.b FROM unit u JOIN rtot t USING (session) WHERE b - a >= 5 AND b >= 80 AND b < total - 20)
+SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY b, channel) - 1 AS INT) AS clip, round((b - 80) * 0.1, 3) AS start, round((b + 20) * 0.1, 3) AS "end" FROM e""",
 }
