@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from turnweave.functions import text as X
 
+#: What the clean-up chains must make of these texts.
 CALLHOME = [
     ("hello &ibm {laugh} so %um ((i think)) (( )) and call <German Feldmessen>.", "hello ibm so um i think and call Feldmessen."),
     ("I ((sent her to)) ((Taiwan)) she was", "I sent her to Taiwan she was"),

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from turnweave.functions.features import apply_1d
+
 
 def pad_right(x: Column, length: Column | int, value: Column) -> Column:
     """``x`` followed by ``value`` up to ``length``; longer arrays stay whole."""
@@ -51,9 +54,9 @@ def changes(x: Column) -> Column:
 
 
 def running_sum(x: Column) -> Column:
-    """Sums of all elements up to each one."""
-    zero = F.struct(F.array().cast("array<double>").alias("out"), F.lit(0.0).alias("s"))
-    return F.aggregate(x, zero, lambda acc, v: F.struct(F.array_append(acc["out"], acc["s"] + v).alias("out"), (acc["s"] + v).alias("s")))["out"]
+    """Sums of all elements up to each one, in one pass over Arrow arrays: an expression would copy the sums so far at
+    every element."""
+    return apply_1d(x, np.cumsum)
 
 
 def argmax(x: Column) -> Column:

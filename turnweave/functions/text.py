@@ -161,11 +161,13 @@ def fisher_disc(number: Column) -> Column:
 
 
 def fisher_audio_path(number: Column, root: str = "", ext: str = ".wav") -> Column:
-    """fisher_eng_tr_sp_d<disc>/audio/<first three digits>/fe_03_p1_<number><ext>-like path of a session."""
+    """Audio path of a session; folder and file names are fixed values of the corpus:
+    fisher_eng_tr_sp_d<disc>/audio/<first three digits>/fe_03_<number><ext>."""
     n = zero_filled(number, 5)
     return F.concat(F.lit(root), F.lit("fisher_eng_tr_sp_d"), fisher_disc(number).cast("string"), F.lit("/audio/"), n.substr(1, 3), F.lit("/fe_03_"), n, F.lit(ext))
 
 
 def fisher_transcript_path(number: Column, root: str = "") -> Column:
+    """Transcript path of a session; fixed values of the corpus: fe_03_p1_tran/data/trans/<digits>/fe_03_<number>.txt."""
     n = zero_filled(number, 5)
     return F.concat(F.lit(root), F.lit("fe_03_p1_tran/data/trans/"), n.substr(1, 3), F.lit("/fe_03_"), n, F.lit(".txt"))
