@@ -16,7 +16,7 @@ def test_every_path_is_joined(spark, tmp_path):
     t = [(i, s, r, i, "A:", 0.0, 1.0, "hi", None, None) for i, (s, r) in enumerate([("sw0000001", 0), ("sw0000001", 0), ("fe_0000002", 1), ("fe_0000002", 0)])]
     schema = "line_id long, session string, reel int, line_no int, speaker string, start double, end double, text string, words array<string>, loaded_at timestamp"
     spark.createDataFrame(t, schema).write.parquet(str(tmp_path / "transcripts.parquet"))
-    got = sorted((r["rec_id"], r["session"], r["lines"]) for r in run(spark, "left_transcript_join_all", tmp_path).collect())
+    got = sorted((r["rec_id"], r["session"], r["lines"]) for r in run(spark, "left_transcript_join", tmp_path).collect())
     assert got == [(1, "sw0000001", 2), (2, None, None), (3, "fe_0000002", 1)]
 
 
@@ -33,10 +33,10 @@ def test_every_channel_has_features(spark, tmp_path):
         full = {(*k, i, j): y for k, w in x.items() for i, v in enumerate(f(w)) for j, y in enumerate(np.atleast_1d(v))}
         assert got.keys() == full.keys() and {k[:2] for k in got} == x.keys(), name
         assert np.allclose([got[k] for k in full], list(full.values()), atol=1e-6, equal_nan=True), name
-    got = {(r["clip_id"], r["channel"]): r for r in run(spark, "peak_normalize_channels", tmp_path).collect()}
+    got = {(r["clip_id"], r["channel"]): r for r in run(spark, "peak_normalize", tmp_path).collect()}
     assert {k for k, r in got.items() if r["n"]} == x.keys() and (got[4, 0]["n"], got[4, 0]["peak"]) == (0, None)
     assert all(abs(got[k]["peak"] - np.abs(v).max()) < 1e-5 for k, v in x.items())
-    for name in ("zero_crossings_channels", "time_slice_channels"):
+    for name in ("zero_crossings", "time_slice"):
         assert {(r["clip_id"], r["channel"]) for r in run(spark, name, tmp_path).collect()} == got.keys()
 
 

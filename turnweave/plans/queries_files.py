@@ -62,9 +62,9 @@ def vad_sessions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "vad_lists").select("session").distinct()
 
 
-def with_transcript(s: SparkSession, d: str, which: str = "audio_path is not null") -> DataFrame:
+def with_transcript(s: SparkSession, d: str) -> DataFrame:
     """Recordings with the lines of their transcript; those without one have null session and lines."""
-    r = table(s, d, "recordings").where(which).select("rec_id", "audio_path").distinct()
+    r = table(s, d, "recordings").where("audio_path is not null").select("rec_id", "audio_path").distinct()
     t = tables.utterances(s, d).groupBy("session", "reel").agg(F.count(F.lit(1)).alias("lines"))
     return joins.pair_by(r, t, X.stem(F.col("audio_path")), F.concat_ws("_", "session", F.col("reel").cast("string"))).select("rec_id", "audio_path", "session", "lines")
 
@@ -108,8 +108,7 @@ QUERIES = {
     "shuffled_split_counts": split_counts,
     "session_semi": lambda s, d: joins.only(sessions(s, d), vad_sessions(s, d), "session"),
     "aside_anti": lambda s, d: joins.without(sessions(s, d), table(s, d, "transcripts").where("text like '%aside>%'"), "session"),
-    "left_transcript_join": lambda s, d: with_transcript(s, d, "audio_path like '%/audio/%'"),  # as its SQL has it
-    "left_transcript_join_all": with_transcript,
+    "left_transcript_join": with_transcript,
     "two_key_lookup": mean_lookup,
     "path_parts": paths,
     "label_encode": event_labels,
@@ -157,9 +156,7 @@ t AS (SELECT file, g, min(channel) AS channel, arg_min(start, line_no) AS start,
 SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY g) - 1 AS INT) AS utt_idx, channel, start, "end", text FROM t""",
     "session_semi": f"WITH {UTTERANCES} SELECT DISTINCT session FROM utt WHERE session IN (SELECT session FROM vad_lists)",
     "aside_anti": f"WITH {UTTERANCES} SELECT DISTINCT session FROM utt WHERE session NOT IN (SELECT session FROM transcripts WHERE text LIKE '%aside>%' AND session IS NOT NULL)",
-    "left_transcript_join": rf"""WITH {UTTERANCES}, t AS (SELECT session, reel, count(*) AS lines FROM utt GROUP BY ALL), r AS (SELECT DISTINCT rec_id, audio_path FROM recordings WHERE audio_path LIKE '%/audio/%')
-SELECT rec_id, audio_path, session, lines FROM r LEFT JOIN t ON regexp_extract(audio_path, '([^/]*)\.[^./]*$', 1) = session || '_' || reel""",
-    "left_transcript_join_all": rf"""WITH {UTTERANCES}, t AS (SELECT session || '_' || reel AS stem, any_value(session) AS session, count(*) AS lines FROM utt GROUP BY session, reel),
+    "left_transcript_join": rf"""WITH {UTTERANCES}, t AS (SELECT session || '_' || reel AS stem, any_value(session) AS session, count(*) AS lines FROM utt GROUP BY session, reel),
 r AS (SELECT DISTINCT rec_id, audio_path, regexp_replace(regexp_extract(audio_path, '([^/]*)$', 1), '\.[^.]*$', '') AS stem FROM recordings WHERE audio_path IS NOT NULL)
 SELECT rec_id, audio_path, session, lines FROM r LEFT JOIN t USING (stem)""",
     "two_key_lookup": f"""WITH {tables.INTERVALS} SELECT event_id, session, channel, round(avg("end" - start) OVER (PARTITION BY session, channel), 6) AS mean FROM itv""",

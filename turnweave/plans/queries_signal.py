@@ -32,11 +32,6 @@ def frames(s: SparkSession, d: str) -> DataFrame:
 
 
 def normalized(s: SparkSession, d: str) -> DataFrame:
-    c = tables.clip_waves(s, d)
-    return c.select("clip_id", R6(S.peak(F.col("a"))).alias("peak"), R6(S.total(S.peak_normalize(F.col("a")))).alias("total"), F.size("a").alias("n"))
-
-
-def normalized_channels(s: SparkSession, d: str) -> DataFrame:
     x = F.col("x")
     return tables.clip_channels(s, d).select("clip_id", "channel", R6(S.peak(x)).alias("peak"), R6(S.total(S.peak_normalize(x))).alias("total"), F.size(x).alias("n"))
 
@@ -47,20 +42,10 @@ def mono(s: SparkSession, d: str) -> DataFrame:
 
 
 def crossings(s: SparkSession, d: str) -> DataFrame:
-    z = S.zero_crossings(F.col("a"))
-    return tables.clip_waves(s, d).select("clip_id", F.size(F.filter(z, lambda v: v)).alias("crossings"))
-
-
-def crossings_channels(s: SparkSession, d: str) -> DataFrame:
     return tables.clip_channels(s, d).select("clip_id", "channel", F.size(F.filter(S.zero_crossings(F.col("x")), lambda v: v)).alias("crossings"))
 
 
 def sliced(s: SparkSession, d: str) -> DataFrame:
-    x = S.time_slice(F.col("a"), F.lit(1.0), F.lit(2.5), F.lit(100))
-    return tables.clip_waves(s, d).select("clip_id", F.size(x).alias("n"), R6(S.total(x)).alias("total"))
-
-
-def sliced_channels(s: SparkSession, d: str) -> DataFrame:
     x = S.time_slice(F.col("x"), F.lit(1.0), F.lit(2.5), F.lit(100))
     return tables.clip_channels(s, d).select("clip_id", "channel", F.size(x).alias("n"), R6(S.total(x)).alias("total"))
 
@@ -131,12 +116,9 @@ QUERIES = {
     "zcr": lambda s, d: framed(s, d, lambda x: S.zero_crossing_rate(x, SIZE, HOP), "zcr"),
     "weighted_frames": lambda s, d: framed(s, d, lambda x: F.transform(S.frames(S.pad_zero(x, SIZE), SIZE, HOP), lambda f: S.total(F.transform(S.weighted(f, S.hann(SIZE)), lambda v: v * v))), "energy"),
     "peak_normalize": normalized,
-    "peak_normalize_channels": normalized_channels,
     "mono_mix": mono,
     "zero_crossings": crossings,
-    "zero_crossings_channels": crossings_channels,
     "time_slice": sliced,
-    "time_slice_channels": sliced_channels,
     "z_norm": z_norm,
     "z_norm_nonzero": z_norm_nonzero,
     "value_range": value_range,
@@ -209,16 +191,12 @@ SQL = {
     "zcr": f"{_frames(_ZEROS)} SELECT vec_id, frame, round(len(list_filter(range(2, {SIZE + 1}), lambda i: (f[i] < 0) <> (f[i - 1] < 0))) / {float(SIZE)}, 6) AS zcr FROM g",
     "weighted_frames": f"""{_frames("list_concat(list_transform(range(16), lambda i: CAST(0 AS DOUBLE)), x) AS x")}
 SELECT vec_id, frame, round(list_sum(list_transform(range(1, {SIZE + 1}), lambda i: pow((f[i] - list_avg(f)) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / {SIZE})), 2))), 6) AS energy FROM g""",
-    "peak_normalize": f"""WITH {CLIP_WAVES}, p AS (SELECT clip_id, a, list_max(list_transform(a, lambda v: abs(v))) AS peak FROM cwv)
-SELECT clip_id, round(peak, 6) AS peak, round({_SUM.format("list_transform(a, lambda v: CASE WHEN peak > 0.05 THEN v / peak ELSE v END)")}, 6) AS total, CAST(len(a) AS INT) AS n FROM p""",
     "mono_mix": f"""WITH {CLIP_WAVES}, m AS (SELECT clip_id, list_transform(range(1, greatest(len(a), len(b)) + 1), lambda i: (coalesce(a[i], 0) + coalesce(b[i], 0)) / 2) AS m FROM cwv)
 SELECT clip_id, CAST(len(m) AS INT) AS n, round({_SUM.format("m")}, 6) AS total, round(list_max(list_transform(m, lambda v: abs(v))), 6) AS peak FROM m""",
-    "zero_crossings": f"WITH {CLIP_WAVES} SELECT clip_id, CAST(len(list_filter(range(2, len(a) + 1), lambda i: (a[i] < 0) <> (a[i - 1] < 0))) AS INT) AS crossings FROM cwv",
-    "time_slice": f"WITH {CLIP_WAVES} SELECT clip_id, CAST(len(a[101:250]) AS INT) AS n, round({_SUM.format('a[101:250]')}, 6) AS total FROM cwv",
-    "peak_normalize_channels": f"""WITH {CLIP_CHANNELS}, p AS (SELECT clip_id, channel, x, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM cch)
+    "peak_normalize": f"""WITH {CLIP_CHANNELS}, p AS (SELECT clip_id, channel, x, list_max(list_transform(x, lambda v: abs(v))) AS peak FROM cch)
 SELECT clip_id, channel, round(peak, 6) AS peak, round({_SUM.format("list_transform(x, lambda v: CASE WHEN peak > 0.05 THEN v / peak ELSE v END)")}, 6) AS total, CAST(len(x) AS INT) AS n FROM p""",
-    "zero_crossings_channels": f"WITH {CLIP_CHANNELS} SELECT clip_id, channel, CAST(len(list_filter(range(2, len(x) + 1), lambda i: (x[i] < 0) <> (x[i - 1] < 0))) AS INT) AS crossings FROM cch",
-    "time_slice_channels": f"WITH {CLIP_CHANNELS} SELECT clip_id, channel, CAST(len(x[101:250]) AS INT) AS n, round({_SUM.format('x[101:250]')}, 6) AS total FROM cch",
+    "zero_crossings": f"WITH {CLIP_CHANNELS} SELECT clip_id, channel, CAST(len(list_filter(range(2, len(x) + 1), lambda i: (x[i] < 0) <> (x[i - 1] < 0))) AS INT) AS crossings FROM cch",
+    "time_slice": f"WITH {CLIP_CHANNELS} SELECT clip_id, channel, CAST(len(x[101:250]) AS INT) AS n, round({_SUM.format('x[101:250]')}, 6) AS total FROM cch",
     "z_norm": f"{_ROWS} SELECT vec_id, i, round((x - avg(x) OVER w) / stddev_samp(x) OVER w, 6) AS x FROM r WINDOW w AS (PARTITION BY vec_id)",
     "z_norm_nonzero": f"{_ROWS}, t AS (SELECT avg(x) FILTER (x <> 0) AS m, stddev_samp(x) FILTER (x <> 0) AS sd FROM r) SELECT vec_id, i, round(CASE WHEN x = 0 THEN 0 ELSE (x - m) / sd END, 6) AS x FROM r, t",
     "value_range": f"{_ROWS} SELECT label, round(min(x) FILTER (x <> 0), 6) AS low, round(max(x), 6) AS high FROM r GROUP BY label",
