@@ -147,3 +147,14 @@ def test_config(tmp_path):
     assert o["dataset"]["vad_hz"] == 50 and o["dataset"]["type"] == "sliding" and c["dataset"]["vad_hz"] == 10
     with pytest.raises(KeyError):
         config.override(c, {"dataset.nope": 1})
+
+
+@pytest.mark.parametrize("flow", sorted(config.FLOWS))
+def test_every_flow_has_options(flow):
+    base = config.load(defaults=config.FLOWS[flow])
+    given = config.parser_of(flow).parse_args(["--dataset.batch_size", "7"])
+    got = config.override(base, given)
+    assert got["dataset"]["batch_size"] == 7 and config.FLOWS[flow]["dataset"]["batch_size"] == 4
+    assert {k: v for k, v in config.flat(got).items() if k != "dataset.batch_size"} == {k: v for k, v in config.flat(base).items() if k != "dataset.batch_size"}
+    with pytest.raises(SystemExit):
+        config.parser_of(flow).parse_args(["--dataset.nothing", "1"])

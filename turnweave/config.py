@@ -15,6 +15,27 @@ DIALOG_AUDIO = {
     }
 }
 
+#: Defaults of the other flows.
+DIALOG_TEXT = {"dataset": {"datasets": [], "max_length": 500, "batch_size": 4, "savepath": None, "overwrite": False, "load_from_cache": True}}
+SPEECH = {"dataset": {"datasets": [], "duration": -1.0, "features": [], "batch_size": 4, "savepath": None, "overwrite": False, "load_from_cache": True}}
+LANGUAGE = {"dataset": {"dataset_path": None, "max_length": 500, "batch_size": 4, "savepath": None, "overwrite": False, "load_from_cache": True}}
+CLASSIFICATION = {
+    "dataset": {
+        "audio_root": None, "dataset_path": None, "f0_mean_path": None, "audio_duration": 5.0, "lookahead_time": 2.0, "vad_frame_time": 0.1, "f0_frame_time": 0.05, "f0_hop_time": 0.02, "response_diff_time": 0.1, "sample_rate": 8000,
+        "omit_post_words": True, "features": ["token", "waveform", "vad_history", "vad", "f0"], "max_length": 500, "overwrite": False, "load_from_cache": True, "batch_size": 4,
+    }
+}
+PROSODY = {"dataset": {"audio_root": None, "dataset_path": None, "f0_mean_path": None, "audio_duration": 3.0, "max_length": 200, "overwrite": False, "load_from_cache": True, "batch_size": 4}}
+#: The flow of each kind of batch by name.
+FLOWS = {"dialog_audio": DIALOG_AUDIO, "dialog_text": DIALOG_TEXT, "speech": SPEECH, "language": LANGUAGE, "classification": CLASSIFICATION, "prosody": PROSODY}
+
+
+def parser_of(flow: str) -> argparse.ArgumentParser:
+    """A parser with every option of a flow; an unknown flow raises."""
+    parser = argparse.ArgumentParser(prog=flow)
+    add_arguments(parser, FLOWS[flow])
+    return parser
+
 
 def load(path: str | None = None, defaults: dict | None = None) -> dict:
     """Defaults with the sections of a JSON file (or YAML, where a parser is installed) laid over them."""

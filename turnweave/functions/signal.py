@@ -1,4 +1,8 @@
-"""Waveforms as arrays: framing, levels and normalization, in higher-order functions inside the JVM."""
+"""Waveforms as arrays: framing, levels and normalization, in higher-order functions inside the JVM.
+
+Frames are arrays of their own here, which suits short arrays; for long signals the same levels are in ``features``, on
+views of Arrow batches.
+"""
 
 from __future__ import annotations
 
