@@ -238,3 +238,87 @@ LOOKALIKES = [
     "La página doce del libro es mi favorita.",
     "Perdimos la conexión en el túnel pero ella volvió a llamar enseguida.",
 ]
+
+#: Written and revised with later; not held out.
+MORE_CASES = [
+    "Page Not Found",
+    "Error code: 0x80070005",
+    "We'll be right back.",
+    "Please wait while we verify your browser.",
+    "You don't have access to this page.",
+    "Hello [First Name]!",
+    "Dear Mr. [Last name], thank you for your call.",
+    "Dear {CUSTOMER}, your bill is ready.",
+    "INSERT_NAME_HERE",
+    "Thanks to [COMPANY_NAME] for the support.",
+    "TODO: write description",
+    "Loading...",
+    "Hi {{first_name}}, welcome to the show.",
+    "This page can't be displayed. Make sure the web address is correct.",
+    "The server is temporarily unable to service your request due to maintenance downtime.",
+    "HTTP ERROR 404. The page could not be found.",
+    "Unable to load the transcript. Try again later.",
+    "Das Dokument wurde nicht gefunden.",
+    "Une erreur inattendue est survenue. Veuillez réessayer plus tard.",
+    "No se ha encontrado la página solicitada.",
+    "Please allow cookies in your browser settings.",
+    "JavaScript muss aktiviert sein, um diese Seite anzuzeigen.",
+    "Cette page nécessite JavaScript.",
+    "Para usar esta página active JavaScript.",
+    "Blah blah blah blah blah.",
+    "Lorem ipsum dolor",
+    "Sehr geehrter Herr [Nachname], wir danken Ihnen.",
+    "Bonjour [Prénom], merci.",
+    "Dear Sir or Madam ______, we thank you.",
+    "Call from: {{caller_name}} to: {{callee_name}}",
+    "Interview with %INTERVIEWEE% on Monday",
+    "Uncaught ReferenceError: turns is not defined at viewer.js:12",
+    "KeyError: 'transcript'",
+    "Fehler beim Laden der Seite.",
+    "Erreur lors du chargement de la page.",
+    "Error al cargar la página.",
+    "Access Denied - You do not have permission to view this directory or page.",
+    "This domain is for sale.",
+    "Checking if the site connection is secure",
+    "Content is not available in your country.",
+    "Sorry, this recording is no longer available.",
+    "Your request timed out. Please reload.",
+    "Welcome to [Site Name], the best place for news.",
+]
+MORE_LOOKALIKES = [
+    "She said page 404 of the book was missing.",
+    "I saw an error in the bill and they fixed it.",
+    "My internet was down so I read a book.",
+    "We were told the file had been lost in the fire.",
+    "[laughter] that was the best part",
+    "Dear [laughter] friends",
+    "{sneeze} excuse me",
+    "I have [um] no idea",
+    "He works with servers in a data center and likes it.",
+    "The form asked for my name and address.",
+    "Mr. Null lives on Undefined Street.",
+    "The access to the beach is denied to dogs.",
+    "Please enable subtitles so that we can follow.",
+    "We need to update the browser on my grandmother's computer tomorrow, said Bo, because she wants to see the photos.",
+    "Cookies are in the jar.",
+    "The library is temporarily closed.",
+    "I got a 500 dollar fine.",
+    "It is forbidden to smoke here, the guard told us twice.",
+    "The password expired and I had to call IT.",
+    "My session with the therapist went well.",
+    "Bo wrote {hello} on the wall",
+    "A: null B: love",
+    "The variable x is null in that case.",
+    "In the second set she won six to love.",
+    "We couldn't connect on Tuesday, so I'm calling now.",
+    "Try again, you almost had it!",
+    "Sorry, I missed your call.",
+    "Thanks for waiting.",
+    "It's not available in blue, only in red.",
+    "La tienda no está disponible los domingos.",
+    "Le magasin est en maintenance jusqu'à lundi, a dit le gardien.",
+    "Der Aufzug ist nicht verfügbar, nehmen Sie die Treppe.",
+    "The road no longer exists.",
+    "That doesn't exist.",
+    "Nous avons demandé la page au bibliothécaire.",
+]

@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from tests.llm.residue_cases import CASES, LOOKALIKES
+from tests.llm.residue_cases import CASES, LOOKALIKES, MORE_CASES, MORE_LOOKALIKES
 from turnweave.llm import residue as R
 
 FILLER = [
@@ -61,3 +61,13 @@ def test_unseen(half):
 @pytest.mark.parametrize("text", ["the field {{a}} is it", "{{a}} stands for it. Then we left", "Dear {{template}}, hi", "It ended. The template {{a}} is read", "The template ended. Dear {{a}}, hi"])
 def test_mentions(text):
     assert (R.judge(text) is None) == (text[0] in "t{" or text.startswith("It"))
+
+
+@pytest.mark.parametrize("text", MORE_CASES)
+def test_more_cases(text):
+    assert R.judge(text) is not None
+
+
+@pytest.mark.parametrize("text", MORE_LOOKALIKES)
+def test_more_lookalikes(text):
+    assert R.judge(text) is None

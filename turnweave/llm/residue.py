@@ -215,7 +215,7 @@ _SYNTAX = re.compile(
 _PAIRED = re.compile(r"@@.*@@|@[^@]+@|##.*##|#[^#]+#|[^@].*", re.DOTALL)
 _BRACKETS = re.compile(rf"[\[{{<(]({_WORDY})[\]}}>)]")
 _BARE = re.compile(r"[^\W\d_][\w.\-]*")
-_TASKS = re.compile(r"\b(?:todo\s*:\s*(?:add|insert|fill|set|replace|write)|fixme)\b", re.IGNORECASE)
+_TASKS = re.compile(r"\b(?:todo\s*:\s*(?:add|insert|fill|set|replace|write)|fixme|insert_[a-z_]+)\b", re.IGNORECASE)
 _SEP = r"[ \t,:;(«\"']"
 #: A stretch of separators is read once, from its first character, whatever its width.
 BLANKS = re.compile(
@@ -334,7 +334,7 @@ def unfilled(text: str, low: str, openers: list[int]) -> bool:
             if _is_request(m[1]) and not mentioned(*m.span()):
                 return True
             continue
-        if c in "tf":
+        if c in "tfi":
             m = _TASKS.match(text, at)
         elif (m := _LITERAL.match(text, at)) and not _in_slot(text, m):
             m = None

@@ -17,43 +17,45 @@ STRONG = frozenset((
     "link has expired", "log in again", "sign in again", "please log in", "please sign in", "sent too many", "please try again later", "please try again", "retry after 9", "rate limit", "quota exceeded", "you are offline", "no internet connection",
     "traceback (most recent call last)", "stack trace", "unhandled exception", "uncaught exception", "uncaught typeerror", "exception in thread", "fatal error", "parse error", "syntax error", "null pointer", "nullpointerexception", "runtimeerror", "importerror", "modulenotfounderror",
     "indexerror", "keyerror", "valueerror", "typeerror", "attributeerror", "referenceerror", "syntaxerror", "segmentation fault", "core dumped", "out of memory", "undefined index", "undefined variable", "memory size", "bytes exhausted", "java.lang", ".java:9", ".js:9", ".php:9", ".php on line 9", ".py\", line 9", ", line 9, in", "in <module>", "sqlstate", "deadlock", "could not connect to the database",
-    "request id", "reference no", "reference #", "reference id", "incident", "incident id", "trace id", "correlation id", "ray id", "verify you are human", "verify that you are human", "you are not a robot", "you're not a robot", "are you a robot", "checking your browser", "unusual traffic", "complete the captcha", "completing the check below", "solve the captcha", "security check", "sicherheitsüberprüfung", "vérification de sécurité", "control de seguridad",
-    "you will be redirected", "you are being redirected", "have been blocked", "account has been suspended", "domain is parked", '"error"', '"status"', "proceeding to the site", "index of /", "no longer exists", "no longer available", "may take a few seconds",
+    "request id", "reference no", "reference #", "reference id", "incident", "incident id", "trace id", "correlation id", "ray id", "verify you are human", "verify your browser", "site connection is secure", "don't have access to", "do not have access to", "verify that you are human", "you are not a robot", "you're not a robot", "are you a robot", "checking your browser", "unusual traffic", "complete the captcha", "completing the check below", "solve the captcha", "security check", "sicherheitsüberprüfung", "vérification de sécurité", "control de seguridad",
+    "you will be redirected", "you are being redirected", "have been blocked", "account has been suspended", "domain is parked", '"error"', '"status"', "proceeding to the site", "index of /", "may take a few seconds",
     # notices
     "requires javascript", "enable javascript", "javascript is disabled", "javascript is required", "javascript to run", "turn on javascript", "noscript", "without javascript", "enable cookies", "cookies are disabled", "accept cookies", "accept all cookies", "we use cookies", "uses cookies", "use of cookies",
     "cookie settings", "cookie policy", "cookie preferences", "manage cookies", "browser is not supported", "browser isn't supported", "unsupported browser", "outdated browser", "browser is out of date", "browser does not support", "browser doesn't support", "update your browser", "upgrade your browser",
     "browser is too old", "modern browser", "supported browser", "ad blocker", "adblocker", "turn it on and reload", "some features of the",
     # filler and stubs
-    "lorem ipsum", "coming soon", "under construction", "is a placeholder", "placeholder text", "will be filled later", "your text here", "text here", "text goes here", "content goes here", "goes here", "replace this paragraph", "replace this text", "replace with your own", "with your own transcript", "with your own text", "sample dialogue", "sample text", "dummy text",
+    "lorem ipsum", "coming soon", "is a placeholder", "placeholder text", "will be filled later", "your text here", "text here", "text goes here", "content goes here", "goes here", "replace this paragraph", "replace this text", "replace with your own", "with your own transcript", "with your own text", "sample dialogue", "sample text", "dummy text",
     "speaker one says something", "speaker two says something", "intentionally left blank", "click to edit", "click here to edit", "add your text", "insert text", "type your text", "to be announced", "to be determined", "to be added", "to be written", "content to follow", "more to come", "no content yet", "nothing here yet", "nothing to see here yet", "just another site", "description goes here",
     # German
-    "es ist ein fehler aufgetreten", "ein fehler ist aufgetreten", "fehler aufgetreten", "fehler ist aufgetreten", "fehler 9", "fehlercode", "vorgang 9", "vorgangsnummer", "referenznummer", "interner serverfehler", "serverfehler", "versuchen sie es später", "versuchen sie es erneut", "versuchen sie es noch einmal", "wurde nicht gefunden", "konnte nicht gefunden", "nicht gefunden werden", "seite nicht gefunden", "datei nicht gefunden", "existiert nicht", "existiert nicht mehr", "nicht mehr verfügbar", "nicht verfügbar",
-    "zurzeit nicht erreichbar", "derzeit nicht erreichbar", "nicht erreichbar", "momentan nicht verfügbar", "wegen wartung geschlossen", "wartungsarbeiten", "wird gewartet", "ist abgelaufen", "sitzung abgelaufen", "melden sie sich erneut an", "bitte melden sie sich an", "zugriff verweigert", "kein zugriff", "keine berechtigung", "zeitüberschreitung", "verbindung zum server", "verbindung wurde unterbrochen", "ungültige anfrage", "zu viele anfragen", "etwas ist schiefgelaufen", "schiefgelaufen", "schiefgegangen",
+    "es ist ein fehler aufgetreten", "ein fehler ist aufgetreten", "fehler aufgetreten", "fehler ist aufgetreten", "fehler 9", "fehlercode", "vorgang 9", "vorgangsnummer", "referenznummer", "interner serverfehler", "serverfehler", "versuchen sie es später", "versuchen sie es erneut", "versuchen sie es noch einmal", "wurde nicht gefunden", "konnte nicht gefunden", "nicht gefunden werden", "seite nicht gefunden", "datei nicht gefunden",
+    "momentan nicht verfügbar", "wegen wartung geschlossen", "wartungsarbeiten", "sitzung abgelaufen", "melden sie sich erneut an", "bitte melden sie sich an", "zugriff verweigert", "kein zugriff", "keine berechtigung", "zeitüberschreitung", "verbindung zum server", "verbindung wurde unterbrochen", "ungültige anfrage", "zu viele anfragen", "etwas ist schiefgelaufen", "schiefgelaufen", "schiefgegangen",
     "bestätigen sie, dass sie ein mensch", "kein roboter", "sie werden weitergeleitet",
     "javascript aktivieren", "aktivieren sie javascript", "javascript ist deaktiviert", "benötigt javascript", "ohne javascript", "lässt keine skripte zu", "einschalten und neu laden", "cookies und skripte", "verwendet cookies", "verwenden cookies", "nutzt cookies", "nutzen cookies", "cookies zulassen", "cookies akzeptieren", "alle cookies", "cookies sind deaktiviert", "cookie-einstellungen", "kann das gespräch nicht angezeigt werden", "browser wird nicht unterstützt", "browser unterstützt", "browser ist veraltet", "veralteten browser", "aktualisieren sie ihren browser", "werbeblocker",
-    "blindtext", "hier steht später", "hier entsteht", "in kürze verfügbar", "demnächst verfügbar", "der echte text", "inhalt folgt", "text folgt", "inhalte folgen", "nur ein platzhalter", "dies ist ein platzhalter", "platzhaltertext", "beispieltext", "mustertext", "hier bitte das gespräch einfügen", "hier text einfügen", "text hier einfügen", "ihr text hier", "hier klicken, um", "im aufbau", "in bearbeitung",
+    "blindtext", "hier steht später", "hier entsteht", "in kürze verfügbar", "demnächst verfügbar", "der echte text", "inhalt folgt", "text folgt", "inhalte folgen", "nur ein platzhalter", "dies ist ein platzhalter", "platzhaltertext", "beispieltext", "mustertext", "hier bitte das gespräch einfügen", "hier text einfügen", "text hier einfügen", "ihr text hier", "hier klicken, um",
     # French
-    "une erreur interne", "erreur interne", "erreur 9", "code d'erreur", "numéro d'incident", "erreur est survenue", "une erreur s'est produite", "erreur s'est produite", "est introuvable", "page introuvable", "fichier introuvable", "introuvable", "a été supprimé", "a été supprimée", "n'existe plus", "n'existe pas", "n'est plus disponible", "n'est pas disponible", "momentanément indisponible", "temporairement indisponible", "actuellement indisponible", "indisponible", "en maintenance", "réessayez dans", "réessayez plus tard", "réessayer plus tard", "veuillez réessayer",
+    "une erreur interne", "erreur interne", "erreur 9", "code d'erreur", "numéro d'incident", "erreur est survenue", "une erreur s'est produite", "erreur s'est produite", "page introuvable", "fichier introuvable", "momentanément indisponible", "temporairement indisponible", "actuellement indisponible", "réessayez dans", "réessayez plus tard", "réessayer plus tard", "veuillez réessayer",
     "session a expiré", "session expirée", "lien a expiré", "reconnectez-vous", "veuillez vous connecter", "vous reconnecter", "accès refusé", "accès interdit", "accès non autorisé", "pas autorisé à", "délai d'attente", "trop de requêtes", "requête incorrecte", "impossible de se connecter", "connexion au serveur", "quelque chose s'est mal passé", "n'êtes pas un robot", "vous êtes humain", "allez être redirigé",
     "activer javascript", "activez javascript", "javascript est désactivé", "besoin de javascript", "nécessite javascript", "sans javascript", "cookies doivent être", "utilise des cookies", "utilisons des cookies", "accepter les cookies", "accepter tous les cookies", "acceptez les cookies", "cookies sont désactivés", "bloque les scripts", "activez-les pour continuer", "navigateur n'est pas pris en charge", "navigateur n'est pas compatible", "navigateur est obsolète", "navigateur obsolète", "navigateur ne prend pas en charge", "mettez à jour votre navigateur", "bloqueur de publicité",
-    "contenu à venir", "bientôt disponible", "prochainement", "en construction", "sera complétée plus tard", "votre texte ici", "insérez votre texte", "saisissez votre texte", "texte d'exemple", "texte fictif", "faux texte", "insérez le dialogue ici", "texte de remplissage", "texte à remplacer", "page provisoire", "contenu provisoire", "texte provisoire",
+    "contenu à venir", "bientôt disponible", "prochainement", "sera complétée plus tard", "votre texte ici", "insérez votre texte", "saisissez votre texte", "texte d'exemple", "texte fictif", "faux texte", "insérez le dialogue ici", "texte de remplissage", "texte à remplacer", "page provisoire", "contenu provisoire", "texte provisoire",
     # Spanish
-    "error interno del servidor", "error interno", "error del servidor", "error 9", "código 9", "código de error", "incidencia 9", "ha ocurrido un error", "se ha producido un error", "se produjo un error", "ocurrió un error", "inténtelo más tarde", "inténtelo de nuevo", "intente más tarde", "intente nuevamente", "inténtalo de nuevo", "inténtalo más tarde", "vuelva a intentarlo", "vuelve a intentarlo", "ya no existe", "no existe", "ya no está disponible", "no está disponible", "no disponible", "no encontrada", "no encontrado", "no se encontró", "no se ha encontrado", "no se pudo encontrar", "no se puede acceder", "en mantenimiento", "vuelva en 9",
+    "error interno del servidor", "error interno", "error del servidor", "error 9", "código 9", "código de error", "incidencia 9", "ha ocurrido un error", "se ha producido un error", "se produjo un error", "ocurrió un error", "inténtelo más tarde", "inténtelo de nuevo", "intente más tarde", "intente nuevamente", "inténtalo de nuevo", "inténtalo más tarde", "vuelva a intentarlo", "vuelve a intentarlo", "no se puede acceder", "vuelva en 9",
     "sesión ha caducado", "sesión ha expirado", "sesión caducada", "enlace ha caducado", "vuelva a entrar", "inicie sesión", "iniciar sesión de nuevo", "acceso denegado", "acceso prohibido", "no tiene permiso", "no está autorizado", "demasiadas solicitudes", "solicitud incorrecta", "tiempo de espera", "no se pudo conectar", "conexión con el servidor", "algo salió mal", "algo ha salido mal", "no eres un robot", "no es un robot", "que es humano", "será redirigido",
     "active javascript", "activar javascript", "habilite javascript", "habilitar javascript", "javascript está desactivado", "requiere javascript", "sin javascript", "necesita que los scripts", "utiliza cookies", "usa cookies", "utilizamos cookies", "usamos cookies", "aceptar cookies", "aceptar las cookies", "aceptar todas las cookies", "acepte las cookies", "cookies están desactivadas", "navegador no admite", "navegador no es compatible", "navegador no compatible", "navegador está desactualizado", "navegador obsoleto", "actualice su navegador", "actualiza tu navegador", "no se puede mostrar", "bloqueador de anuncios",
-    "contenido próximamente", "próximamente", "página es provisional", "página provisional", "texto provisional", "en construcción", "escribe aquí tu texto", "escriba aquí su texto", "su texto aquí", "tu texto aquí", "inserte su texto", "texto aquí", "solo de relleno", "texto de ejemplo", "texto de muestra", "texto de prueba", "inserte aquí el diálogo", "texto de relleno", "texto simulado",
+    "contenido próximamente", "próximamente", "página es provisional", "página provisional", "texto provisional", "escribe aquí tu texto", "escriba aquí su texto", "su texto aquí", "tu texto aquí", "inserte su texto", "texto aquí", "solo de relleno", "texto de ejemplo", "texto de muestra", "texto de prueba", "inserte aquí el diálogo", "texto de relleno", "texto simulado",
 ))
 
 #: What a fault can be said of.
 OBJECTS = frozenset(
-    "page pages site sites website webpage web server servers url uri link hyperlink address host domain dns file files document resource record recording recordings clip audio video transcript transcription session connection network internet database request login account service application app player viewer loader module content query proxy certificate "
-    "seite webseite website server datei dokument aufnahme sitzung verbindung netzwerk datenbank anfrage konto dienst anwendung adresse ressource transkript "
-    "site serveur fichier document ressource enregistrement session connexion réseau base requête compte service application adresse lien transcription "
-    "página sitio servidor archivo fichero documento recurso grabación sesión conexión red base solicitud cuenta servicio aplicación dirección enlace transcripción".split()
+    "page pages site sites website webpage web server servers url uri link hyperlink address host domain dns file files document resource record recording recordings clip audio video transcript transcription session connection network internet database request login account service application app player viewer loader module content query proxy certificate dialogue transcription "
+    "seite webseite website anmeldung gespräch dialog transkription server datei dokument aufnahme sitzung verbindung netzwerk datenbank anfrage konto dienst anwendung adresse ressource transkript "
+    "site page dialogue serveur fichier document ressource enregistrement session connexion réseau base requête compte service application adresse lien transcription "
+    "página sitio diálogo servidor archivo fichero documento recurso grabación sesión conexión base solicitud cuenta servicio aplicación dirección enlace transcripción".split()
 )
 
 #: What is said of them.
 FAULTS = frozenset((
+    "no longer exists", "no longer available", "existiert nicht", "existiert nicht mehr", "nicht mehr verfügbar", "nicht verfügbar", "nicht erreichbar", "zurzeit nicht erreichbar", "derzeit nicht erreichbar", "wird gewartet", "ist abgelaufen", "introuvable", "est introuvable", "n'existe plus", "n'existe pas", "n'est plus disponible", "n'est pas disponible", "indisponible", "en maintenance", "a été supprimé", "a été supprimée", "ya no existe", "no existe", "ya no está disponible", "no está disponible", "no disponible", "no encontrada", "no encontrado", "no se encontró", "no se ha encontrado", "no se pudo encontrar", "en mantenimiento", "en construction", "en construcción", "im aufbau", "in bearbeitung", "under construction",
+    "for sale", "loading", "please wait", "bitte warten", "chargement", "cargando", "wird geladen",
     "not found", "error", "errors", "failed", "failure", "failed to", "unavailable", "not available", "isn't available", "does not exist", "doesn't exist", "do not exist", "was removed", "been removed", "been deleted", "been moved", "been suspended", "moved permanently", "could not be found", "couldn't be found", "cannot be found", "can't be found", "can't find", "cannot find", "couldn't find", "we can't find the",
     "could not be loaded", "couldn't be loaded", "cannot be loaded", "could not be reached", "can't be reached", "cannot be reached", "could not be resolved", "could not be opened", "could not be processed", "could not be completed", "cannot be displayed", "can't be displayed", "can't be opened", "unable to load", "unable to open", "unable to process", "unable to find", "unable to display",
     "is not responding", "isn't responding", "not responding", "is not working", "isn't working", "timed out", "time out", "timeout", "expired", "denied", "refused", "rejected", "invalid", "corrupted", "exceeded", "overloaded", "offline", "is down", "went wrong", "crashed", "interrupted", "blocked", "closed", "maintenance", "out of range", "exception", "refused to connect", "unexpected",
@@ -66,7 +68,7 @@ FAULTS = frozenset((
 SCRIPTS = frozenset("javascript js cookies cookie scripts scripting script browser browsers flash navigateur navegador skripte".split())
 DEMANDS = frozenset(
     "enable enabled activate allow requires require required needs need needed must disabled deactivated unable outdated upgrade update install unsupported turn switch switched support supported consent accept agree settings block blocks blocked blocking disallow "
-    "aktivieren aktiviere einschalten zulassen benötigt erfordert deaktiviert ausgeschaltet veraltet aktualisieren unterstützt akzeptieren zustimmen blockiert "
+    "aktivieren aktiviere aktiviert eingeschaltet einschalten zulassen benötigt erfordert deaktiviert ausgeschaltet veraltet aktualisieren unterstützt akzeptieren zustimmen blockiert "
     "activer activez autoriser autorisez nécessite nécessaire requis requise désactivé désactivés obsolète accepter acceptez consentir mettre bloque bloqués "
     "active activar active activate habilitar habilite permitir permita necesita requiere desactivado desactivadas desactualizado actualizar actualice admite aceptar acepte bloquea bloqueados".split()
 )
@@ -74,7 +76,7 @@ DEMANDS = frozenset(
 #: Sentences that stand beside an error: they count where one does.
 ADVICE = frozenset((
     "try again", "please check", "check back", "check the url", "check the address", "check your connection", "check your internet", "check the spelling", "contact the administrator", "contact the site", "contact support", "contact us", "go back", "back to home", "return to", "homepage", "home page", "start page", "reload", "refresh", "clear your cache", "clear the cache", "apologize", "apologise", "sorry", "inconvenience",
-    "may have removed", "right now", "back online", "be back", "attackers might be trying", "by continuing", "continuing to use", "continue browsing", "you agree", "you consent", "you accept", "accept our", "update it", "upgrade it", "enable it", "disable it", "got it",
+    "make sure the web address", "make sure that", "may have removed", "right now", "back online", "be back", "attackers might be trying", "by continuing", "continuing to use", "continue browsing", "you agree", "you consent", "you accept", "accept our", "update it", "upgrade it", "enable it", "disable it", "got it",
     "please wait", "a few minutes", "few moments", "stay tuned", "watch this space", "we are working on", "we're working on", "our team has been notified", "has been notified", "has been logged", "report this", "learn more", "see the log", "more information", "privacy policy", "use the search", "or search", "home | search", "skip to", "all rights reserved", "powered by", "for more details",
     "bitte versuchen", "erneut versuchen", "später noch einmal", "laden sie die seite neu", "seite neu", "neu laden", "zurück zur", "startseite", "prüfen sie", "überprüfen sie", "wenden sie sich", "administrator", "entschuldigen", "entschuldigung", "verständnis", "bitte warten", "stimmen sie", "einverstanden", "nutzung", "weiterer nutzung", "weitersurfen", "als platzhalter", "in kürze", "aktualisieren sie", "schauen sie", "bald wieder", "mehr erfahren", "datenschutz",
     "veuillez", "mettre à jour", "poursuivant votre navigation", "continuant à naviguer", "en continuant", "acceptez leur", "vous acceptez", "leur utilisation", "bientôt", "rechargez", "actualisez", "retour à l'accueil", "page d'accueil", "retournez", "vérifiez", "contactez", "administrateur", "désolé", "désolés", "excuses", "gêne occasionnée", "revenez", "en savoir plus", "réessayez", "confidentialité",
@@ -105,11 +107,11 @@ COMMON_LATIN = frozenset("sit sed do ut et ad ex ea in esse eu non qui id est cu
 KEYS = frozenset("xxx xxxx xx asdf qwerty qwertz azerty foo bar baz test testing bla blah blabla abc jkl hjkl dummy text sample".split())
 
 #: What placeholders open with, folded.
-OPENERS = ("{", "[", "<", "&lt;", "${", "#", "%", "@", "__", "_____", "......", "………", "~", "$", "*|", "«", "(", "todo", "fixme", "undefined", "null", "nan", "xxxx")
+OPENERS = ("{", "[", "<", "&lt;", "${", "#", "%", "@", "__", "_____", "......", "………", "~", "$", "*|", "«", "(", "todo", "fixme", "insert_", "undefined", "null", "nan", "xxxx")
 
 #: Names of fields in templates.
 FIELDS = frozenset(
-    "name nickname surname firstname lastname fullname title date time id label place length city country address street email mail phone number no nr company user username agent caller guest host speaker session topic interview call customer client participant author recipient sender receiver patient doctor student teacher employee manager person contact party "
+    "site page name nickname surname firstname lastname fullname title date time id label place length city country address street email mail phone number no nr company user username agent caller guest host speaker session topic interview call customer client participant author recipient sender receiver patient doctor student teacher employee manager person contact party "
     "first last full middle subject order product item price amount total balance quantity currency url link website day month year week hour minute language role age gender birthday channel file interviewer value field text location duration code ref reference invoice account event venue room department position job project team school university hospital store shop brand model version status reason note comment message signature region state zip postcode "
     "nachname vorname datum ort stadt anrede kunde betrag firma nummer uhrzeit thema straße empfänger sprecher titel nom prénom ville adresse client montant heure société numéro sujet destinataire nombre apellido apellidos fecha ciudad dirección cliente importe hora empresa número tema destinatario lugar".translate(str.maketrans("áéíóúñßäöü", "aeiounsaou")).split()
 )
