@@ -256,7 +256,7 @@ def _pairs(dialogs: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
 def _expand(pairs: DataFrame, train: DataFrame, evals: DataFrame) -> DataFrame:
     """(train_id, eval_id), once each; large classes and classes with many partners are spread over tasks."""
     tr, ev = train.select(F.col("cls").alias("a"), F.col("dialog_id").alias("train_id")), evals.select(F.col("cls").alias("b"), F.col("dialog_id").alias("eval_id"))
-    one = salted_join(pairs, tr, "a", F.col("b"), F.col("train_id"))
+    one = cut(salted_join(pairs, tr, "a", F.col("b"), F.col("train_id")))  # read more than once below
     return salted_join(one, ev, "b", F.col("train_id"), F.col("eval_id")).where("train_id <> eval_id").select("train_id", "eval_id").distinct()
 
 
