@@ -92,3 +92,12 @@ def test_ipu_ends(spark):
     got = islands.ipu_ends(df, ["k"], "ch", "sf", "ef", "total", 4, 3, 10, 6).collect()
     assert sorted((r["k"], r["ef"]) for r in got) == sorted(want)
     assert want
+
+
+def test_null_keys_are_a_group(spark):
+    rows = [(k, i, float(i), i + 0.9) for k in (None, 1) for i in range(9) if i != 4]
+    df = spark.createDataFrame(rows, "k int, i int, start double, end double")
+    got = islands.word_gap_segments(df, ["k"], "i", min_gap=0.5, bucket=F.floor(F.col("i") / 3))
+    assert sorted(map(str, got.collect())) == sorted(map(str, spark.createDataFrame([(k, a, b) for k in (None, 1) for a, b in ((0.0, 3.9), (5.0, 8.9))], "k int, start double, end double").collect()))
+    f = spark.createDataFrame([(None, 0, 2, 5, 30), (None, 0, 7, 9, 30), (None, 0, 20, 25, 30)], "k int, ch int, sf int, ef int, total int")
+    assert [(r["sf"], r["ef"]) for r in islands.ipu_units(f, ["k"], "ch", "sf", "ef", "total", 4).orderBy("sf").collect()] == [(0, 9), (20, 25)]

@@ -160,3 +160,13 @@ def test_applied_functions_keep_nulls(spark):
     assert one == {1: [2.0, 4.0], 2: None, 3: [], 4: [None]}
     two = {r["i"]: r["v"] for r in df.select("i", N.apply_2d(F.col("x"), lambda v: np.stack((v, v), axis=1)).alias("v")).collect()}
     assert two == {1: [[1.0, 1.0], [2.0, 2.0]], 2: None, 3: [], 4: [[None, None]]}
+
+
+def test_z_norm_of_a_hot_and_a_null_key(spark):
+    df = spark.createDataFrame([(None if i % 5 == 0 else 1, float(i * i % 7)) for i in range(60)], "k int, x double")
+    got = sorted(((r["k"] or 0), round(r["x"], 9)) for r in normalize.z_norm(df, ["k"], ["x"]).collect())
+    want = []
+    for k in (None, 1):
+        v = np.array([r["x"] for r in df.collect() if r["k"] == k])
+        want += [((k or 0), round(z, 9)) for z in (v - v.mean()) / v.std(ddof=1)]
+    assert np.allclose(got, sorted(want))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnweave.runtime import lookup
+from turnweave.runtime import HOT_SHARE, lookup
 
 
 def z_norm(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -14,9 +14,10 @@ def z_norm(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     The statistics are taken by a partial aggregation and looked up, with salt for hot keys; null keys are a group.
     """
     k = df.withColumn("_k", F.struct(*keys))
-    stats = k.groupBy("_k").agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))))
+    stats = k.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), *(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))))
     scaled = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")) for c in columns}
-    return lookup(k, stats, "_k").withColumns(scaled).select(*df.columns)
+    hot = stats.join(F.broadcast(stats.agg(F.sum("_n").alias("_all"))), F.col("_n") * HOT_SHARE > F.col("_all"))
+    return lookup(k, stats.drop("_n"), "_k", hot=hot).withColumns(scaled).select(*df.columns)
 
 
 def z_norm_nonzero(df: DataFrame, columns: list[str]) -> DataFrame:
