@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnweave.functions import timing as M
 from turnweave.operators import vad as V
 from turnweave.operators import windows as W
+from turnweave.plans import registry
 from turnweave.plans.dialog_audio import DialogAudio
 
 
@@ -85,3 +86,28 @@ def test_response_offsets(spark):
     off, n = W.response_offsets(F.col("t"), 10, 5.0)
     got = spark.createDataFrame([(1.0,), (5.0,), (7.5,)], "t double").select(off, n).collect()
     assert [tuple(r) for r in got] == [(0, 10), (0, 50), (25, 50)]
+
+
+def broadcast_arrays(df):
+    """The nodes that make arrays below a broadcast, in the plan before it runs and as it ran."""
+    found = []
+    for _ in range(2):
+        above = None
+        for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+            depth = len(line) - len(line.lstrip(" :+-*"))
+            above = None if above is not None and depth <= above else above
+            above = depth if above is None and "BroadcastExchange" in line else above
+            found += [line.strip()] * (above is not None and "MapInArrow" in line)
+        df.collect()
+    return found
+
+
+def small_reels(spark, tmp_path):
+    """A table whose file is far below the threshold of broadcasts."""
+    rows = [(i, "sw", i, "s", [[[float(t), t + 0.5] for t in range(j, 120, 3)] for j in (0, 1)]) for i in range(3)]
+    spark.createDataFrame(rows, "list_id long, session string, reel int, time_unit string, vad array<array<array<double>>>").write.parquet(str(tmp_path / "vad_lists.parquet"))
+    return str(tmp_path)
+
+
+def test_clip_windows_broadcast_no_arrays(spark, tmp_path):
+    assert not broadcast_arrays(registry.queries()["reel_clip_vad_window"](spark, small_reels(spark, tmp_path)))

@@ -104,12 +104,14 @@ def slices(clips: DataFrame, blocked: DataFrame, keys: list[str], fill: dict[str
     """(keys, clip, arrays): frames [start_frame, end_frame) of each clip from the array columns named in ``fill``,
     whose value stands where nothing is known, before the beginning too. Clips without length have no row.
 
-    A clip meets the blocks it touches by equality and is put together again: one row a clip, never one a frame.
+    A clip meets the blocks it touches by equality and is put together again: one row a clip, never one a frame. The
+    join is a sort-merge join whatever the planner takes the blocks' size for: it estimates them by the size of the
+    file behind the intervals, a small part of what the arrays hold, and would broadcast them through the driver.
     """
     at = F.col("block") * size
     p = clips.where("start_frame < end_frame").select(*keys, "clip", "start_frame", "end_frame", F.explode(F.sequence(F.floor(F.col("start_frame") / size), F.floor((F.col("end_frame") - 1) / size))).alias("block"))
     p = p.withColumn("_a", F.greatest(F.col("start_frame") - at, F.lit(0)).cast("int")).withColumn("_m", (F.least(F.col("end_frame") - at, F.lit(size)) - F.col("_a")).cast("int"))
-    j = p.join(blocked.select(*keys, "block", *fill), [*keys, "block"], "left")
+    j = p.join(blocked.select(*keys, "block", *fill).hint("merge"), [*keys, "block"], "left")
 
     def part(c: str, f: Column) -> Column:
         x = F.slice(c, F.col("_a") + 1, F.col("_m"))
