@@ -111,3 +111,19 @@ def small_reels(spark, tmp_path):
 
 def test_clip_windows_broadcast_no_arrays(spark, tmp_path):
     assert not broadcast_arrays(registry.queries()["reel_clip_vad_window"](spark, small_reels(spark, tmp_path)))
+
+
+def test_response_counts_equal_arrays(spark):
+    rnd = random.Random(4)
+    f = spark.createDataFrame([(k, c, a, a + rnd.randint(0, 40), 5000) for k in ("a", "b") for c in (0, 1) for a in (rnd.randint(0, 4900) for _ in range(60))], "s string, channel int, sf int, ef int, total int")
+    r = f.select("s", F.concat_ws("-", "channel", "sf").alias("response"), F.col("channel").alias("speaker"), F.col("sf").alias("frame")).distinct()
+    r = r.unionByName(spark.createDataFrame([("a", "early", 0, 3), ("b", "late", 1, 9000), ("c", "none", 0, 50)], r.schema))
+    b = V.blocks(f, ["s"])
+    for frames, ahead in ((800, 200), (3000, 0), (5, 2)):
+        want = {(x["s"], x["response"]): (sum(x["own"]), sum(x["other"]), len(x["own"])) for x in V.response_arrays(r, b, ["s"], frames, ahead).collect()}
+        got = {(x["s"], x["response"]): (x["own"], x["other"], x["frames"]) for x in V.response_counts(r, b, ["s"], frames, ahead).collect()}
+        assert got == want and len(want) == r.count()
+
+
+def test_response_windows_broadcast_no_arrays(spark, tmp_path):
+    assert not broadcast_arrays(registry.queries()["reel_response_window"](spark, small_reels(spark, tmp_path)))

@@ -133,6 +133,49 @@ def clip_windows(clips: DataFrame, blocked: DataFrame, keys: list[str], horizon:
     return e.withColumns({c: F.col(c).cast("int") for c in ("v0", "v1")})
 
 
+def gathered(clips: DataFrame, blocked: DataFrame, keys: list[str], back: int, ahead: int, before: DataFrame | None = None, size: int = BLOCK) -> DataFrame:
+    """(keys, block, c, p, b0, b1): ``c`` the clips (all columns but the keys) that start in the block, ``p`` the arrays
+    of the blocks from ``back`` before to ``ahead`` after it, each at its ``slot``, and the sums of all earlier blocks
+    from ``before`` (keys, block, b0, b1). Blocks in which no clip starts have no row.
+
+    Clips come to the blocks by a union and not by a join, so neither an array is repeated for each of them nor
+    broadcast.
+    """
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    sums = [F.lit(None).cast("long").alias(f"b{c}") for c in (0, 1)]
+    started = clips.select(*keys, F.floor(F.col("start_frame") / size).alias("block"), F.struct(*(c for c in clips.columns if c not in keys)).alias("c"))
+    moved = blocked.select(*keys, "block", F.explode(F.sequence(F.lit(-ahead), F.lit(back))).alias("_j"), "v0", "v1")
+    parts = moved.select(*keys, (F.col("block") + F.col("_j")).alias("block"), F.struct((F.lit(back) - F.col("_j")).alias("slot"), "v0", "v1").alias("p"))
+    rows = started.select(*keys, "block", "c", none(parts, "p"), *sums).unionByName(parts.select(*keys, "block", none(started, "c"), "p", *sums))
+    if before is not None:
+        rows = rows.unionByName(before.select(*keys, "block", none(started, "c"), none(parts, "p"), "b0", "b1"))
+    g = spread(rows, *keys, "block").groupBy(*keys, "block").agg(F.collect_list("c").alias("c"), F.collect_list("p").alias("p"), F.max("b0").alias("b0"), F.max("b1").alias("b1"))
+    return g.where(F.size("c") > 0)
+
+
+def _timelines(x, slots: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a batch of :func:`gathered`: frames by row, channel and place, 0 where nothing is known, and where each row's
+    known frames end."""
+    p = x.column("p")
+    row = np.repeat(np.arange(x.num_rows), np.diff(p.offsets.to_numpy()))
+    slot, *lists = p.flatten().flatten()
+    at = slot.to_numpy().astype(np.int64) * size
+    v, end = np.zeros((x.num_rows, 2, slots * size), np.int8), np.zeros(x.num_rows, np.int64)
+    for c, ls in enumerate(lists):
+        bounds, values = ls.offsets.to_numpy(), ls.values.to_numpy()
+        for r, a, i, j in zip(row, at, bounds, bounds[1:]):
+            v[r, c, a : a + j - i] = values[i:j]
+        np.maximum.at(end, row, at + np.diff(bounds))
+    return v, end
+
+
+def _counts(v: np.ndarray) -> np.ndarray:
+    """How many frames before each place are active."""
+    sums = np.zeros((*v.shape[:2], v.shape[2] + 1), np.int32)
+    np.cumsum(v, axis=2, dtype=np.int32, out=sums[:, :, 1:])
+    return sums
+
+
 def flip(frames: DataFrame) -> DataFrame:
     """The two speakers swapped."""
     return frames.withColumns({"v0": F.col("v1"), "v1": F.col("v0")})
@@ -217,6 +260,34 @@ def response_arrays(responses: DataFrame, blocked: DataFrame, keys: list[str], f
     return w.select(*keys, F.col("clip.response").alias("response"), F.when(first, F.col("v0")).otherwise(F.col("v1")).alias("own"), F.when(first, F.col("v1")).otherwise(F.col("v0")).alias("other"))
 
 
+def response_counts(responses: DataFrame, blocked: DataFrame, keys: list[str], frames: int, ahead: int = 0, size: int = BLOCK) -> DataFrame:
+    """(keys, response, own, other, frames): of :func:`response_arrays` the sums and the length, without the arrays.
+
+    Responses are counted by differences of running sums in the block where their window starts and those it reaches.
+    """
+    import pyarrow as pa
+
+    more = ceil((frames + ahead) / size)
+    at = responses.select(*keys, "response", F.col("speaker").cast("int").alias("speaker"), (F.col("frame") - frames).cast("int").alias("start_frame")).where(F.lit(frames + ahead > 0))
+    g = gathered(at, blocked, keys, 0, more, size=size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in (whole.slice(i, AT_A_TIME) for i in range(0, whole.num_rows, AT_A_TIME)):
+                sums = _counts(_timelines(x, 1 + more, size)[0])
+                clips = x.column("c")
+                row = np.repeat(np.arange(x.num_rows), np.diff(clips.offsets.to_numpy()))
+                response, speaker, start = clips.flatten().flatten()
+                a = start.to_numpy().astype(np.int64) - x.column("block").to_numpy()[row] * size
+                n = [(sums[row, c, a + frames + ahead] - sums[row, c, a]).astype(np.int64) for c in (0, 1)]
+                first = speaker.to_numpy() == 0
+                made = [response, *(pa.array(np.where(first, n[c], n[1 - c])) for c in (0, 1)), pa.array(np.full(len(row), frames + ahead, np.int64))]
+                yield pa.RecordBatch.from_arrays([*(x.column(k).take(pa.array(row)) for k in keys), *made], names=[*keys, "response", "own", "other", "frames"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in responses.select(*keys, "response").schema)
+    return g.mapInArrow(run, fields + ", own bigint, other bigint, frames bigint")
+
+
 def response_window(responses: DataFrame, blocked: DataFrame, keys: list[str], frames: int, ahead: int = 0) -> DataFrame:
     """(keys, response, offset, own, other): :func:`response_arrays`, one row a frame."""
     e = _spread(response_arrays(responses, blocked, keys, frames, ahead), [*keys, "response"], ["own", "other"], "offset")
