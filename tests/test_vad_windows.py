@@ -127,3 +127,27 @@ def test_response_counts_equal_arrays(spark):
 
 def test_response_windows_broadcast_no_arrays(spark, tmp_path):
     assert not broadcast_arrays(registry.queries()["reel_response_window"](spark, small_reels(spark, tmp_path)))
+
+
+def test_samples_broadcast_no_arrays(spark, tmp_path):
+    assert not broadcast_arrays(registry.queries()["reel_dialog_audio_samples"](spark, small_reels(spark, tmp_path)))
+
+
+def test_clip_histories_equal_slices(spark):
+    rnd = random.Random(6)
+    f = spark.createDataFrame([(k, c, a, min(a + rnd.randint(0, 90), n), n) for k, n in (("a", 5000), ("b", 2048), ("c", 700)) for c in (0, 1) for a in (rnd.randint(0, n - 1) for _ in range(50))], "s string, channel int, sf int, ef int, total int")
+    total = f.groupBy("s").agg(F.max("total").alias("total"))
+    starts = [(k, i, a) for k in ("a", "b", "c") for i, a in enumerate([-30, 0, 1, 699, 1000, 2047, 2048, 4900, 9000] * 9)]
+    clips = spark.createDataFrame([(k, i, a + i // 9) for k, i, a in starts], "s string, clip int, start_frame int")
+    blocks = V.blocks(f, ["s"], total)
+    for edges, n, ahead in (([3000, 1000, 7], 1000, 200), ([40], 2500, 0)):
+        hs = [f"h{i}" for i in range(len(edges) + 1)]
+        c = clips.withColumn("end_frame", F.col("start_frame") + n + ahead)
+        fill = {"v0": F.lit(0), "v1": F.lit(0)} | {h: F.lit(0.5) for h in hs}
+        want = {(r["s"], r["clip"]): r for r in V.slices(c, V.history_blocks(blocks, ["s"], edges), ["s"], fill).collect()}
+        got = V.clip_histories(clips, blocks, ["s"], edges, n, ahead).collect()
+        assert len(got) == len(want) == len(starts)
+        for r in got:
+            w = want[r["s"], r["clip"]]
+            assert r["vad"] == [list(x) for x in zip(w["v0"], w["v1"])]
+            assert r["history"] == [list(x) for x in zip(*(w[h][:n] for h in hs))]

@@ -21,6 +21,8 @@ from turnweave.runtime import carry_over_buckets, cut, ship, spread
 BLOCK = 2048
 #: Blocks turned into arrays at a time: bounds the memory of a Python worker, whatever the Arrow batch.
 AT_A_TIME = 256
+#: Clips whose histories are made at a time, and blocks with clips.
+CLIPS_AT_A_TIME = 64
 
 
 def vad_list(utts: DataFrame, keys: list[str], channel: str = "channel", start: str = "start", end: str = "end") -> DataFrame:
@@ -243,6 +245,54 @@ def _ago(sums: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.where(at >= 0, sums[np.maximum(at, 0)], 0)
 
 
+def clip_histories(clips: DataFrame, blocked: DataFrame, keys: list[str], edges: list[int], n: int, horizon: int = 0, size: int = BLOCK) -> DataFrame:
+    """``clips`` (keys, start_frame and any other columns) of ``n`` frames with ``vad``, [v0, v1] a frame up to
+    ``horizon`` past the end, 0 where nothing is known, and ``history``, the shares of :func:`history_blocks` a frame,
+    0.5 beyond the session.
+
+    Only activity is moved, one byte a frame: a clip's shares are made where it starts and go straight to the result.
+    """
+    import pyarrow as pa
+
+    b = cut(blocked)
+    back, ahead = ceil(max(edges, default=0) / size), ceil((n + horizon) / size)
+    before = carry_over_buckets(b.select(*keys, "block", "s0", "s1"), keys, "block", {f"b{c}": (F.col(f"s{c}"), "before") for c in (0, 1)})
+    g = gathered(clips, b, keys, back, ahead, before, size)
+    bounds = list(zip([None, *edges], [*edges, 0]))
+    names = [c for c in clips.columns if c not in keys]
+
+    def nested(x: np.ndarray) -> pa.ListArray:
+        """Clips by frames by values as a list of lists a clip."""
+        inner = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[2], dtype=np.int32)), pa.array(x.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(x.shape[0] + 1, dtype=np.int32) * x.shape[1]), inner)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in (whole.slice(i, CLIPS_AT_A_TIME) for i in range(0, whole.num_rows, CLIPS_AT_A_TIME)):
+                v, end = _timelines(x, back + 1 + ahead, size)
+                sums = _counts(v)
+                early = np.stack([np.nan_to_num(x.column(f"b{c}").to_numpy(zero_copy_only=False)).astype(np.int64) - sums[:, c, back * size] for c in (0, 1)], axis=1)
+                lists = x.column("c")
+                rows = np.repeat(np.arange(x.num_rows), np.diff(lists.offsets.to_numpy()))
+                fields = dict(zip(names, lists.flatten().flatten()))
+                starts = fields["start_frame"].to_numpy().astype(np.int64) - (x.column("block").to_numpy()[rows] - back) * size
+                for i in range(0, len(rows), CLIPS_AT_A_TIME):
+                    row, a = rows[i : i + CLIPS_AT_A_TIME, None], starts[i : i + CLIPS_AT_A_TIME, None]
+                    at, known = a + np.arange(n), a + np.arange(n) < end[row]
+                    history = np.full((len(row), n, len(bounds)), 0.5)
+                    for h, (far, near) in enumerate(bounds):
+                        a0, a1 = (sums[row, c, at + 1 - near] - sums[row, c, at + 1 - far] if far is not None else early[row, c] + sums[row, c, at + 1 - near] for c in (0, 1))
+                        both = a0 + a1
+                        np.divide(a0, both, out=history[:, :, h], where=known & (both > 0))
+                    wide = a + np.arange(n + horizon)
+                    vad = np.stack([v[row, c, wide] for c in (0, 1)], axis=2).astype(np.int32)
+                    own = [f.slice(i, CLIPS_AT_A_TIME) for f in fields.values()]
+                    yield pa.RecordBatch.from_arrays([*(x.column(k).take(pa.array(row[:, 0])) for k in keys), *own, nested(vad), nested(history)], names=[*keys, *names, "vad", "history"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in clips.select(*keys, *names).schema)
+    return g.mapInArrow(run, fields + ", vad array<array<int>>, history array<array<double>>")
+
+
 def activity_history(frames: DataFrame, sessions: DataFrame, keys: list[str], edges: list[int], channel: str = "channel", total: str = "total") -> DataFrame:
     """(keys, frame, v0, v1, h0 …): activity and :func:`history_blocks`, one row for every frame of every session."""
     h = history_blocks(blocks(frames, keys, sessions, channel, total), keys, edges)

@@ -60,17 +60,19 @@ class DialogAudio:
 
     def blocks(self, sessions: DataFrame, segments: DataFrame) -> DataFrame:
         """Activity and its history in blocks of frames, all blocks of every session."""
-        total = sessions.select("session", (F.col("duration") / self.hop).cast("int").alias("total"))
-        return V.history_blocks(V.blocks(self.segments(sessions, segments), ["session"], total), ["session"], V.history_edges(self.history_times, self.hop))
+        return V.history_blocks(V.blocks(self.segments(sessions, segments), ["session"], self._totals(sessions)), ["session"], V.history_edges(self.history_times, self.hop))
+
+    def _totals(self, sessions: DataFrame) -> DataFrame:
+        return sessions.select("session", (F.col("duration") / self.hop).cast("int").alias("total"))
 
     @property
     def _histories(self) -> list[str]:
         return [f"h{i}" for i in range(len(self.history_times) + 1)]
 
-    def _rows(self, arrays: DataFrame, n: int | None = None) -> DataFrame:
+    def _rows(self, arrays: DataFrame) -> DataFrame:
         """``vad`` and ``history`` as an array a frame, from one array a column."""
         hs = self._histories
-        h = F.transform(F.arrays_zip(*(F.slice(x, 1, n) if n else F.col(x) for x in hs)), lambda x: F.array(*(x[str(i)] if n else x[c] for i, c in enumerate(hs))))
+        h = F.transform(F.arrays_zip(*hs), lambda x: F.array(*(x[c] for c in hs)))
         vad = F.zip_with("v0", "v1", lambda a, b: F.array(a.cast("int"), b.cast("int")))
         return arrays.withColumns({"vad": vad, "history": h}).drop("v0", "v1", *hs)
 
@@ -86,11 +88,10 @@ class DialogAudio:
         clips = self.clips(sessions, segments)
         n, ahead = self._f(self.duration), self._f(self.horizon)
         at = F.round(F.col("start") * self.hz).cast("int")
-        framed = clips.select("session", "clip", at.alias("start_frame"), (at + n + ahead).alias("end_frame"))
-        arrays = V.slices(framed, self.blocks(sessions, segments), ["session"], {"v0": F.lit(0), "v1": F.lit(0)} | {h: F.lit(0.5) for h in self._histories})
-        out = clips.join(self._rows(arrays, n), ["session", "clip"])
+        active = V.blocks(self.segments(sessions, segments), ["session"], self._totals(sessions))
+        out = V.clip_histories(clips.withColumn("start_frame", at), active, ["session"], V.history_edges(self.history_times, self.hop), n, ahead).drop("start_frame")
         if signals is not None:
-            out = out.join(clip_waves(clips, signals), ["session", "clip"])
+            out = out.hint("merge").join(clip_waves(clips, signals).hint("merge"), ["session", "clip"])
         if train:
             draw = F.pmod(F.xxhash64(F.lit(self.seed), "session", "clip"), F.lit(1 << 20)) / float(1 << 20) < self.flip_share
             out = out.withColumn("flipped", draw).withColumn("vad", F.when(draw, F.transform("vad", F.reverse)).otherwise(F.col("vad")))
